@@ -13,8 +13,8 @@ BUCKETS = 1024
 
 def id_bucket(df: DataFrame, col: str, n: int = BUCKETS) -> Column:
     """Bucket number 0..n-1 that grows with a numeric column (equal width over its range)."""
-    lo = df.agg(F.min(col)).scalar()
-    hi = df.agg(F.max(col)).scalar()
+    ends = df.agg(F.struct(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"))).scalar()
+    lo, hi = ends["lo"], ends["hi"]
     x = F.col(col).cast("double")
     return F.floor((x - lo) * F.lit(n) / (hi - lo + F.lit(1))).cast("long")
 

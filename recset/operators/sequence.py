@@ -64,7 +64,7 @@ def class_grid(cls: DataFrame, most: int = 5000) -> DataFrame:
 
 def bin_grid(spark, n: int = BINS) -> DataFrame:
     """All ordered pairs of bins 1..n."""
-    return spark.range(1, n + 1).select(F.col("id").alias("c1"), F.explode(F.sequence(F.lit(1), F.lit(n))).cast("long").alias("c2"))
+    return spark.range(1, n + 1).select(F.col("id").alias("c1"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))).alias("c2"))
 
 
 def transition_matrix(edges: DataFrame, cls: DataFrame, grid: DataFrame) -> DataFrame:

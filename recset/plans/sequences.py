@@ -5,6 +5,7 @@ from recset.functions import columns as c
 from recset.operators import ordering as o, sequence as s
 from recset.plans import query
 from recset.plans.profiles import _r
+from recset.session import cut
 from recset.sources import views as v
 
 EDGES = "edges AS (SELECT a.poi AS src, b.poi AS dst, count(*) AS n FROM cseq a JOIN cseq b ON a.traj = b.traj AND b.ord = a.ord + 1 GROUP BY 1, 2)"
@@ -36,8 +37,9 @@ def zones(spark, sf):
 
 
 def city(spark, sf):
-    vis = v.city_visit(spark, sf)
-    return vis, s.place(vis)
+    """Placed visits of the city, written once because most queries branch from them."""
+    seq = cut(s.place(v.city_visit(spark, sf)), "seq")
+    return seq, seq
 
 
 def class_tables(spark, sf, info):
@@ -48,15 +50,15 @@ def class_tables(spark, sf, info):
 
 
 def matrices(spark, sf, seq, info):
-    e = s.edge_counts(seq)
-    cls = class_tables(spark, sf, info)
+    e = cut(s.edge_counts(seq), "edges")
+    cls = class_tables(spark, sf, cut(info, "info"))
     grid = {k: s.class_grid(cls[k]) if k in ("cat", "neighbor") else s.bin_grid(spark) for k in cls}
     return cls, {k: s.transition_matrix(e, cls[k], grid[k]) for k in cls}
 
 
 @query("trajectories", "SELECT traj, usr, len, start, array_to_string(path, ',') AS path FROM ctraj", "ctraj")
 def trajectories(spark, sf):
-    return s.paths(city(spark, sf)[1]).select("traj", "usr", "len", "start", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
+    return s.paths(s.place(v.city_visit(spark, sf))).select("traj", "usr", "len", "start", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 
 
 @query("transition_pairs", """SELECT a.traj, a.ord, a.poi AS src, b.poi AS dst FROM tseq a JOIN tseq b ON a.traj = b.traj AND b.ord = a.ord + 1""", "tseq")
@@ -214,7 +216,8 @@ def factored(spark, sf, vis, seq):
     most), so group-to-group values and the normaliser of a row are taken over vectors; POI pairs are never crossed.
     """
     cls, mats = matrices(spark, sf, seq, s.poi_info(vis))
-    vecs = poi_vectors(cls)
+    mats = {k: cut(m, f"tm-{k}") for k, m in mats.items()}
+    vecs = cut(poi_vectors(cls), "vec")
     groups = vecs.groupBy(*FIVE).agg(F.count("*").alias("size"))
     all_groups = groups.agg(F.collect_list(F.struct(*[F.col(k).alias(f"b_{k}") for k in FIVE], F.col("size").alias("b_size")))).scalar()
     g = groups.select(*[F.col(k).alias(f"a_{k}") for k in FIVE], F.col("size").alias("a_size"), all_groups.alias("all")).select("*", F.explode("all").alias("g")).select("*", "g.*").drop("g", "all")

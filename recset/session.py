@@ -42,7 +42,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/recset-{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, so a lost executor costs a read and no replay."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Cut lineage: write once as Parquet to the shared folder and read back.
+
+    Branches that share a costly input then scan one table, and a lost executor costs a read and no replay.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
