@@ -1,7 +1,7 @@
 """Trajectories, transitions and discretised Markov tables."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from recset.functions import columns as c
 from recset.operators import ordering as o
@@ -49,29 +49,28 @@ def bin_edges(info: DataFrame, col: str, far: bool = False) -> Column:
     return info.agg(c.log_edges(F.min(col), F.max(col), BINS, far).alias("e")).scalar()
 
 
-def classes(info: DataFrame, col: str, far: bool = False) -> DataFrame:
-    """POI with the bin of one property."""
-    return info.select("poi", c.digitize(F.col(col).cast("double"), bin_edges(info, col, far), BINS + 1).cast("long").alias("cls"))
+def long_classes(vecs: DataFrame, kinds: list[str]) -> Column:
+    """Array of (kind, class as text) of one POI vector."""
+    return F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("cls")) for k in kinds])
 
 
-def class_grid(cls: DataFrame, most: int = 5000) -> DataFrame:
-    """All ordered pairs of the distinct classes. Classes are few by design; more than `most` is an error."""
-    d = cls.select("cls").distinct().limit(most + 1)
-    arr = d.agg(F.array_sort(F.collect_list("cls"))).scalar()
-    ok = F.when(F.size("all") > most, F.raise_error(F.lit("too many classes for a full grid"))).otherwise(F.col("all"))
-    return cls.select("cls").distinct().withColumn("all", arr).select(F.col("cls").alias("c1"), F.explode(ok).alias("c2"))
+def class_grid(vecs: DataFrame, kinds: list[str], binned: list[str], most: int = 5000) -> DataFrame:
+    """All ordered class pairs per kind. Classes are few by design; more than `most` is an error, not a cut."""
+    seen = vecs.select(F.explode(long_classes(vecs, kinds)).alias("x")).select("x.*").filter(~F.col("kind").isin(binned))
+    bins = F.transform(F.sequence(F.lit(1), F.lit(BINS)), lambda b: b.cast("string"))
+    fixed = vecs.sparkSession.range(1).select(F.explode(F.array(*[F.lit(k) for k in binned])).alias("kind"), bins.alias("all")) if binned else None
+    d = seen.distinct().groupBy("kind").agg(F.collect_list("cls").alias("all"))
+    d = d.withColumn("all", F.when(F.size("all") > most, F.raise_error(F.lit("too many classes for a full grid"))).otherwise(F.col("all")))
+    d = d.unionByName(fixed) if fixed is not None else d
+    return d.select("kind", F.explode("all").alias("c1"), "all").select("kind", "c1", F.explode("all").alias("c2"))
 
 
-def bin_grid(spark, n: int = BINS) -> DataFrame:
-    """All ordered pairs of bins 1..n."""
-    return spark.range(1, n + 1).select(F.col("id").alias("c1"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))).alias("c2"))
-
-
-def transition_matrix(edges: DataFrame, cls: DataFrame, grid: DataFrame) -> DataFrame:
-    """Class transition probabilities with add-one smoothing on the full class grid."""
-    a = cls.select(F.col("poi").alias("src"), F.col("cls").alias("c1"))
-    b = cls.select(F.col("poi").alias("dst"), F.col("cls").alias("c2"))
-    n = edges.join(a, "src").join(b, "dst").groupBy("c1", "c2").agg(F.sum("n").alias("n"))
-    full = grid.join(n, ["c1", "c2"], "left").withColumn("n", F.coalesce("n", F.lit(0)) + 1)
-    total = full.groupBy("c1").agg(F.sum("n").alias("t"))
-    return full.join(total, "c1").select("c1", "c2", (F.col("n") / F.col("t")).alias("p"))
+def transition_matrices(edges: DataFrame, vecs: DataFrame, kinds: list[str], binned: list[str]) -> DataFrame:
+    """(kind, c1, c2, p): class transition probabilities with add-one smoothing, all kinds in one pass over the edges."""
+    side = lambda poi, n: vecs.select(F.col("poi").alias(poi), long_classes(vecs, kinds).alias(n))
+    both = edges.join(side("src", "a"), "src").join(side("dst", "b"), "dst")
+    both = both.select("n", F.explode(F.arrays_zip("a", "b")).alias("z"))
+    n = both.groupBy(F.col("z.a.kind").alias("kind"), F.col("z.a.cls").alias("c1"), F.col("z.b.cls").alias("c2")).agg(F.sum("n").alias("n"))
+    full = class_grid(vecs, kinds, binned).join(n, ["kind", "c1", "c2"], "left").withColumn("n", F.coalesce("n", F.lit(0)) + 1)
+    total = W.partitionBy("kind", "c1")  # as many rows as there are classes
+    return full.select("kind", "c1", "c2", (F.col("n") / F.sum("n").over(total)).alias("p"))

@@ -42,18 +42,23 @@ def city(spark, sf):
     return seq, seq
 
 
-def class_tables(spark, sf, info):
-    """The five classes of every POI."""
-    cat = v.city_poi(spark, sf).select("poi", F.col("cat").alias("cls"))
-    return {"cat": cat, "pop": s.classes(info, "pop"), "visit": s.classes(info, "nvisit"),
-            "duration": s.classes(info, "dur", far=True), "neighbor": zones(spark, sf)}
+KINDS = ["cat", "pop", "visit", "duration", "neighbor"]
+BINNED = ["pop", "visit", "duration"]
 
 
-def matrices(spark, sf, seq, info):
+def poi_vectors(spark, sf, info):
+    """The five classes of every POI in one row."""
+    b = lambda col, far=False: c.digitize(F.col(col).cast("double"), s.bin_edges(info, col, far), s.BINS + 1).cast("long")
+    zone = (F.floor((F.col("lon") - 144.9) / 0.0205) % 5).cast("long")
+    p = v.city_poi(spark, sf).select("poi", "cat", zone.alias("neighbor"))
+    return info.select("poi", b("pop").alias("pop"), b("nvisit").alias("visit"), b("dur", True).alias("duration")).join(p, "poi")
+
+
+def matrices(spark, sf, seq):
+    """Edge counts, POI class vectors and the long table of the five transition matrices; all three are small."""
     e = cut(s.edge_counts(seq), "edges")
-    cls = class_tables(spark, sf, cut(info, "info"))
-    grid = {k: s.class_grid(cls[k]) if k in ("cat", "neighbor") else s.bin_grid(spark) for k in cls}
-    return cls, {k: s.transition_matrix(e, cls[k], grid[k]) for k in cls}
+    vecs = cut(poi_vectors(spark, sf, cut(s.poi_info(seq), "info")), "vec")
+    return e, vecs, cut(s.transition_matrices(e, vecs, KINDS, BINNED).coalesce(1), "tm")
 
 
 @query("trajectories", "SELECT traj, usr, len, start, array_to_string(path, ',') AS path FROM ctraj", "ctraj")
@@ -68,8 +73,9 @@ def transition_pairs(spark, sf):
 
 def _tm(key, cls_sql, dom):
     def run(spark, sf):
-        vis, seq = city(spark, sf)
-        return matrices(spark, sf, seq, s.poi_info(vis))[1][key].select("c1", "c2", _r("p", "p"))
+        tm = matrices(spark, sf, city(spark, sf)[1])[2].filter(F.col("kind") == key)
+        typed = lambda col: F.col(col) if key == "cat" else F.col(col).cast("long").alias(col)
+        return tm.select(typed("c1"), typed("c2"), _r("p", "p"))
     run.__name__ = f"transmat_{key}"
     query(run.__name__, "SELECT c1, c2, round(p, 6) AS p FROM tm", "cseq cinfo cpoi", EDGES + ", " + TRANS(cls_sql, dom))(run)
 
@@ -96,7 +102,7 @@ def log_bins(spark, sf):
 
 @query("digitize", f"SELECT a.poi, a.cls AS pop_bin, b.cls AS visit_bin, d.cls AS dur_bin FROM ({CLASS('pop')}) a JOIN ({CLASS('nvisit')}) b USING (poi) JOIN ({CLASS('dur', True)}) d USING (poi)", "cinfo")
 def digitize(spark, sf):
-    info = s.poi_info(v.city_visit(spark, sf))
+    info = cut(s.poi_info(v.city_visit(spark, sf)), "info")
     bins = {n: c.digitize(F.col(col).cast("double"), s.bin_edges(info, col, col == "dur"), s.BINS + 1).cast("long") for n, col in
             (("pop_bin", "pop"), ("visit_bin", "nvisit"), ("dur_bin", "dur"))}
     return info.select("poi", *[b.alias(n) for n, b in bins.items()])
@@ -179,60 +185,49 @@ FIVE_SQL = EDGES + ", " + ", ".join(
 VEC_SQL = "vec AS (SELECT cinfo.poi, " + ", ".join(f"cls_{k}.cls AS {k}" for k in FIVE) + " FROM cinfo " + " ".join(f"JOIN cls_{k} ON cls_{k}.poi = cinfo.poi" for k in FIVE) + ")"
 
 
-def poi_vectors(cls):
-    out = None
-    for k, d in cls.items():
-        d = d.select("poi", F.col("cls").alias(k))
-        out = d if out is None else out.join(d, "poi")
-    return out
-
-
-def five_values(pairs, mats, left="a_", right="b_"):
+def five_values(pairs, tm, left="a_", right="b_"):
     """Add the five class transition values to rows that carry both class vectors."""
-    for k, m in mats.items():
-        m = m.select(F.col("c1").alias(f"{left}{k}"), F.col("c2").alias(f"{right}{k}"), F.col("p").alias(f"p_{k}"))
-        pairs = pairs.join(F.broadcast(m), [f"{left}{k}", f"{right}{k}"])  # at most (number of classes)^2 rows
+    for k in KINDS:
+        m = tm.filter(F.col("kind") == k).select(F.col("c1").alias("_c1"), F.col("c2").alias("_c2"), F.col("p").alias(f"p_{k}"))
+        on = (F.col(f"{left}{k}").cast("string") == F.col("_c1")) & (F.col(f"{right}{k}").cast("string") == F.col("_c2"))
+        pairs = pairs.join(F.broadcast(m), on).drop("_c1", "_c2")  # at most (number of classes)^2 rows; the grid checks it
     return pairs
 
 
 def vec(df, pre, keep):
-    return df.select(F.col("poi").alias(keep), *[F.col(k).alias(pre + k) for k in FIVE])
+    return df.select(F.col("poi").alias(keep), *[F.col(k).alias(pre + k) for k in KINDS])
 
 
 @query("edge_features", "SELECT src, dst, " + ", ".join(f"round(log10(tm_{k}.p), 6) AS log_{k}" for k in FIVE) + " FROM edges JOIN vec a ON a.poi = src JOIN vec b ON b.poi = dst "
        + " ".join(f"JOIN tm_{k} ON tm_{k}.c1 = a.{k} AND tm_{k}.c2 = b.{k}" for k in FIVE), "cseq cinfo cpoi", FIVE_SQL + ", " + VEC_SQL)
 def edge_features(spark, sf):
-    vis, seq = city(spark, sf)
-    cls, mats = matrices(spark, sf, seq, s.poi_info(vis))
-    vecs = poi_vectors(cls)
-    e = s.edge_counts(seq).select("src", "dst").join(vec(vecs, "a_", "src"), "src").join(vec(vecs, "b_", "dst"), "dst")
-    return five_values(e, mats).select("src", "dst", *[_r(F.log10(f"p_{k}"), f"log_{k}") for k in FIVE])
+    e, vecs, tm = matrices(spark, sf, city(spark, sf)[1])
+    e = e.select("src", "dst").join(vec(vecs, "a_", "src"), "src").join(vec(vecs, "b_", "dst"), "dst")
+    return five_values(e, tm).select("src", "dst", *[_r(F.log10(f"p_{k}"), f"log_{k}") for k in KINDS])
 
 
-def factored(spark, sf, vis, seq):
+def factored(spark, sf, seq):
     """log10 transition value of every observed POI pair.
 
     Values depend on the class vectors only. There are few distinct vectors (the product of the class counts at
     most), so group-to-group values and the normaliser of a row are taken over vectors; POI pairs are never crossed.
     """
-    cls, mats = matrices(spark, sf, seq, s.poi_info(vis))
-    mats = {k: cut(m, f"tm-{k}") for k, m in mats.items()}
-    vecs = cut(poi_vectors(cls), "vec")
-    groups = vecs.groupBy(*FIVE).agg(F.count("*").alias("size"))
-    all_groups = groups.agg(F.collect_list(F.struct(*[F.col(k).alias(f"b_{k}") for k in FIVE], F.col("size").alias("b_size")))).scalar()
-    g = groups.select(*[F.col(k).alias(f"a_{k}") for k in FIVE], F.col("size").alias("a_size"), all_groups.alias("all")).select("*", F.explode("all").alias("g")).select("*", "g.*").drop("g", "all")
-    g = five_values(g, mats)
+    e, vecs, tm = matrices(spark, sf, seq)
+    groups = vecs.groupBy(*KINDS).agg(F.count("*").alias("size"))
+    all_groups = groups.agg(F.collect_list(F.struct(*[F.col(k).alias(f"b_{k}") for k in KINDS], F.col("size").alias("b_size")))).scalar()
+    g = groups.select(*[F.col(k).alias(f"a_{k}") for k in KINDS], F.col("size").alias("a_size"), all_groups.alias("all")).select("*", F.explode("all").alias("g")).select("*", "g.*").drop("g", "all")
+    g = five_values(g, tm)
     same = F.lit(True)
     prod = F.lit(1.0)
-    for k in FIVE:
+    for k in KINDS:
         same = same & (F.col(f"a_{k}") == F.col(f"b_{k}"))
         prod = prod * F.col(f"p_{k}")
     g = g.withColumn("same", same).withColumn("val", prod)
-    rows = g.groupBy(*[f"a_{k}" for k in FIVE]).agg(F.sum(F.when(F.col("same") & (F.col("a_size") == 1), 0.0).otherwise(F.col("val"))).alias("total"))
+    rows = g.groupBy(*[f"a_{k}" for k in KINDS]).agg(F.sum(F.when(F.col("same") & (F.col("a_size") == 1), 0.0).otherwise(F.col("val"))).alias("total"))
     each = F.when(F.col("same"), F.col("val") / F.greatest(F.col("a_size") - 1, F.lit(1))).otherwise(F.col("val") / F.col("b_size"))
-    g = g.join(rows, [f"a_{k}" for k in FIVE]).withColumn("w", F.log10(each) - F.log10("total"))
-    e = s.edge_counts(seq).join(vec(vecs, "a_", "src"), "src").join(vec(vecs, "b_", "dst"), "dst")
-    keys = [f"{p}{k}" for p in ("a_", "b_") for k in FIVE]
+    g = g.join(rows, [f"a_{k}" for k in KINDS]).withColumn("w", F.log10(each) - F.log10("total"))
+    e = e.join(vec(vecs, "a_", "src"), "src").join(vec(vecs, "b_", "dst"), "dst")
+    keys = [f"{p}{k}" for p in ("a_", "b_") for k in KINDS]
     return e.join(g.select(*keys, "w"), keys).select("src", "dst", F.when(F.col("src") == F.col("dst"), c.LOG_ZERO).otherwise(F.col("w")).alias("w"))
 
 
@@ -246,7 +241,7 @@ FACTORED_SQL = FIVE_SQL + ", " + VEC_SQL + """, vn AS (SELECT *, count(*) OVER (
 @query("poi_transition_factored", "SELECT src, dst, round(w, 6) AS w FROM wts JOIN edges USING (src, dst)", "cseq cinfo cpoi", FACTORED_SQL)
 def poi_transition_factored(spark, sf):
     vis, seq = city(spark, sf)
-    return factored(spark, sf, vis, seq).select("src", "dst", _r("w", "w"))
+    return factored(spark, sf, seq).select("src", "dst", _r("w", "w"))
 
 
 @query("rank_in_array", """SELECT vec_id, sum(i * rk)::BIGINT AS check_desc, min(CASE WHEN rk = 1 THEN i END) AS top_i, min(CASE WHEN rk = 64 THEN i END) AS low_i FROM (
