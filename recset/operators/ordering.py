@@ -59,6 +59,13 @@ def hash_ordinal(df: DataFrame, unit: list[str], ids: list[str], seed: str, out:
     return ordinal(keyed, unit, ["_h", *ids], md5_bucket("_h"), out).drop("_h")
 
 
+def numbers(df: DataFrame, n: Column, out: str, block: int = 65536) -> DataFrame:
+    """One row per number 1..n; the numbers are made in blocks, so n may exceed what one array can hold."""
+    d = df.withColumn("_n", n.cast("long")).filter("_n > 0")
+    d = d.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / block))))
+    return d.withColumn(out, F.explode(F.sequence(F.col("_k") * block + 1, F.least((F.col("_k") + 1) * block, F.col("_n"))))).drop("_n", "_k")
+
+
 def top_k(df: DataFrame, unit: list[str], order: list, k: int, out: str = "rank") -> DataFrame:
     """First k rows per unit. The literal bound becomes a group limit before the shuffle."""
     w = W.partitionBy(*unit).orderBy(*order)
