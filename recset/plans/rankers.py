@@ -292,7 +292,8 @@ def neighbours(spark, sf, k=K_NEIGHBOURS):
     known = te.select("country", "subscriber", "z").distinct()
     has = lambda col: F.array_contains(ft.vocabulary(tr, col), F.col(col)).cast("double")
     known = known.withColumn("hc", has("country")).withColumn("hs", has("subscriber"))
-    ends = F.broadcast(cell.orderBy("z2", "c2", "s2").limit(k).unionByName(cell.orderBy(F.desc("z2"), "c2", "s2").limit(k)))  # 2k rows
+    first = F.element_at("nbs", 1)
+    ends = F.broadcast(cell.orderBy("z2", first).limit(k).unionByName(cell.orderBy(F.desc("z2"), first).limit(k)).distinct())  # 2k rows
     far = known.join(ends, (F.col("country") != F.col("c2")) & (F.col("subscriber") != F.col("s2")))
     near = known.join(cell, F.col("country") == F.col("c2")).unionByName(known.join(cell, (F.col("subscriber") == F.col("s2"))).filter("country <> c2"))
     both = near.unionByName(far)
@@ -300,7 +301,7 @@ def neighbours(spark, sf, k=K_NEIGHBOURS):
     num = same + F.col("z") * F.col("z2")
     n1, n2 = F.col("z") * F.col("z") + F.col("hc") + F.col("hs"), F.col("z2") * F.col("z2") + 2.0
     both = both.withColumn("cos", F.round(num / F.sqrt(n1 * n2), 9)).withColumn("cos_sq", F.round(num / (n1 * n2), 9))
-    best = o.top_k(both.withColumn("first", F.element_at("nbs", 1)), ["country", "subscriber", "z"], [F.desc("cos"), "first"], k, "r")
+    best = o.top_k(both.withColumn("first", first), ["country", "subscriber", "z"], [F.desc("cos"), "first"], k, "r")
     best = o.top_k(best.select("country", "subscriber", "z", "cos", "cos_sq", F.explode("nbs").alias("nb")), ["country", "subscriber", "z"], [F.desc("cos"), "nb"], k, "rank")
     return te.select("usr", "country", "subscriber", "z").join(best, ["country", "subscriber", "z"]).select("usr", "nb", "cos", "cos_sq", F.col("rank").cast("long").alias("rank"))
 
