@@ -101,18 +101,11 @@ def kendall_tau_b(y: Column, z: Column, m: Column) -> Column:
 
     Only items on one of the paths are compared one by one; absent items enter in closed form.
     """
-    both = F.array_union(y, z)
+    both = F.transform(F.array_union(y, z), lambda a: F.struct(rank_of(y, a, m).alias("p"), rank_of(z, a, m).alias("q")))
+    order = lambda a, b, k: F.signum((a[k] - b[k]).cast("double"))
     sgn = F.transform(
         both,
-        lambda a, i: F.aggregate(
-            F.transform(
-                F.slice(both, i + 2, F.size(both)),
-                lambda b: F.signum((rank_of(y, a, m) - rank_of(y, b, m)).cast("double"))
-                * F.signum((rank_of(z, a, m) - rank_of(z, b, m)).cast("double")),
-            ),
-            F.lit(0.0),
-            lambda s, v: s + v,
-        ),
+        lambda a, i: F.aggregate(F.slice(both, i + 2, F.size(both)), F.lit(0.0), lambda s, b: s + order(a, b, "p") * order(a, b, "q")),
     )
     s = vec_sum(sgn) + F.size(F.array_intersect(y, z)) * (m - F.size(both))
     n0 = m * (m - 1) / 2.0
@@ -181,6 +174,46 @@ def klucb_poisson(mean: Column, d: Column, steps: int = 40) -> Column:
     return bisect(mean, mean + d + F.sqrt(d * d + 2 * mean * d), lambda m: kl_poisson(mean, m) > d, steps)
 
 
+def ln_gamma(x: Column) -> Column:
+    """ln Gamma by the Stirling series at x + 7, brought back by the recurrence."""
+    z = x + 7
+    series = 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
+    up = (z - 0.5) * F.ln(z) - z + 0.9189385332046728 + series  # ln(2 pi) / 2
+    return up - sum((F.ln(x + i) for i in range(1, 7)), F.ln(x))
+
+
+def beta_cdf(a: Column, b: Column, x: Column) -> Column:
+    """Regularised incomplete beta I_x(a, b) by its continued fraction; the number of terms grows with sqrt(a + b)."""
+    terms = (F.ceil(5 * F.sqrt(a + b)) + 30).cast("int")
+    tiny = lambda v: F.when(F.abs(v) < 1e-30, F.lit(1e-30)).otherwise(v)
+
+    def fraction(a, b, x):
+        def link(s, coef):
+            return {"c": tiny(1 + coef / s["c"]), "d": 1 / tiny(1 + coef * s["d"])}
+
+        def step(s, m):
+            m = m.cast("double")
+            even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+            odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+            e = link(s, even)
+            o = link(e, odd)
+            return F.struct(o["c"].alias("c"), o["d"].alias("d"), (s["h"] * e["c"] * e["d"] * o["c"] * o["d"]).alias("h"))
+
+        d0 = 1 / tiny(1 - (a + b) * x / (a + 1))
+        start = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"))
+        return F.aggregate(F.sequence(F.lit(1), terms), start, step, lambda s: s["h"])
+
+    front = F.exp(ln_gamma(a + b) - ln_gamma(a) - ln_gamma(b) + a * F.ln(x) + b * F.ln(1 - x))
+    direct = x < (a + 1) / (a + b + 2)
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).when(direct, front * fraction(a, b, x) / a).otherwise(1 - front * fraction(b, a, 1 - x) / b)
+
+
+def clopper_pearson_upper(k: Column, n: Column, alpha: Column, steps: int = 40) -> Column:
+    """Upper end of the interval for k successes in n trials; 1 when all trials succeed."""
+    hi = bisect(F.lit(0.0), F.lit(1.0), lambda p: beta_cdf(k + 1.0, n - k, p) > 1 - alpha / 2, steps)
+    return F.when(k >= n, F.lit(1.0)).otherwise(hi)
+
+
 def url_name(url: Column) -> Column:
     """Decoded last part of a path after `/`, `_` and `!`, trimmed."""
     text = F.try_url_decode(url)
