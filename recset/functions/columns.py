@@ -101,13 +101,15 @@ def kendall_tau_b(y: Column, z: Column, m: Column) -> Column:
 
     Only items on one of the paths are compared one by one; absent items enter in closed form.
     """
-    both = F.transform(F.array_union(y, z), lambda a: F.struct(rank_of(y, a, m).alias("p"), rank_of(z, a, m).alias("q")))
+    ranks = F.transform(F.array_union(y, z), lambda a: F.struct(rank_of(y, a, m).alias("p"), rank_of(z, a, m).alias("q")))
     order = lambda a, b, k: F.signum((a[k] - b[k]).cast("double"))
-    sgn = F.transform(
-        both,
-        lambda a, i: F.aggregate(F.slice(both, i + 2, F.size(both)), F.lit(0.0), lambda s, b: s + order(a, b, "p") * order(a, b, "q")),
-    )
-    s = vec_sum(sgn) + F.size(F.array_intersect(y, z)) * (m - F.size(both))
+
+    def compare(both):
+        later = lambda i: F.slice(both, i + 2, F.size(both))
+        one = lambda a, i: F.aggregate(later(i), F.lit(0.0), lambda s, b: s + order(a, b, "p") * order(a, b, "q"))
+        return vec_sum(F.transform(both, one)) + F.size(F.array_intersect(y, z)) * (m - F.size(both))
+
+    s = let(ranks, compare)
     n0 = m * (m - 1) / 2.0
     tied = lambda p: (m - F.size(p)) * (m - F.size(p) - 1) / 2.0
     return s / F.sqrt((n0 - tied(y)) * (n0 - tied(z)))
@@ -150,13 +152,18 @@ def kl_poisson(x: Column, y: Column) -> Column:
     return y - x + x * F.ln(x / y)
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once and use it many times in `body`."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def bisect(lo: Column, up: Column, too_high, steps: int) -> Column:
     """Middle of the bracket after a fixed number of halvings; `too_high(mid)` moves the upper end."""
 
     def halve(s, _):
-        mid = (s["lo"] + s["up"]) / 2
-        high = too_high(mid)
-        return F.struct(F.when(high, s["lo"]).otherwise(mid).alias("lo"), F.when(high, mid).otherwise(s["up"]).alias("up"))
+        half = lambda m: let(too_high(m), lambda h: F.struct(
+            F.when(h, s["lo"]).otherwise(m).alias("lo"), F.when(h, m).otherwise(s["up"]).alias("up")))
+        return let((s["lo"] + s["up"]) / 2, half)
 
     start = F.struct(lo.cast("double").alias("lo"), up.cast("double").alias("up"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: (s["lo"] + s["up"]) / 2)
@@ -183,29 +190,30 @@ def ln_gamma(x: Column) -> Column:
 
 
 def beta_cdf(a: Column, b: Column, x: Column) -> Column:
-    """Regularised incomplete beta I_x(a, b) by its continued fraction; the number of terms grows with sqrt(a + b)."""
-    terms = (F.ceil(5 * F.sqrt(a + b)) + 30).cast("int")
-    tiny = lambda v: F.when(F.abs(v) < 1e-30, F.lit(1e-30)).otherwise(v)
-
-    def fraction(a, b, x):
-        def link(s, coef):
-            return {"c": tiny(1 + coef / s["c"]), "d": 1 / tiny(1 + coef * s["d"])}
-
-        def step(s, m):
-            m = m.cast("double")
-            even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-            odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-            e = link(s, even)
-            o = link(e, odd)
-            return F.struct(o["c"].alias("c"), o["d"].alias("d"), (s["h"] * e["c"] * e["d"] * o["c"] * o["d"]).alias("h"))
-
-        d0 = 1 / tiny(1 - (a + b) * x / (a + 1))
-        start = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"))
-        return F.aggregate(F.sequence(F.lit(1), terms), start, step, lambda s: s["h"])
-
-    front = F.exp(ln_gamma(a + b) - ln_gamma(a) - ln_gamma(b) + a * F.ln(x) + b * F.ln(1 - x))
-    direct = x < (a + 1) / (a + b + 2)
-    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).when(direct, front * fraction(a, b, x) / a).otherwise(1 - front * fraction(b, a, 1 - x) / b)
+    """Regularised incomplete beta I_x(a, b) by its continued fraction; the number of terms grows with sqrt(a + b).
+
+    The fraction converges fast left of the mean, so right of it the mirrored function is taken.
+    """
+    left = x < (a + 1) / (a + b + 2)
+    side = F.struct(F.when(left, a).otherwise(b).alias("a"), F.when(left, b).otherwise(a).alias("b"), F.when(left, x).otherwise(1 - x).alias("x"))
+
+    def tail(v):
+        a, b, x = v["a"], v["b"], v["x"]
+
+        def step(s, i):
+            m = F.floor(i / 2).cast("double")
+            coef = F.when(i % 2 == 1, -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))).otherwise(m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)))
+            return let(coef, lambda k: let(
+                F.struct((1 + k / s["c"]).alias("c"), (1 / (1 + k * s["d"])).alias("d")),
+                lambda n: F.struct(n["c"].alias("c"), n["d"].alias("d"), (s["h"] * n["c"] * n["d"]).alias("h"))))
+
+        terms = F.sequence(F.lit(1), (F.ceil(3 * F.sqrt(a + b)) + 24).cast("int"))
+        one = F.lit(1.0)
+        fraction = F.aggregate(terms, F.struct(one.alias("c"), F.lit(0.0).alias("d"), one.alias("h")), step, lambda s: s["h"])
+        return F.exp(ln_gamma(a + b) - ln_gamma(a) - ln_gamma(b) + a * F.ln(x) + b * F.ln(1 - x)) / fraction / a
+
+    inner = let(let(side, tail), lambda r: F.when(left, r).otherwise(1 - r))
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(inner)
 
 
 def clopper_pearson_upper(k: Column, n: Column, alpha: Column, steps: int = 40) -> Column:
