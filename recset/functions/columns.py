@@ -238,7 +238,7 @@ def json_struct(text: Column, schema: str) -> Column:
     """Parsed struct, or null when the text is not valid JSON."""
     probe = schema + ", _corrupt string"
     parsed = F.from_json(text, probe, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    return F.when(parsed["_corrupt"].isNull() & text.isNotNull(), parsed)
+    return let(parsed, lambda s: F.when(s["_corrupt"].isNull() & text.isNotNull(), s))
 
 
 def json_repaired(text: Column, schema: str, repaired: Column) -> Column:

@@ -41,12 +41,12 @@ def pair_counts(df: DataFrame, group: str, item: str, block: int = 64) -> DataFr
     The distinct items of a group are cut into hash blocks of about `block` items, and each task handles one pair of
     blocks; so a huge group is spread over many tasks, and counts are combined before the shuffle.
     """
-    d = df.select(group, item).distinct()
-    size = d.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
-    d = d.join(size, group).withColumn("i", F.pmod(F.xxhash64(item), F.col("nb")).cast("int"))
-    blocks = d.groupBy(group, "nb", "i").agg(F.collect_list(item).alias("v"))
-    left = blocks.select(group, F.col("i").alias("li"), F.col("v").alias("lv"), F.explode(F.sequence(F.col("i"), F.col("nb") - 1)).alias("i"))
-    right = blocks.select(group, "i", F.col("v").alias("rv"))
-    both = left.join(right, [group, "i"]).select(F.explode("lv").alias("x"), "li", "i", "rv").select("x", "li", "i", F.explode("rv").alias("y"))
-    once = (F.col("li") != F.col("i")) | (F.col("x") <= F.col("y"))
-    return both.filter(once).groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("n"))
+    d = df.select(F.col(group).alias("_g"), F.col(item).alias("_v")).distinct()
+    size = d.groupBy("_g").agg(F.ceil(F.count("*") / block).cast("int").alias("_nb"))
+    d = d.join(size, "_g").withColumn("_i", F.pmod(F.xxhash64("_v"), F.col("_nb")).cast("int"))
+    blocks = d.groupBy("_g", "_nb", "_i").agg(F.collect_list("_v").alias("_a"))
+    left = blocks.select("_g", F.col("_i").alias("_l"), F.col("_a").alias("_la"), F.explode(F.sequence(F.col("_i"), F.col("_nb") - 1)).alias("_i"))
+    right = blocks.select("_g", "_i", F.col("_a").alias("_ra"))
+    both = left.join(right, ["_g", "_i"]).select(F.explode("_la").alias("_x"), "_l", "_i", "_ra").select("_x", "_l", "_i", F.explode("_ra").alias("_y"))
+    once = (F.col("_l") != F.col("_i")) | (F.col("_x") <= F.col("_y"))
+    return both.filter(once).groupBy(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).agg(F.count("*").alias("n"))
