@@ -8,14 +8,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from recset.session import cut
+
 BUCKETS = 1024
 
 
-def id_bucket(df: DataFrame, col: str, n: int = BUCKETS) -> Column:
-    """Bucket number 0..n-1 that grows with a numeric column (equal width over its range)."""
+def id_bucket(df: DataFrame, col: str, n: int = BUCKETS, of: str | None = None) -> Column:
+    """Bucket number 0..n-1 that grows with a numeric column (equal width over its range in df).
+
+    `of` names the column to bucket when it differs from the one that gives the range, as when a dimension table
+    knows the range of a key.
+    """
     ends = df.agg(F.struct(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"))).scalar()
     lo, hi = ends["lo"], ends["hi"]
-    x = F.col(col).cast("double")
+    x = F.col(of or col).cast("double")
     return F.floor((x - lo) * F.lit(n) / (hi - lo + F.lit(1))).cast("long")
 
 
@@ -54,8 +60,8 @@ def ordinal(df: DataFrame, unit: list[str], order: list, bucket: Column, out: st
 
 
 def hash_ordinal(df: DataFrame, unit: list[str], ids: list[str], seed: str, out: str = "pos") -> DataFrame:
-    """1-based position in a seeded shuffle of each unit."""
-    keyed = df.withColumn("_h", md5_of(*ids, seed=seed))
+    """1-based position in a seeded shuffle of each unit. The keyed rows are written once and read twice."""
+    keyed = cut(df.withColumn("_h", md5_of(*ids, seed=seed)), "keyed")
     return ordinal(keyed, unit, ["_h", *ids], md5_bucket("_h"), out).drop("_h")
 
 
@@ -73,7 +79,11 @@ def top_k(df: DataFrame, unit: list[str], order: list, k: int, out: str = "rank"
 
 
 def ranked(df: DataFrame, unit: list[str], score: str, item: str, out: str = "rank") -> DataFrame:
-    """Unique rank per unit by (score descending, item ascending), safe for hot units and long ties."""
+    """Unique rank per unit by (score descending, item ascending), safe for hot units and long ties.
+
+    The input is read several times, so it is written once first.
+    """
+    df = cut(df, "ranked")
     ties = df.groupBy(*unit, score).agg(F.count("*").alias("_n"))
     ties = running(ties, unit, [F.desc(score)], -id_bucket(df, score), {"_cum": F.col("_n")})
     inner = ordinal(df, [*unit, score], [item], id_bucket(df, item), "_i")
@@ -87,9 +97,9 @@ def ranked(df: DataFrame, unit: list[str], score: str, item: str, out: str = "ra
 def percentiles(df: DataFrame, unit: list[str], value: str, qs: dict[str, float]) -> DataFrame:
     """Exact percentiles with linear interpolation, from counts of distinct values."""
     d = df.filter(F.col(value).isNotNull())
-    hist = d.groupBy(*unit, value).agg(F.count("*").alias("_n"))
-    hist = running(hist, unit, [value], id_bucket(d, value), {"_c": F.col("_n")})
-    total = d.groupBy(*unit).agg(F.count("*").alias("_tot"))
+    hist = cut(d.groupBy(*unit, value).agg(F.count("*").alias("_n")), "hist")
+    total = hist.groupBy(*unit).agg(F.sum("_n").alias("_tot"))
+    hist = running(hist, unit, [value], id_bucket(hist, value), {"_c": F.col("_n")})
     if unit:
         hist = hist.join(total, unit)
     else:

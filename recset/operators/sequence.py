@@ -5,13 +5,18 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from recset.functions import columns as c
 from recset.operators import ordering as o
+from recset.session import cut
 
 BINS = 5
 
 
 def place(visits: DataFrame) -> DataFrame:
-    """Add `ord` (1-based position by start time) to visits(traj, poi, start_ts)."""
-    return o.ordinal(visits, ["traj"], ["start_ts", "poi"], F.col("start_ts"), "ord")
+    """Add `ord` (1-based position by start time, then POI) to visits(traj, poi, start_ts).
+
+    The visits are written once, since bucket range, bucket sizes and rows are all taken from them.
+    """
+    visits = cut(visits, "visit")
+    return o.ordinal(visits, ["traj"], ["start_ts", "poi"], o.id_bucket(visits, "start_ts"), "ord")
 
 
 def paths(seq: DataFrame) -> DataFrame:

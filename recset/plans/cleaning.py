@@ -6,6 +6,7 @@ from recset.operators import clean, ordering as o, sequence as s
 from recset.plans import query
 from recset.plans.profiles import _r, city_queries
 from recset.plans.sequences import DIST
+from recset.session import cut
 from recset.sources import views as v
 
 
@@ -68,7 +69,7 @@ def min_distinct_len(spark, sf):
     SELECT usr, pid, row_number() OVER (PARTITION BY usr ORDER BY pid) AS rn FROM (SELECT DISTINCT usr, pid FROM pl)) GROUP BY 1, 2""", "pl")
 def user_lists(spark, sf):
     """Lists of each user in blocks of 100, so that a very active user gives many rows and not one huge array."""
-    d = v.clean_entry(spark, sf).select("usr", "pid").distinct()
+    d = cut(v.clean_entry(spark, sf).select("usr", "pid").distinct(), "lists")
     d = o.ordinal(d, ["usr"], ["pid"], o.id_bucket(d, "pid"), "rn")
     return clean.grouped_lists(d, ["usr"], "pid", F.col("rn"), 100, "p").select("usr", "block", F.array_join(F.col("p").cast("array<string>"), ",").alias("pids"))
 
@@ -117,49 +118,62 @@ def users_with_n_lists(spark, sf):
     return v.entry(spark, sf).select("usr", "pid").distinct().groupBy("usr").agg(F.count("*").alias("n")).filter("n = 10").select("usr")
 
 
-# Walks that may repeat a district, in visiting order: one row per line item.
-WALK = """walk AS (SELECT l_orderkey AS traj, list(s_nationkey::BIGINT ORDER BY l_linenumber, l_partkey, l_suppkey) AS path FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1)"""
+# Walks that may repeat a district: one row per step (traj, i, poi).
+WALK = """walk AS (SELECT l_orderkey AS traj, s_nationkey::BIGINT AS poi, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
+    seen AS (SELECT *, row_number() OVER (PARTITION BY traj, poi ORDER BY i) AS occ, count(*) OVER (PARTITION BY traj) AS len FROM walk), cutp AS (SELECT traj, min(i) AS cut FROM seen WHERE occ > 1 GROUP BY traj)"""
 
 
 def walks(spark, sf):
-    """Predicted walks with possible repeats (the district of each line of an order); a walk has few steps."""
-    sup = v.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("d"))
-    li = v.table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(sup, "l_suppkey")
-    key = F.struct("l_linenumber", "l_partkey", "l_suppkey", "d")
-    return li.groupBy(F.col("l_orderkey").alias("traj")).agg(F.array_sort(F.collect_list(key)).alias("s")).select("traj", F.transform("s", lambda x: x["d"]).alias("path"))
+    """Steps (traj, i, poi) of walks with possible repeats: the districts of the lines of an order. Steps stay rows."""
+    sup = v.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("poi"))
+    parts = v.table(spark, sf, "part")
+    li = v.table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").withColumnRenamed("l_orderkey", "traj").join(sup, "l_suppkey")
+    bucket = F.col("l_linenumber") * o.BUCKETS + o.id_bucket(parts, "p_partkey", of="l_partkey")
+    return cut(o.ordinal(li, ["traj"], ["l_linenumber", "l_partkey", "l_suppkey"], bucket, "i").select("traj", "i", "poi"), "walk")
 
 
-@query("path_remove_repeats", """SELECT traj, string_agg(p::VARCHAR, ',' ORDER BY i) AS path FROM (SELECT traj, p, min(i) AS i FROM (
-    SELECT traj, unnest(path) AS p, unnest(range(len(path))) AS i FROM walk) GROUP BY 1, 2) GROUP BY traj""", extra=WALK)
-def path_remove_repeats(spark, sf):
-    return walks(spark, sf).select("traj", F.array_join(F.array_distinct("path").cast("array<string>"), ",").alias("path"))
+def first_visits(w):
+    """First step at which a walk reaches each POI."""
+    return w.groupBy("traj", "poi").agg(F.min("i").alias("i"))
 
 
-def cut_first_loop(path):
-    """Prefix before the first item that occurred already."""
-    n = F.size(path)
-    repeat = F.filter(F.sequence(F.lit(1), n), lambda i: F.array_position(path, F.element_at(path, i)) < i)
-    return F.slice(path, 1, F.when(F.size(repeat) > 0, F.array_min(repeat) - 1).otherwise(n))
+def loop_free_length(w):
+    """(traj, len, keep): walk length and the length of the prefix before the first repeated POI."""
+    again = w.join(first_visits(w).withColumnRenamed("i", "first"), ["traj", "poi"]).withColumn("again", F.when(F.col("i") > F.col("first"), F.col("i")))
+    g = again.groupBy("traj").agg(F.max("i").alias("len"), F.min("again").alias("cut"))
+    return g.select("traj", "len", F.coalesce(F.col("cut") - 1, F.col("len")).alias("keep"))
+
+
+@query("path_remove_repeats", "SELECT traj, row_number() OVER (PARTITION BY traj ORDER BY i) AS ord, poi FROM seen WHERE occ = 1", extra=WALK)
+def path_remove_repeats(spark, sf):
+    """Walks without repeated POI, renumbered."""
+    f = cut(first_visits(walks(spark, sf)), "first")
+    return o.ordinal(f, ["traj"], ["i"], o.id_bucket(f, "i"), "ord").select("traj", "ord", "poi")
 
 
-@query("path_cut_first_loop", """SELECT traj, string_agg(p::VARCHAR, ',' ORDER BY i) AS path FROM (SELECT *, min(CASE WHEN rn > 1 THEN i END) OVER (PARTITION BY traj) AS cut FROM (
-    SELECT *, row_number() OVER (PARTITION BY traj, p ORDER BY i) AS rn FROM (SELECT traj, unnest(path) AS p, unnest(range(len(path))) AS i FROM walk)))
-    WHERE cut IS NULL OR i < cut GROUP BY traj""", extra=WALK)
+@query("path_cut_first_loop", "SELECT traj, i AS ord, poi FROM walk LEFT JOIN cutp USING (traj) WHERE cut IS NULL OR i < cut", extra=WALK)
 def path_cut_first_loop(spark, sf):
-    return walks(spark, sf).select("traj", F.array_join(cut_first_loop(F.col("path")).cast("array<string>"), ",").alias("path"))
+    """The prefix before the first repeated POI."""
+    w = walks(spark, sf)
+    return w.join(loop_free_length(w), "traj").filter("i <= keep").select("traj", F.col("i").alias("ord"), "poi")
 
 
-@query("path_cut_first_loop_closest", """SELECT start, want, min_by(path, (abs(len(path) - want), l2, path)) AS path FROM (
-    SELECT w.path[1] AS start, w.l2, l.want, array_to_string(c.path, ',') AS p, c.path AS path FROM (SELECT traj, path, len(path) AS l2 FROM walk) w
-    JOIN (SELECT traj, list(p ORDER BY i) AS path FROM (SELECT *, min(CASE WHEN rn > 1 THEN i END) OVER (PARTITION BY traj) AS cut FROM (
-    SELECT *, row_number() OVER (PARTITION BY traj, p ORDER BY i) AS rn FROM (SELECT traj, unnest(path) AS p, unnest(range(len(path))) AS i FROM walk)))
-    WHERE cut IS NULL OR i < cut GROUP BY traj) c USING (traj) JOIN (SELECT unnest([3, 5, 7]) AS want) l ON w.l2 >= l.want) GROUP BY start, want""".replace("min_by(path, (abs(len(path) - want), l2, path))", "array_to_string(arg_min(path, (abs(len(path) - want), l2, path)), ',')"), extra=WALK)
+@query("path_cut_first_loop_closest", """SELECT start, want, arg_min(traj, (abs(keep - want), len, traj)) AS traj, arg_min(keep, (abs(keep - want), len, traj)) AS keep FROM (SELECT traj, any_value(len) AS len, coalesce(any_value(cut) - 1, any_value(len)) AS keep,
+    min(CASE WHEN i = 1 THEN poi END) AS start FROM seen LEFT JOIN cutp USING (traj) GROUP BY traj), (SELECT unnest([3, 5, 7]) AS want) WHERE len >= want GROUP BY start, want""", extra=WALK)
 def path_cut_first_loop_closest(spark, sf):
-    """Among walks of length l' >= l from one start: the smallest l' whose cut path is closest to l."""
-    w = walks(spark, sf).select(F.element_at("path", 1).alias("start"), F.size("path").alias("l2"), cut_first_loop(F.col("path")).alias("cut"))
-    w = w.withColumn("want", F.explode(F.array(F.lit(3), F.lit(5), F.lit(7)))).filter("l2 >= want")
-    best = F.min(F.struct(F.abs(F.size("cut") - F.col("want")).alias("a"), "l2", "cut"))
-    return w.groupBy("start", "want").agg(best.alias("b")).select("start", "want", F.array_join(F.col("b.cut").cast("array<string>"), ",").alias("path"))
+    """Among walks of length l' >= l from one start: the smallest l' whose cut length is closest to l."""
+    w = walks(spark, sf)
+    d = loop_free_length(w).join(w.filter("i = 1").select("traj", F.col("poi").alias("start")), "traj")
+    d = d.withColumn("want", F.explode(F.array(F.lit(3), F.lit(5), F.lit(7)))).filter("len >= want")
+    best = F.min(F.struct(F.abs(F.col("keep") - F.col("want")).alias("a"), "len", "traj", "keep"))
+    return d.groupBy("start", "want").agg(best.alias("b")).select("start", "want", "b.traj", "b.keep")
+
+
+def cut_first_loop(path):
+    """The same prefix for a short path held as an array."""
+    n = F.size(path)
+    repeat = F.filter(F.sequence(F.lit(1), n), lambda i: F.array_position(path, F.element_at(path, i)) < i)
+    return F.slice(path, 1, F.when(F.size(repeat) > 0, F.array_min(repeat) - 1).otherwise(n))
 
 
 # ---- joins and id mapping ----
@@ -181,8 +195,11 @@ def map_song_artist(spark, sf):
 
 @query("map_song_tracks", "SELECT n_tracks, count(*) AS songs, min(tracks) AS sample FROM (SELECT song, count(*) AS n_tracks, string_agg(track::VARCHAR, ',' ORDER BY pos) AS tracks FROM trk GROUP BY song) GROUP BY n_tracks", extra=TRACKS)
 def map_song_tracks(spark, sf):
-    t = tracks(spark, sf).groupBy("song").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "track"))), lambda x: x["track"].cast("string")).alias("t"))
-    return t.groupBy(F.size("t").cast("long").alias("n_tracks")).agg(F.count("*").alias("songs"), F.min(F.array_join("t", ",")).alias("sample"))
+    """Songs per number of tracks; track lists are kept in blocks of 100."""
+    t = tracks(spark, sf)
+    lists = clean.grouped_lists(t, ["song"], "track", F.col("pos") + 1, 100, "t").filter("block = 0").select("song", F.array_join(F.col("t").cast("array<string>"), ",").alias("t"))
+    n = t.groupBy("song").agg(F.count("*").alias("n_tracks")).join(lists, "song")
+    return n.groupBy("n_tracks").agg(F.count("*").alias("songs"), F.min("t").alias("sample"))
 
 
 @query("first_available_track", "SELECT song, arg_min(track, pos) AS track FROM trk WHERE track % 3 <> 0 GROUP BY song", extra=TRACKS)

@@ -76,18 +76,20 @@ def m_f1_pairs(spark, sf):
     return evaluated(spark, sf).select("qid", "method", "k", "traj", _r(f1_pairs(), "pf1"))
 
 
-@query("m_f1_pairs_path", """SELECT w.traj, round(2.0::DOUBLE * coalesce(nc, 0) / (len(w.path) * (len(w.path) - 1) // 2 + t.len * (t.len - 1) // 2), 6) AS pf1 FROM walk w JOIN ctraj t USING (traj)
-    LEFT JOIN (SELECT a.traj, count(*) AS nc FROM wp a JOIN wp b ON a.traj = b.traj AND a.i < b.i AND a.poi <> b.poi JOIN cseq x ON x.traj = a.traj AND x.poi = a.poi JOIN cseq y ON y.traj = a.traj AND y.poi = b.poi AND x.ord < y.ord GROUP BY a.traj) USING (traj)
-    WHERE len(w.path) >= 2""", "ctraj cseq", WALK + ", wp AS (SELECT traj, unnest(path) AS poi, unnest(range(len(path))) AS i FROM walk)")
+@query("m_f1_pairs_path", """SELECT qid, method, k, traj, round(2.0::DOUBLE * coalesce(nc, 0) / (n1 + n0), 6) AS pf1 FROM (SELECT qid, method, k, traj, 2 * len(path) * (2 * len(path) - 1) // 2 AS n1, len(y) * (len(y) - 1) // 2 AS n0 FROM pt)
+    LEFT JOIN (SELECT a.qid, a.method, a.k, t1.traj, count(*) AS nc FROM wp a JOIN wp b ON a.qid = b.qid AND a.method = b.method AND a.k = b.k AND a.i < b.i AND a.poi <> b.poi JOIN tp t1 ON t1.qid = a.qid AND t1.poi = a.poi JOIN tp t2 ON t2.qid = b.qid AND t2.traj = t1.traj AND t2.poi = b.poi AND t1.i < t2.i GROUP BY 1, 2, 3, 4) USING (qid, method, k, traj)""",
+       NEED, PRED + ", tp AS (SELECT qid, traj, unnest(y) AS poi, unnest(range(1, len(y) + 1)) AS i FROM truth), w2 AS (SELECT qid, method, k, list_concat(list_reverse(path), path) AS p FROM pred), wp AS (SELECT qid, method, k, unnest(p) AS poi, unnest(range(len(p))) AS i FROM w2)")
 def m_f1_pairs_path(spark, sf):
-    """Pairs of a walk that may repeat POI, counted with repetition against a loop-free truth."""
-    t = s.paths(city(spark, sf)[1]).select("traj", F.col("path").alias("y"))
-    d = walks(spark, sf).filter(F.size("path") >= 2).join(t, "traj")
-    at = lambda p: F.array_position(F.col("y"), p)
-    good = F.transform("path", lambda a, i: F.size(F.filter(F.slice("path", i + 2, F.size("path")), lambda b: (b != a) & (at(a) > 0) & (at(b) > at(a)))))
-    hits = F.aggregate(good, F.lit(0), lambda x, y: x + y)
+    """Pairs of a path that repeats POI (there and back again), counted with repetition against a loop-free truth."""
+    d = evaluated(spark, sf).withColumn("path", F.concat(F.reverse("path"), "path"))
     n = lambda p: F.size(p) * (F.size(p) - 1) / 2
-    return d.select("traj", _r(c.f1(hits, n("y"), n("path")), "pf1"))
+    at = F.transform("path", lambda p: F.array_position(F.col("y"), p))
+
+    def count(pos):
+        later = lambda a, i: F.size(F.filter(F.slice(pos, i + 2, F.size(pos)), lambda b: (a > 0) & (b > a)))
+        return F.aggregate(F.transform(pos, later), F.lit(0), lambda x, z: x + z)
+
+    return d.select("qid", "method", "k", "traj", _r(c.f1(c.let(at, count), n("y"), n("path")), "pf1"))
 
 
 @query("m_kendall_tau", "SELECT qid, method, k, traj, round(tau, 6) AS tau FROM tau", NEED, PRED + ", " + TAU)
@@ -176,11 +178,11 @@ def m_method_wins(spark, sf):
     return g.filter(wins & (F.col("len") > 2) & (F.col("t0") < F.col("t1"))).select("qid", F.round(F.col("rand_f1") - F.col("pop_f1"), 6).alias("gain"))
 
 
-@query("m_loop_share", "SELECT len(path) AS len, count(*) AS n, round(avg((len(path) > len(list_distinct(path)))::INT), 6) AS share FROM walk GROUP BY 1", extra=WALK)
+@query("m_loop_share", "SELECT len, count(*) AS n, round(avg((len > d)::INT), 6) AS share FROM (SELECT traj, count(*) AS len, count(DISTINCT poi) AS d FROM walk GROUP BY traj) GROUP BY len", extra=WALK)
 def m_loop_share(spark, sf):
     """Share of walks that repeat a POI, by length."""
-    w = walks(spark, sf)
-    return w.groupBy(F.size("path").cast("long").alias("len")).agg(F.count("*").alias("n"), _r(F.avg((F.size("path") > F.size(F.array_distinct("path"))).cast("int")), "share"))
+    per = walks(spark, sf).groupBy("traj", "poi").agg(F.count("*").alias("k")).groupBy("traj").agg(F.sum("k").alias("len"), F.max("k").alias("most"))
+    return per.groupBy("len").agg(F.count("*").alias("n"), _r(F.avg((F.col("most") > 1).cast("int")), "share"))
 
 
 def GRAMS(n):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F, Window as W
 from recset.functions import columns as c
 from recset.operators import ordering as o, sequence as s
 from recset.plans import query
+from recset.session import cut
 from recset.sources import views as v
 
 
@@ -152,7 +153,7 @@ def query_groups(spark, sf):
 
 def city_queries(trajs):
     """Distinct (start, len) with a 0-based id in sorted order."""
-    d = trajs.filter("len >= 2").select("start", "len").distinct()
+    d = cut(trajs.filter("len >= 2").select("start", "len").distinct(), "query")
     return o.ordinal(d, [], ["start", "len"], o.id_bucket(d, "start"), "q").select("start", "len", (F.col("q") - 1).alias("qid"))
 
 

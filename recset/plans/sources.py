@@ -8,7 +8,7 @@ from recset.plans.cleaning import TAGS, tags
 from recset.plans.features import NODE_FROM, ZGRID, node_table
 from recset.plans.profiles import _r
 from recset.plans.splits import NEG, lowest_missing
-from recset.session import fresh_path
+from recset.session import cut, fresh_path
 from recset.sources import readers as rd, sinks as sk, views as v
 
 
@@ -44,18 +44,25 @@ def src_mixed_tsv(spark, sf):
     return d.withColumn("user_ids", c.id_list(c.json_struct(F.col("linked"), "subjects array<struct<id:long>>")["subjects"]))
 
 
-@query("src_nested_json", "SELECT o_orderpriority AS category, 'u' || o_custkey AS name, count(*) AS lists, sum(n)::BIGINT AS songs, sum(nulls)::BIGINT AS nulls FROM orders JOIN (SELECT l_orderkey, count(*) AS n, sum((l_partkey % 17 = 0)::INT) AS nulls FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1, 2")
+@query("src_nested_json", "SELECT o_orderpriority AS category, 'u' || o_custkey AS name, sum(n)::BIGINT AS songs, sum(nulls)::BIGINT AS nulls FROM orders JOIN (SELECT l_orderkey, count(*) AS n, sum((l_partkey % 17 = 0)::INT) AS nulls FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1, 2")
 def src_nested_json(spark, sf):
-    """Gzip JSON arrays of playlists (about a hundred per array) with nullable song ids."""
+    """Gzip JSON arrays of playlists (up to a hundred per array) with nullable song ids.
+
+    A playlist of more than a thousand entries is written in parts, each in an array of its own.
+    """
     path = fresh_path(spark, "json")
-    li = v.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(
+    li = v.table(spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    n = li.groupBy("l_orderkey").agg(F.ceil(F.count("*") / 1000).alias("parts"))
+    li = li.join(n, "l_orderkey").withColumn("part", F.pmod(F.xxhash64("l_partkey", "l_suppkey", "l_linenumber"), F.col("parts")))
+    li = li.groupBy("l_orderkey", "part").agg(F.collect_list(F.struct(
         F.lit("a").alias("artist"), F.lit("t").alias("title"), F.when(F.col("l_partkey") % 17 != 0, F.col("l_partkey")).alias("song"))).alias("playlist"))
     od = v.table(spark, sf, "orders").withColumnRenamed("o_orderkey", "l_orderkey")
     obj = F.struct(F.col("o_orderpriority").alias("category"), F.struct(F.concat(F.lit("u"), "o_custkey").alias("name"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("member_since")).alias("user"), "playlist")
-    li.join(od, "l_orderkey").groupBy(F.floor(F.col("l_orderkey") / 100)).agg(F.to_json(F.collect_list(obj)).alias("value")).select("value").write.option("compression", "gzip").text(path)
+    arrays = li.join(od, "l_orderkey").groupBy(F.floor(F.col("l_orderkey") / 100), "part").agg(F.to_json(F.collect_list(obj)).alias("value"))
+    arrays.select("value").write.option("compression", "gzip").text(path)
     d = rd.nested_json(spark, path)
-    n = lambda x: F.sum(x).cast("long")
-    return d.groupBy("category", F.col("user.name").alias("name")).agg(F.count("*").alias("lists"), n(F.size("playlist")).alias("songs"), n(F.size(F.filter("playlist", lambda x: x["song"].isNull()))).alias("nulls"))
+    k = lambda x: F.sum(x).cast("long")
+    return d.groupBy("category", F.col("user.name").alias("name")).agg(k(F.size("playlist")).alias("songs"), k(F.size(F.filter("playlist", lambda x: x["song"].isNull()))).alias("nulls"))
 
 
 @query("src_commented_tags", "SELECT track, tag FROM tag", extra=TAGS)
@@ -138,7 +145,7 @@ def merge_partials(spark, sf):
 @query("label_shards", "SELECT idx // 1000 AS shard, min(idx) AS lo, max(idx) + 1 AS hi FROM (SELECT row_number() OVER (ORDER BY pid) - 1 AS idx FROM (SELECT DISTINCT pid FROM pl)) GROUP BY 1", "pl")
 def label_shards(spark, sf):
     """Blocks of 1000 labels; the last one is partial."""
-    d = v.clean_entry(spark, sf).select("pid").distinct()
+    d = cut(v.clean_entry(spark, sf).select("pid").distinct(), "labels")
     d = o.ordinal(d, [], ["pid"], o.id_bucket(d, "pid"), "rn").select((F.col("rn") - 1).alias("idx"))
     return d.groupBy(F.floor(F.col("idx") / 1000).alias("shard")).agg(F.min("idx").alias("lo"), (F.max("idx") + 1).alias("hi"))
 

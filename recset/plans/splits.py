@@ -209,6 +209,7 @@ def lowest_missing(e, ratio, songs):
     The r-th missing id of a list lies among the first r + n song ids, n being its length; so the candidates are the
     first (ratio + 1) * n song numbers and the members are taken away.
     """
+    e = cut(e.select("pid", "song"), "entry")
     n = e.groupBy("pid").agg(F.count("*").alias("n"))
     total = songs.agg(F.count("*")).scalar()
     c = o.numbers(n, F.least((ratio + 1) * F.col("n"), total), "num")
