@@ -14,7 +14,7 @@ def flag_duplicates(df: DataFrame, key: str, pos: str) -> DataFrame:
 
 def merge_longest(df: DataFrame, key: str, texts: list[str], numbers: list[str], pos: str) -> DataFrame:
     """One row per key: the longest text (the first row wins ties) and the largest number of each column."""
-    longest = lambda t: F.max_by(t, F.when(F.col(t).isNotNull(), F.struct(F.length(t), -F.col(pos))))
+    longest = lambda t: F.min(F.when(F.col(t).isNotNull(), F.struct(-F.length(t), F.col(pos), F.col(t).alias("t"))))["t"]
     return df.groupBy(key).agg(*[longest(t).alias(t) for t in texts], *[F.max(n).alias(n) for n in numbers])
 
 

@@ -240,12 +240,12 @@ def m_result_pivot(spark, sf):
     return long.groupBy("method").pivot("x.metric", [f"hr_{k}" for k in ks]).agg(F.round(100 * F.avg("x.v"), 4))
 
 
-@query("playlist_pipeline", """SELECT count(*) AS lists, round(avg(hr), 6) AS hitrate_100, round(avg(auc), 6) AS auc FROM (
+@query("playlist_evaluation", """SELECT count(*) AS lists, round(avg(hr), 6) AS hitrate_100, round(avg(auc), 6) AS auc FROM (
     SELECT h.pid, count(*) FILTER (WHERE g.rank <= 100)::DOUBLE / count(*) AS hr, 1 - sum(g.neg_above)::DOUBLE / (count(*) * (any_value(t.n) - count(*))) AS auc
     FROM (SELECT pid, song FROM pl WHERE md5(pid::VARCHAR || '|test') < '4') h JOIN (SELECT song, row_number() OVER (ORDER BY pop DESC, song) AS rank, 0 AS z FROM pop) r USING (song)
     JOIN (SELECT x.pid, x.song, r2.rank, r2.rank - 1 - (row_number() OVER (PARTITION BY x.pid ORDER BY r2.rank) - 1) AS neg_above FROM pl x JOIN (SELECT song, row_number() OVER (ORDER BY pop DESC, song) AS rank FROM pop) r2 USING (song) WHERE md5(x.pid::VARCHAR || '|test') < '4') g
     ON g.pid = h.pid AND g.song = h.song, (SELECT count(*) AS n FROM pop) t GROUP BY h.pid)""", "pl", POP)
-def playlist_pipeline(spark, sf):
+def playlist_evaluation(spark, sf):
     """Flagship: clean lists, split, rank by training popularity, evaluate every held-out list.
 
     All lists share one ranking, so only the positives are joined; negatives above a positive follow from its rank.

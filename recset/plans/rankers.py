@@ -223,7 +223,11 @@ def rank_by_score(spark, sf):
 
 
 def best_scored(n, longest=1000):
-    """Paths from (qid, start, len, poi, score); only the first len - 1 rows per query are kept before collecting."""
+    """Paths from (qid, start, len, poi, score); only the first len - 1 rows per query are kept before collecting.
+
+    A query longer than `longest` is an error.
+    """
+    n = n.withColumn("len", F.when(F.col("len") > longest, F.raise_error(F.lit("query longer than a path may be"))).otherwise(F.col("len")))
     few = o.top_k(n.filter("poi <> start"), ["qid"], [F.desc("score"), "poi"], longest, "rn").filter("rn < len")
     g = few.groupBy("qid", "start", "len").agg(F.array_sort(F.collect_list(F.struct("rn", "poi"))).alias("a"))
     return g.select("qid", "start", "len", F.concat(F.array("start"), F.transform("a", lambda x: x["poi"])).alias("path"))

@@ -181,21 +181,30 @@ def loo_queries(spark, sf):
        """drawn AS (SELECT * FROM (SELECT q.*, fold, attempt, row_number() OVER (PARTITION BY fold, attempt ORDER BY md5(qid || '|' || fold || '|' || attempt || '|mc'), qid) AS rn FROM cquery q,
     (SELECT unnest(range(1, 6)) AS fold), (SELECT unnest(range(1, 4)) AS attempt)) WHERE rn <= (SELECT ceil(0.1::DOUBLE * count(*)) FROM cquery))""")
 def mc_cv_folds(spark, sf):
-    """Five Monte-Carlo folds of 10 % of the queries; the first of three draws in which every test start stays in training."""
+    """Five Monte-Carlo folds of 10 % of the queries, each redrawn until every test start stays in training."""
     _, seq = city(spark, sf)
     t = cut(s.paths(seq).select("traj", "start", "len"), "traj")
     q = cut(city_queries(t), "query")
-    draws = q.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(5)))).withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(3))))
-    keyed = draws.withColumn("_h", o.md5_of("qid", "fold", "attempt", seed="mc"))
     size = F.ceil(F.lit(0.1) * q.agg(F.count("*")).scalar())
-    drawn = cut(o.ordinal(keyed, ["fold", "attempt"], ["_h", "qid"], o.md5_bucket("_h"), "rn").filter(F.col("rn") <= size).select("fold", "attempt", "qid", "start", "len"), "drawn")
-    per = seq.join(t, "traj").groupBy("start", "len", F.col("poi").alias("p")).agg(F.count("*").alias("k"))
+    per = cut(seq.join(t, "traj").groupBy("start", "len", F.col("poi").alias("p")).agg(F.count("*").alias("k")), "per")
     total = per.groupBy(F.col("p").alias("start")).agg(F.sum("k").alias("total"))
-    out = drawn.join(per, ["start", "len"]).groupBy("fold", "attempt", F.col("p").alias("start")).agg(F.sum("k").alias("lost"))
-    d = drawn.join(total, "start").join(out, ["fold", "attempt", "start"], "left")
-    ok = d.groupBy("fold", "attempt").agg(F.min((F.col("total") - F.coalesce("lost", F.lit(0)) > 0).cast("int")).alias("ok")).filter("ok = 1")
-    first = ok.groupBy("fold").agg(F.min("attempt").alias("attempt"))
-    return drawn.join(first, ["fold", "attempt"]).select("fold", "attempt", "qid")
+    out, left = None, [1, 2, 3, 4, 5]
+    for first in range(1, 100, 3):
+        attempts = F.sequence(F.lit(first), F.lit(first + 2))
+        draws = q.withColumn("fold", F.explode(F.array(*[F.lit(f) for f in left]))).withColumn("attempt", F.explode(attempts))
+        keyed = draws.withColumn("_h", o.md5_of("qid", "fold", "attempt", seed="mc"))
+        drawn = cut(o.ordinal(keyed, ["fold", "attempt"], ["_h", "qid"], o.md5_bucket("_h"), "rn").filter(F.col("rn") <= size).select("fold", "attempt", "qid", "start", "len"), "drawn")
+        lost = drawn.join(per, ["start", "len"]).groupBy("fold", "attempt", F.col("p").alias("start")).agg(F.sum("k").alias("lost"))
+        d = drawn.join(total, "start").join(lost, ["fold", "attempt", "start"], "left")
+        ok = d.groupBy("fold", "attempt").agg(F.min((F.col("total") - F.coalesce("lost", F.lit(0)) > 0).cast("int")).alias("ok")).filter("ok = 1")
+        found = ok.groupBy("fold").agg(F.min("attempt").alias("attempt")).collect()  # at most one row per fold
+        for r in found:
+            one = drawn.filter((F.col("fold") == r["fold"]) & (F.col("attempt") == r["attempt"]))
+            out = one if out is None else out.unionByName(one)
+        left = [f for f in left if f not in {r["fold"] for r in found}]
+        if not left:
+            return out.select("fold", "attempt", "qid")
+    raise ValueError(f"no valid draw for folds {left}")
 
 
 @query("shuffle_rows", "SELECT vec_id, row_number() OVER (ORDER BY md5(vec_id::VARCHAR || '|sh'), vec_id) AS rn FROM embeddings")
@@ -229,18 +238,21 @@ def negative_sampling(spark, sf):
 
 
 def hashed_negatives(e, ratio, songs):
-    """Seeded negatives per list: hash draws over song numbers; drawn members are replaced by further draws.
+    """Seeded negatives per list: hash draws over song numbers without the members, in draw order.
 
-    Any list gets 2 * (ratio + 1) * n draws, distinct after `distinct`; the first ratio * n misses in draw order are kept.
+    A list gets 2 * (ratio + 1) * n draws. Repeated draws may leave it short; the lowest missing ids then fill it up, so
+    every list gets ratio * n negatives as long as the catalogue has them.
     """
+    e = cut(e.select("pid", "song"), "entry")
     total = songs.agg(F.count("*")).scalar()
     numbered = o.ordinal(songs, [], ["song"], o.id_bucket(songs, "song"), "num")
     n = e.groupBy("pid").agg(F.count("*").alias("n"))
-    c = o.numbers(n, F.col("n") * (2 * (ratio + 1)), "d")
-    c = c.withColumn("num", F.pmod(F.xxhash64("pid", "d"), total) + 1).groupBy("pid", "n", "num").agg(F.min("d").alias("d"))
-    c = c.join(numbered, "num").join(e.select("pid", "song"), ["pid", "song"], "left_anti")
-    c = o.ordinal(c, ["pid"], ["d"], F.floor(F.col("d") / 4096), "r")
-    return c.filter(F.col("r") <= ratio * F.col("n")).select("pid", "song")
+    c = o.numbers(n, F.col("n") * (2 * (ratio + 1)), "d").withColumn("num", F.pmod(F.xxhash64("pid", "d"), total) + 1)
+    drawn = c.join(numbered, "num").join(e, ["pid", "song"], "left_anti").select("pid", "song", "d")
+    fill = lowest_missing(e, ratio, songs).withColumn("d", F.lit(1 << 60) + F.col("song"))
+    best = cut(drawn.unionByName(fill).groupBy("pid", "song").agg(F.min("d").alias("d")), "negatives")
+    r = o.ordinal(best, ["pid"], ["d"], F.floor(F.least(F.col("d"), F.lit(1 << 40)) / 4096), "r")
+    return r.join(n, "pid").filter(F.col("r") <= ratio * F.col("n")).select("pid", "song")
 
 
 @query("negative_sampling_seeded")

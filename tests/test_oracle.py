@@ -8,7 +8,7 @@ from tests import harness as h
 
 SF = os.environ.get("RECSET_SF", "/root/testdata/sf0.001")
 Q, S = entry.queries(), entry.oracle_sql()
-SAMPLE = """playlist_pipeline poi_info_ext multi_truth_ratio transition_pairs transmat_cat cum_reward dup_flag dup_merge_longest user_lists
+SAMPLE = """playlist_evaluation poi_info_ext multi_truth_ratio transition_pairs transmat_cat cum_reward dup_flag dup_merge_longest user_lists
 json_props_repair json_user_props match_title_artist poi_distance seed_features zscore pair_differences split_cold_users split_augment
 negative_sampling artist_cooccurrence rank_cagh_seed linear_score user_knn multitask_penalty weight_distance m_auc m_rprecision m_nrr
 m_hamming_rows m_truth_diversity klucb_poisson al_committee_kl src_nested_json sink_dataset st_sessionize st_transitions st_late""".split()
