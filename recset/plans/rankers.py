@@ -290,14 +290,14 @@ def neighbours(spark, sf, k=K_NEIGHBOURS):
     st = a.filter("train").agg(F.struct(F.avg("a").alias("m"), F.stddev_pop("a").alias("s"))).scalar()
     a = cut(a.withColumn("z", (F.col("a") - st["m"]) / (st["s"] + 1e-6)).select("usr", "train", "z", "country", "subscriber"), "attr")
     tr, te = a.filter("train"), a.filter("not train")
-    cell = o.top_k(tr, ["country", "subscriber", "z"], ["usr"], k, "r").groupBy(
-        F.col("country").alias("c2"), F.col("subscriber").alias("s2"), F.col("z").alias("z2")).agg(F.array_sort(F.collect_list("usr")).alias("nbs"))
-    cell = cut(cell, "cell")
+    keys = ["c2", "s2", "z2"]
+    members = cut(o.top_k(tr, ["country", "subscriber", "z"], ["usr"], k, "r").select(
+        F.col("country").alias("c2"), F.col("subscriber").alias("s2"), F.col("z").alias("z2"), F.col("usr").alias("nb")), "members")
+    cell = cut(members.groupBy(*keys).agg(F.min("nb").alias("first")), "cell")
     known = te.select("country", "subscriber", "z").distinct()
     has = lambda col: F.array_contains(ft.vocabulary(tr, col), F.col(col)).cast("double")
-    known = known.withColumn("hc", has("country")).withColumn("hs", has("subscriber"))
-    first = F.element_at("nbs", 1)
-    ends = F.broadcast(cell.orderBy("z2", first).limit(k).unionByName(cell.orderBy(F.desc("z2"), first).limit(k)).distinct())  # 2k rows
+    known = cut(known.withColumn("hc", has("country")).withColumn("hs", has("subscriber")), "known")
+    ends = F.broadcast(cell.orderBy("z2", "first").limit(k).unionByName(cell.orderBy(F.desc("z2"), "first").limit(k)).distinct())  # 2k rows
     far = known.join(ends, (F.col("country") != F.col("c2")) & (F.col("subscriber") != F.col("s2")))
     near = known.join(cell, F.col("country") == F.col("c2")).unionByName(known.join(cell, (F.col("subscriber") == F.col("s2"))).filter("country <> c2"))
     both = near.unionByName(far)
@@ -305,8 +305,8 @@ def neighbours(spark, sf, k=K_NEIGHBOURS):
     num = same + F.col("z") * F.col("z2")
     n1, n2 = F.col("z") * F.col("z") + F.col("hc") + F.col("hs"), F.col("z2") * F.col("z2") + 2.0
     both = both.withColumn("cos", F.round(num / F.sqrt(n1 * n2), 9)).withColumn("cos_sq", F.round(num / (n1 * n2), 9))
-    best = o.top_k(both.withColumn("first", first), ["country", "subscriber", "z"], [F.desc("cos"), "first"], k, "r")
-    best = o.top_k(best.select("country", "subscriber", "z", "cos", "cos_sq", F.explode("nbs").alias("nb")), ["country", "subscriber", "z"], [F.desc("cos"), "nb"], k, "rank")
+    best = o.top_k(both, ["country", "subscriber", "z"], [F.desc("cos"), "first"], k, "r").select("country", "subscriber", "z", *keys, "cos", "cos_sq")
+    best = o.top_k(best.join(members, keys), ["country", "subscriber", "z"], [F.desc("cos"), "nb"], k, "rank")
     return te.select("usr", "country", "subscriber", "z").join(best, ["country", "subscriber", "z"]).select("usr", "nb", "cos", "cos_sq", F.col("rank").cast("long").alias("rank"))
 
 
