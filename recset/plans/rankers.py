@@ -279,35 +279,40 @@ K_NEIGHBOURS = 10
 
 
 def neighbours(spark, sf, k=K_NEIGHBOURS):
-    """(usr, nb, cos, cos_sq): exact k nearest training users of every other user by attribute cosine.
-
-    Vectors are (z-scored age, one-hot country, one-hot subscriber), so a cosine depends on three things: same
-    country, same subscriber, age. Training users are grouped into cells of equal attributes, of which the k lowest
-    ids are enough. A neighbour shares the country (equi-join), shares the subscriber (equi-join), or shares neither;
-    in the last case the cosine is monotone in the age, so the k oldest and k youngest users cover it.
+    """(usr, nb, cos, cos_sq, rank): exact k nearest training users of every other user by attribute cosine.
+
+    Vectors are (z-scored age, one-hot country, one-hot subscriber), so a cosine depends on the number m of shared
+    categories and on the ages. Training users are grouped by (shared columns, age), of which the k lowest ids are
+    enough; three equi-joins bring the groups that share both, the country, or the subscriber. With nothing shared the
+    cosine is monotone in the age, so the k lowest and k highest ages do. A user may be met with fewer shared
+    categories than true, that is with a lower score; the best score per user counts, and users ahead of a candidate
+    in one of the joins are ahead of it in truth too, so k per join are enough.
     """
     a = attributes(spark, sf).withColumn("a", F.when(F.col("age").isNull() | (F.col("age") < 1), 0.0).otherwise(F.col("age").cast("double")))
     st = a.filter("train").agg(F.struct(F.avg("a").alias("m"), F.stddev_pop("a").alias("s"))).scalar()
     a = cut(a.withColumn("z", (F.col("a") - st["m"]) / (st["s"] + 1e-6)).select("usr", "train", "z", "country", "subscriber"), "attr")
     tr, te = a.filter("train"), a.filter("not train")
-    keys = ["c2", "s2", "z2"]
-    members = cut(o.top_k(tr, ["country", "subscriber", "z"], ["usr"], k, "r").select(
-        F.col("country").alias("c2"), F.col("subscriber").alias("s2"), F.col("z").alias("z2"), F.col("usr").alias("nb")), "members")
-    cell = cut(members.groupBy(*keys).agg(F.min("nb").alias("first")), "cell")
-    known = te.select("country", "subscriber", "z").distinct()
     has = lambda col: F.array_contains(ft.vocabulary(tr, col), F.col(col)).cast("double")
-    known = cut(known.withColumn("hc", has("country")).withColumn("hs", has("subscriber")), "known")
-    ends = F.broadcast(cell.orderBy("z2", "first").limit(k).unionByName(cell.orderBy(F.desc("z2"), "first").limit(k)).distinct())  # 2k rows
-    far = known.join(ends, (F.col("country") != F.col("c2")) & (F.col("subscriber") != F.col("s2")))
-    near = known.join(cell, F.col("country") == F.col("c2")).unionByName(known.join(cell, (F.col("subscriber") == F.col("s2"))).filter("country <> c2"))
-    both = near.unionByName(far)
-    same = (F.col("country") == F.col("c2")).cast("double") + (F.col("subscriber") == F.col("s2")).cast("double")
-    num = same + F.col("z") * F.col("z2")
+    me = ["country", "subscriber", "z"]
+    known = cut(te.select(*me).distinct().withColumn("hc", has("country")).withColumn("hs", has("subscriber")), "known")
     n1, n2 = F.col("z") * F.col("z") + F.col("hc") + F.col("hs"), F.col("z2") * F.col("z2") + 2.0
-    both = both.withColumn("cos", F.round(num / F.sqrt(n1 * n2), 9)).withColumn("cos_sq", F.round(num / (n1 * n2), 9))
-    best = o.top_k(both, ["country", "subscriber", "z"], [F.desc("cos"), "first"], k, "r").select("country", "subscriber", "z", *keys, "cos", "cos_sq")
-    best = o.top_k(best.join(members, keys), ["country", "subscriber", "z"], [F.desc("cos"), "nb"], k, "rank")
-    return te.select("usr", "country", "subscriber", "z").join(best, ["country", "subscriber", "z"]).select("usr", "nb", "cos", "cos_sq", F.col("rank").cast("long").alias("rank"))
+    found = None
+    for shared in (["country", "subscriber"], ["country"], ["subscriber"], []):
+        members = cut(o.top_k(tr, [*shared, "z"], ["usr"], k, "r").select(*shared, F.col("z").alias("z2"), F.col("usr").alias("nb")), "members")
+        cell = members.groupBy(*shared, "z2").agg(F.min("nb").alias("first"))
+        if shared:
+            near = known.join(cell, shared)
+        else:
+            ends = cell.orderBy("z2").limit(k).unionByName(cell.orderBy(F.desc("z2")).limit(k)).distinct()
+            few = ends.agg(F.collect_list(F.struct("z2", "first"))).scalar()  # 2k ages
+            near = known.withColumn("e", few).withColumn("e", F.explode("e")).select(*known.columns, "e.z2", "e.first")
+        num = float(len(shared)) + F.col("z") * F.col("z2")
+        near = near.withColumn("cos", F.round(num / F.sqrt(n1 * n2), 9)).withColumn("cos_sq", F.round(num / (n1 * n2), 9))
+        best = o.top_k(near, me, [F.desc("cos"), "first"], k, "r").select(*me, "z2", "cos", "cos_sq").join(members, [*shared, "z2"])
+        found = best.select(*me, "nb", "cos", "cos_sq") if found is None else found.unionByName(best.select(*me, "nb", "cos", "cos_sq"))
+    best = found.groupBy(*me, "nb").agg(F.max(F.struct("cos", "cos_sq")).alias("b")).select(*me, "nb", "b.cos", "b.cos_sq")
+    best = o.top_k(best, me, [F.desc("cos"), "nb"], k, "rank")
+    return te.select("usr", *me).join(best, me).select("usr", "nb", "cos", "cos_sq", F.col("rank").cast("long").alias("rank"))
 
 
 KNN = ATTR + f""", knn AS (SELECT usr, nb, cos, cos_sq, row_number() OVER (PARTITION BY usr ORDER BY cos DESC, nb) AS rank FROM (SELECT t.usr, n.usr AS nb,
