@@ -259,7 +259,7 @@ def artist_songs(spark, sf):
 def poi_distance(spark, sf):
     """Distance of the POI pairs that occur as steps; the full pair table is never built."""
     p = v.poi(spark, sf)
-    e = s.edge_counts(s.place(v.visit(spark, sf))).select("src", "dst")
+    e = s.edge_counts(cut(s.place(v.visit(spark, sf)).select("traj", "poi", "ord"), "seq")).select("src", "dst")
     side = lambda name, n: p.select(F.col("poi").alias(name), F.col("lon").alias(f"lon{n}"), F.col("lat").alias(f"lat{n}"))
     e = e.join(side("src", 0), "src").join(side("dst", 1), "dst")
     return e.select("src", "dst", _r(c.haversine_km(*[F.col(x) for x in ("lon0", "lat0", "lon1", "lat1")]), "km"))
@@ -277,8 +277,8 @@ GRID = "grid AS (SELECT DISTINCT qid, q.start, q.len, s.poi FROM cquery q JOIN c
 
 @query("query_poi_grid", "SELECT qid, start, len, poi FROM grid", "cquery cseq ctraj", GRID)
 def query_poi_grid(spark, sf):
-    seq = s.place(v.city_visit(spark, sf))
-    return candidate_grid(seq, s.paths(seq)).select("qid", "start", "len", "poi")
+    seq = cut(s.place(v.city_visit(spark, sf)), "seq")
+    return candidate_grid(seq, cut(s.paths(seq).select("traj", "start", "len"), "traj")).select("qid", "start", "len", "poi")
 
 
 # Fixed rule of the test song set: the newest songs.
@@ -296,7 +296,7 @@ def playlists_touching_test(spark, sf):
     (SELECT sum(t.len)::BIGINT FROM ctraj t WHERE NOT (t.start = q.start AND t.len = q.len)) AS n_train_visits FROM cquery q""", "cquery ctraj")
 def train_minus_query(spark, sf):
     """Training volume of each leave-one-query-out fold: the whole minus the share of the query."""
-    t = s.paths(s.place(v.city_visit(spark, sf)))
+    t = cut(s.paths(s.place(v.city_visit(spark, sf))).select("traj", "start", "len"), "traj")
     own = t.groupBy("start", "len").agg(F.count("*").alias("n"), F.sum("len").alias("k"))
     return city_queries(t).join(own, ["start", "len"]).select(
         "qid", (t.agg(F.count("*")).scalar() - F.col("n")).alias("n_train_traj"), (t.agg(F.sum("len")).scalar() - F.col("k")).alias("n_train_visits"))
@@ -321,7 +321,7 @@ def candidates_minus_seeds(spark, sf):
 
 @query("common_queries", """SELECT start, len FROM (SELECT start, len, usr % 3 AS method FROM ctraj WHERE len >= 2 GROUP BY ALL) GROUP BY 1, 2 HAVING count(DISTINCT method) = 3""", "ctraj")
 def common_queries(spark, sf):
-    t = s.paths(s.place(v.city_visit(spark, sf))).filter("len >= 2").withColumn("m", F.col("usr") % 3)
+    t = cut(s.paths(s.place(v.city_visit(spark, sf))).filter("len >= 2").select("start", "len", (F.col("usr") % 3).alias("m")).distinct(), "answered")
     one = lambda m: t.filter(F.col("m") == m).select("start", "len")
     return one(0).intersect(one(1)).intersect(one(2))
 

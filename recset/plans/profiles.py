@@ -222,8 +222,8 @@ def prune_best_trajectory(spark, sf):
     (SELECT count(*) FROM cquery) AS queries, round(avg(len), 6) AS avg_len, sum((len < 5)::INT)::BIGINT AS short_t, sum((len >= 5)::INT)::BIGINT AS long_t
     FROM ctraj""", "ctraj cquery")
 def traj_profile(spark, sf):
-    vis = v.city_visit(spark, sf)
-    t = s.paths(s.place(vis))
+    vis = cut(s.place(v.city_visit(spark, sf)), "seq")
+    t = cut(s.paths(vis).select("traj", "usr", "start", "len"), "traj")
     base = t.agg(F.count("*").alias("trajs"), _r(F.avg("len"), "avg_len"), F.sum((F.col("len") < 5).cast("long")).alias("short_t"),
                  F.sum((F.col("len") >= 5).cast("long")).alias("long_t"))
     n = lambda d: d.distinct().agg(F.count("*")).scalar()

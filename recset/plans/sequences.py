@@ -68,7 +68,7 @@ def trajectories(spark, sf):
 
 @query("transition_pairs", """SELECT a.traj, a.ord, a.poi AS src, b.poi AS dst FROM tseq a JOIN tseq b ON a.traj = b.traj AND b.ord = a.ord + 1""", "tseq")
 def transition_pairs(spark, sf):
-    return s.steps(s.place(v.visit(spark, sf))).select("traj", (F.col("ord") - 1).alias("ord"), "src", "dst")
+    return s.steps(cut(s.place(v.visit(spark, sf)), "seq")).select("traj", (F.col("ord") - 1).alias("ord"), "src", "dst")
 
 
 def _tm(key, cls_sql, dom):
@@ -127,7 +127,7 @@ def poi_bigram_freq(spark, sf):
 @query("poi_position_probs", """SELECT poi, round(avg((ord = 1)::INT), 6) AS start_p, round(avg((ord = len)::INT), 6) AS stop_p,
     round(avg((ord > 1 AND ord < len)::INT), 6) AS middle_p FROM tseq GROUP BY poi""", "tseq")
 def poi_position_probs(spark, sf):
-    seq = s.place(v.visit(spark, sf))
+    seq = cut(s.place(v.visit(spark, sf)).select("traj", "poi", "ord"), "seq")
     lens = seq.groupBy("traj").agg(F.max("ord").alias("len"))
     share = lambda cond: F.avg(cond.cast("double"))
     return seq.join(lens, "traj").groupBy("poi").agg(
@@ -147,7 +147,7 @@ DIST = lambda a, b: f"2*6371.0088::DOUBLE*asin(sqrt(pow(sin((radians({a}.lat)-ra
     JOIN (SELECT usr, round(avg(k), 6) AS avg_len, max(k) AS max_len, min(k) AS min_len, sum(k)::BIGINT AS tot_len, round(count(*)::DOUBLE / max(count(*)) OVER (), 6) AS ratio
           FROM (SELECT usr, traj, count(*) AS k FROM tseq GROUP BY 1, 2) GROUP BY usr) u ON u.usr = t.usr GROUP BY t.traj""", "tseq poi")
 def session_features(spark, sf):
-    seq = s.place(v.visit(spark, sf)).join(v.poi(spark, sf), "poi")
+    seq = cut(s.place(v.visit(spark, sf)).join(v.poi(spark, sf), "poi"), "seq")
     prev = seq.select("traj", (F.col("ord") + 1).alias("ord"), F.col("lon").alias("lon0"), F.col("lat").alias("lat0"))
     x = seq.join(prev, ["traj", "ord"], "left").withColumn("d", c.haversine_km(F.col("lon"), F.col("lat"), F.col("lon0"), F.col("lat0")))
     per = x.groupBy("traj", "usr").agg(
