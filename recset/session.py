@@ -1,7 +1,6 @@
 """Session defaults and the shared scratch location."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,14 +24,12 @@ def build(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: `spark.checkpoint.dir` when the cluster names one.
-
-    A local temporary folder is used only when nothing is configured, as in tests.
-    """
+    """Folder every executor can reach: `spark.checkpoint.dir`, else the checkpoint folder set on the context, else
+    a folder in the warehouse, which a cluster shares as well. There is no machine-local fallback."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="recset-")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/recset-work"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     return root
