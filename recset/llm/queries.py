@@ -19,7 +19,7 @@ def query(key: str, sql: str | None = None):
 
 
 # Modules that register queries, in the order of their numbers.
-MODULES = "url_rules bit_planes packing token_counts".split()
+MODULES = "token_counts simhash bit_planes packing url_rules".split()
 
 for _m in MODULES:
     importlib.import_module(f"recset.llm.{_m}")
