@@ -19,7 +19,7 @@ def query(key: str, sql: str | None = None):
 
 
 # Modules that register queries, in the order of their numbers.
-MODULES = "decontamination token_counts language_id simhash bit_planes packing url_rules".split()
+MODULES = "decontamination token_counts language_id simhash bit_planes packing url_rules pivots".split()
 
 for _m in MODULES:
     importlib.import_module(f"recset.llm.{_m}")
