@@ -43,8 +43,13 @@ LOOSE = {
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "phone": r"(?<![0-9A-Za-z])(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])",
 }
+# Whole forms that a base match swallows and then fails on, since it runs on into the digits next to them.
+WHOLE = {
+    "card": r"(?<![0-9A-Za-z.-])[0-9]{13,19}(?![0-9A-Za-z.-])",
+    "phone": r"\+[0-9]{1,3} ?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+}
 # A text without this character has no match (cheap test before the pattern).
-NEEDS = {("email", "base"): "@", ("phone", "base"): "+", ("ip", "base"): ".", ("ip", "loose"): ":"}
+NEEDS = {("email", "base"): "@", ("phone", "base"): "+", ("ip", "base"): ".", ("ip", "loose"): ":", ("phone", "whole"): "+"}
 CUES = {
     "email": ("mail|contact|write to|reach|courriel|correo|kontakt", "example|version"),
     "ip": (r"\bip\b|host|server|login|address|adresse|client|from", r"\bv\b|version|section|chapter|release"),
@@ -92,10 +97,10 @@ def _matches(df: DataFrame, text: str, patterns: dict[str, tuple[str, str | None
 
 def candidates(docs: DataFrame, text: str = "text", out: str = "candidates") -> DataFrame:
     """`docs` with an array of candidates: kind (number in KINDS), form (0 base, 1 base pattern that fails its check, 2
-    loose), start, end, and the votes."""
+    loose, or whole form next to other digits), start, end, and the votes."""
     keep = docs.columns
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    patterns = {f"{k}_base": (p, NEEDS.get((k, "base"))) for k, p in BASE.items()} | {f"{k}_loose": (p, NEEDS.get((k, "loose"))) for k, p in LOOSE.items()}
+    patterns = {f"{k}_{f}": (p, NEEDS.get((k, f))) for f, own in (("base", BASE), ("loose", LOOSE), ("whole", WHOLE)) for k, p in own.items()}
     inner = _matches(inner, "body", patterns)
     parts = []
     for n in patterns:
@@ -103,7 +108,7 @@ def candidates(docs: DataFrame, text: str = "text", out: str = "candidates") ->
         good, bad = CUES[kind]
         form = f"CASE WHEN {CHECKS[kind]} THEN 0 ELSE 1 END" if kind_form == "base" else "2"
         parts.append(f"""transform({n}, s -> named_struct('kind', {KINDS.index(kind)}, 'form', {form}, 'start', s.start, 'end', s.end,
-            'pattern', {f"CASE WHEN {CHECKS[kind]} THEN 1 ELSE -1 END" if kind_form == "base" else "0"}, 'gazetteer', {GAZETTEER[kind]},
+            'pattern', {f"CASE WHEN {CHECKS[kind]} THEN 1 ELSE -1 END" if kind_form != "loose" else "0"}, 'gazetteer', {GAZETTEER[kind]},
             'context', CASE WHEN s.before RLIKE r'{bad}' THEN -1 WHEN s.before RLIKE r'{good}' THEN 1 ELSE 0 END,
             'edge', CASE WHEN s.before RLIKE r'[\\p{{L}}0-9_]$' OR s.after RLIKE r'[\\p{{L}}0-9_]' THEN -1 ELSE 0 END))""")
     inner = inner.withColumn("c", F.expr(f"concat({', '.join(parts)})"))
@@ -146,19 +151,23 @@ class SpanModel:
     def features(kind: int, form: int, votes: list[int]) -> list[float]:
         return [*[float(kind == k) for k in range(len(KINDS))], float(form == 1), float(form == 2), *map(float, votes)]
 
-    def _classifier(self, rounds: int = 400, rate: float = 1.0, ridge: float = 1e-3) -> list[float]:
-        """Logistic regression on the probabilities, a row for each vote pattern with its share of the spans. Patterns
-        count by the root of their number, so that rare forms matter."""
+    def _classifier(self, rounds: int = 30, ridge: float = 0.01) -> list[float]:
+        """Logistic regression on the probabilities by Newton steps, a row for each vote pattern. Patterns count by the
+        root of their number, so that rare forms matter."""
         rows = [(self.features(k, f, v), self.posterior(k, v), math.sqrt(n)) for k, f, *v, n in self.counts]
-        w = [0.0] * (len(KINDS) + 2 + len(VOTES))
-        total = sum(n for *_, n in rows) or 1.0
+        size = len(KINDS) + 2 + len(VOTES)
+        w = [0.0] * size
         for _ in range(rounds if rows else 0):
             grad = [ridge * x for x in w]
+            curve = [[ridge * (i == j) for j in range(size)] for i in range(size)]
             for x, q, n in rows:
-                d = (1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x)))) - q) * n / total
-                for k, b in enumerate(x):
-                    grad[k] += d * b
-            w = [a - rate * g for a, g in zip(w, grad)]
+                p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(w, x))))))
+                some = [k for k in range(size) if x[k]]
+                for i in some:
+                    grad[i] += (p - q) * n * x[i]
+                    for j in some:
+                        curve[i][j] += max(p * (1 - p), 1e-6) * n * x[i] * x[j]
+            w = [a - b for a, b in zip(w, _solved(curve, grad))]
         return w
 
     def accepts(self) -> str:
@@ -170,6 +179,20 @@ class SpanModel:
         return f"({total}) >= {math.log(ACCEPT / (1 - ACCEPT))!r}D"
 
 
+def _solved(a: list[list[float]], b: list[float]) -> list[float]:
+    """Solution of a small positive definite system."""
+    n = len(b)
+    rows = [[*r, x] for r, x in zip(a, b)]
+    for i in range(n):
+        for k in range(i + 1, n):
+            f = rows[k][i] / rows[i][i]
+            rows[k] = [x - f * y for x, y in zip(rows[k], rows[i])]
+    out = [0.0] * n
+    for i in reversed(range(n)):
+        out[i] = (rows[i][n] - sum(rows[i][k] * out[k] for k in range(i + 1, n))) / rows[i][i]
+    return out
+
+
 def _shares(n: dict[int, float]) -> dict[int, float]:
     total = sum(n.values())
     return {v: x / total for v, x in n.items()}
@@ -183,12 +206,15 @@ def fit(found: DataFrame, column: str = "candidates") -> SpanModel:
 def spans(found: DataFrame, model: SpanModel, column: str = "candidates", base: str = "base", all_: str = "spans") -> DataFrame:
     """Replace the candidates by two sorted arrays of (kind, start, end): base spans, and all spans."""
     short = "transform({}, c -> named_struct('kind', c.kind, 'start', c.start, 'end', c.end))"
-    b, m = free_name(found, "base_part"), free_name(found, "more_part")
+    b, m, w = (free_name(found, n) for n in ("base_part", "more_part", "wide_part"))
     found = found.withColumn(b, F.expr(f"filter(`{column}`, c -> c.form = 0)"))
     found = found.withColumn(m, F.expr(f"""filter(`{column}`, c -> c.form > 0 AND {model.accepts()}
         AND NOT exists(`{b}`, e -> e.start < c.end AND c.start < e.end))"""))
-    out = found.withColumns({base: F.expr(f"array_sort({short.format(f'`{b}`')})"), all_: F.expr(f"array_sort({short.format(f'concat(`{b}`, `{m}`)')})")})
-    return out.drop(b, m, *([column] if column not in (base, all_) else []))
+    # Of added spans that overlap, the one that starts first stays, or the longer one.
+    found = found.withColumn(w, F.expr(f"""filter(`{m}`, c -> NOT exists(`{m}`, e -> e.start < c.end AND c.start < e.end
+        AND (e.start < c.start OR (e.start = c.start AND (e.end > c.end OR (e.end = c.end AND e.kind < c.kind))))))"""))
+    out = found.withColumns({base: F.expr(f"array_sort({short.format(f'`{b}`')})"), all_: F.expr(f"array_sort({short.format(f'concat(`{b}`, `{w}`)')})")})
+    return out.drop(b, m, w, *([column] if column not in (base, all_) else []))
 
 
 def listed(column: str) -> str:

@@ -67,6 +67,8 @@ def test_added_spans_and_redaction(spark):
     """Loose forms with support from other labelers are added; numbers without it stay."""
     rows = [(i, f"please call me by phone at +1 (603) 555-{1000 + i} or mail u{i}@site.com") for i in range(60)]
     rows += [(100 + i, f"serial token = 41111111111111{i:02d}, order 999.12.13.{i}") for i in range(40)]
+    rows += [(300 + i, f"pay by card {n} now") for i, n in enumerate(["4111111111111111", "5500000000000004"] * 15)]
+    rows += [(203, "see +1 (045) 555-2077 170.106.47.218 and 555-1234 4111111111111111 there")]
     rows += [(200, "phone me: (603) 555-8791 ok"), (201, "contact: jane [at] site [dot] org, thanks"), (202, "clean words, 1999 and 12 of them")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = p.candidates(docs)
@@ -75,6 +77,7 @@ def test_added_spans_and_redaction(spark):
     got = {r.doc_id: r for r in done.collect()}
     assert got[200].out == "phone me: <PHONE> ok" and got[201].out == "contact: <EMAIL>, thanks"
     assert got[3].out == "please call me by phone at <PHONE> or mail <EMAIL>" and got[202].out == rows[-1][1]
+    assert got[203].out == "see <PHONE> <IP> and 555-1234 <CARD> there"
     # Numbers that fail their check are not added, whatever the rest of the corpus holds.
     assert all(got[100 + i].spans == got[100 + i].base for i in range(40))
     assert model.posterior(3, [1, 1, 1, 0]) > 0.9 > 0.5 > model.posterior(2, [-1, 1, -1, 0])
