@@ -24,7 +24,7 @@ from recset.llm.word_ids import word_ids
 
 WINDOW = 2048
 END = 1
-BUCKETS = 256  # parts in which the items of one length are numbered
+BUCKETS = 1024  # parts in which the items of one length are numbered
 
 
 class RoomTree:
@@ -135,7 +135,7 @@ def pack(items: DataFrame, order: list[str], length: str = "length", window: int
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
     plan = items.sparkSession.sparkContext.broadcast(((rows[:, 0] << 44) + rows[:, 1], rows))
     inside = W.partitionBy(length, "__b").orderBy(*order)
-    numbered = keyed.withColumn("__i", F.row_number().over(inside).cast("long")).join(F.broadcast(starts), [length, "__b"])
+    numbered = keyed.withColumn("__i", F.row_number().over(inside).cast("long")).join(starts, [length, "__b"])
     placed = numbered.withColumn("__i", F.col("__i") - 1 + F.col("__o")).drop("__b", "__o")
     out = placed.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
 
