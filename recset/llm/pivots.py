@@ -33,7 +33,8 @@ SHARED = 2
 LEAST_PIVOTS, MOST_PIVOTS = 64, 4096
 BLOCK = 2048
 TASK_ROWS = 40_000  # list entries that a verifying task should have
-STEP = 2_000_000  # pairs of entries that it holds at a time
+STEP = 1_000_000  # pairs of entries whose cosines it holds at a time
+PAIRS = 1 << 16  # pairs whose vectors it holds side by side
 
 
 def entries(vectors: DataFrame, id_col: str, vector: str, label: str) -> tuple[DataFrame, DataFrame]:
@@ -165,7 +166,8 @@ def _verify(tab: pa.Table, least: float) -> pa.Table:
     single = alone[order][cut]
     small = np.flatnonzero(single & (lens <= 32) & (lens > 1))
     # Small lists together: all pairs (p, q), p < q, of each.
-    for own_lists in np.array_split(small, max(1, int((lens[small] ** 2).sum() // STEP) + 1)) if len(small) else []:
+    part = np.cumsum(lens[small] ** 2) // PAIRS
+    for own_lists in np.split(small, np.flatnonzero(np.diff(part)) + 1) if len(small) else []:
         n = lens[own_lists]
         first = np.repeat(cut[own_lists], n * n)
         k = ragged_index(np.zeros(len(n), np.int64), n * n)
@@ -190,8 +192,8 @@ def _verify(tab: pa.Table, least: float) -> pa.Table:
             if single[k]:
                 hit &= np.arange(len(right))[None, :] > np.arange(a, min(a + step, len(left)))[:, None]
             i, j = np.nonzero(hit)
-            for z in range(0, len(i), STEP // NEAREST):
-                count(left[a + i[z : z + STEP // NEAREST]], right[j[z : z + STEP // NEAREST]])
+            for z in range(0, len(i), PAIRS):
+                count(left[a + i[z : z + PAIRS]], right[j[z : z + PAIRS]])
     some, far = np.flatnonzero(partners), np.flatnonzero(root != np.arange(len(root)))
     return pa.table([
         pa.array(np.concatenate([names[some], names[far]])), pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(names[root[far]])]),
@@ -219,8 +221,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embe
 
 ORACLE = """
 WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
-good AS (SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, e -> e IS NULL OR NOT isfinite(e))) = 0
-  AND len(list_filter(x, e -> e <> 0)) > 0),
+good AS (SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+  AND len(list_filter(x, lambda e: e <> 0)) > 0),
 link AS MATERIALIZED (SELECT a.r AS a, b.r AS b, b.vec_id AS vb FROM good a JOIN good b ON a.label = b.label AND a.r <> b.r AND len(a.x) = len(b.x)
   WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
 reach(r, t, vt) AS (SELECT r, r, vec_id FROM v UNION SELECT reach.r, link.b, link.vb FROM reach JOIN link ON reach.t = link.a),
