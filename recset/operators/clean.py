@@ -4,12 +4,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from recset.functions import columns as c
+from recset.operators import ordering as o
 
 
-def flag_duplicates(df: DataFrame, key: str, pos: str) -> DataFrame:
-    """`is_dup` marks rows after the first one of their key. The first position is a plain aggregate."""
-    first = df.groupBy(key).agg(F.min(pos).alias("_first"))
-    return df.join(first, key).withColumn("is_dup", (F.col(pos) > F.col("_first")).cast("int")).drop("_first")
+def flag_duplicates(df: DataFrame, key: str, pos: str, ties: list[str] = ()) -> DataFrame:
+    """`is_dup` marks all rows but the first one of their key by (pos, *ties): exactly one row of a key is no duplicate.
+
+    Rows are numbered in buckets of the position, so a key with very many rows is not one task.
+    """
+    rows = o.ordinal(df, [key], [pos, *ties], o.id_bucket(df, pos), "_nth")
+    return rows.withColumn("is_dup", (F.col("_nth") > 1).cast("int")).drop("_nth")
 
 
 def merge_longest(df: DataFrame, key: str, texts: list[str], numbers: list[str], pos: str) -> DataFrame:

@@ -39,11 +39,10 @@ def maxabs(df: DataFrame, train: DataFrame, vec: str, out: str) -> DataFrame:
     return d.withColumn(out, F.zip_with(vec, "_m", lambda x, m: F.when(m > 0, x / m).otherwise(x))).drop("_m")
 
 
-def vocabulary(df: DataFrame, col: str, most: int = 10000) -> Column:
-    """Scalar subquery: sorted distinct values. A vocabulary above `most` is an error, not a cut."""
-    d = df.select(col).filter(F.col(col).isNotNull()).distinct().limit(most + 1)
-    arr = F.array_sort(F.collect_list(col))
-    return d.agg(F.when(F.size(arr) > most, F.raise_error(F.lit(f"vocabulary of {col} is too large"))).otherwise(arr).alias("v")).scalar()
+def vocabulary(df: DataFrame, col: str) -> Column:
+    """Scalar subquery: sorted distinct values, as long as the dense vectors that are made of them."""
+    d = df.select(col).filter(F.col(col).isNotNull()).distinct()
+    return d.agg(F.array_sort(F.collect_list(col)).alias("v")).scalar()
 
 
 def node_features(grid: DataFrame, info: DataFrame, zones: DataFrame, cats: Column, zone_ids: Column, extra: list[str] = ()) -> DataFrame:
@@ -70,6 +69,6 @@ def node_features(grid: DataFrame, info: DataFrame, zones: DataFrame, cats: Colu
     )
 
 
-# Fixed order of the scalar node features.
-NODE_SCALARS = ["popularity", "nVisit", "avgDuration", "trajLen", "sameCatStart", "distStart", "diffPopStart",
-                "diffNVisitStart", "diffDurationStart", "sameNeighbourhoodStart"]
+def scalars(nodes: DataFrame) -> list[str]:
+    """The number columns of node_features, in its order."""
+    return [n for n, t in nodes.dtypes if t in ("double", "int") and n not in ("qid", "len")]

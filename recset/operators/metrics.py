@@ -8,12 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from recset.operators import ordering as o
-from recset.session import cut
+from recset.session import share
 
 
 def tie_table(df: DataFrame, unit: str = "unit") -> DataFrame:
     """(unit, score, n, n_pos, cum_n, cum_pos): running totals in descending score order, both inclusive."""
-    g = cut(df.groupBy(unit, "score").agg(F.count("*").alias("n"), F.sum("pos").cast("long").alias("n_pos")), "ties")
+    g = share(df.groupBy(unit, "score").agg(F.count("*").alias("n"), F.sum("pos").cast("long").alias("n_pos")))
     return o.running(g, [unit], [F.desc("score")], -o.id_bucket(g, "score"), {"cum_n": F.col("n"), "cum_pos": F.col("n_pos")})
 
 

@@ -1,7 +1,7 @@
 """Model fits as Spark jobs: pyspark.ml where it has the estimator, grouped aggregates elsewhere."""
 from __future__ import annotations
 
-from pyspark.ml.classification import LinearSVC, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -17,14 +17,15 @@ from recset.session import cut
 WMF_ALPHA, WMF_EPS = 40.0, 1e-8
 
 
-def kmeans(points: DataFrame, cols: list[str], k: int = 5, seed: int = 987654321) -> DataFrame:
+def kmeans(points: DataFrame, cols: list[str], k: int = 5, seed: int = 1) -> DataFrame:
     d = points.withColumn("features", array_to_vector(F.array(*[F.col(x).cast("double") for x in cols])))
     return KMeans(k=k, seed=seed).fit(d).transform(d).drop("features").withColumnRenamed("prediction", "cluster")
 
 
 def embeddings(sentences: DataFrame, words: str, size: int) -> DataFrame:
-    """Word vectors over item sequences (window 10, 10 passes)."""
-    m = Word2Vec(vectorSize=size, windowSize=10, maxIter=10, minCount=1, seed=0, inputCol=words, outputCol="v").fit(sentences)
+    """Word vectors over item sequences (window 10, 10 passes), trained in as many partitions as a shuffle has."""
+    parts = int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    m = Word2Vec(numPartitions=parts, vectorSize=size, windowSize=10, maxIter=10, minCount=1, seed=0, inputCol=words, outputCol="v").fit(sentences)
     return m.getVectors().select("word", vector_to_array("vector").alias("vec"))
 
 
@@ -118,12 +119,6 @@ def hinge_rank_fit(rows: DataFrame, d: int, steps: int, rate: float, reg: float)
     return w, losses
 
 
-def svc_directions(rows: DataFrame, reg: float, iters: int):
-    """Linear SVM without intercept on rows (x, sign)."""
-    m = LinearSVC(featuresCol="features", labelCol="y", fitIntercept=False, regParam=reg, maxIter=iters)
-    return m.fit(rows.withColumn("features", array_to_vector("x")))
-
-
 MOST_SONGS = 100_000  # bound of the broadcast song matrix
 
 

@@ -6,23 +6,52 @@ comes from a small pre-aggregated table, so the largest task is one bucket, not
 """
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from recset.session import cut
+from recset.session import share
 
 BUCKETS = 1024
 
 
+FIRST = -1  # bucket of null, which sorts before everything
+
+
+def sort_number(df: DataFrame, col: str, of: str | None = None) -> Column:
+    """A number that grows with any orderable column: the value itself, or for text the six bytes behind the prefix that
+    all values share (text sorts by its bytes). Equal numbers only mean the same bucket."""
+    kind, x = dict(df.dtypes)[col], F.col(of or col)
+    if kind == "string":
+        ends = df.agg(F.min(col), F.max(col)).first()
+        same = len(os.path.commonprefix([e or "" for e in ends]))
+        part = F.rpad(F.hex(F.encode(F.substring(x, same + 1, 6), "utf-8")), 12, "0")
+        return F.conv(F.substring(part, 1, 12), 16, 10).cast("double")
+    if kind in ("date", "timestamp", "timestamp_ntz"):
+        return F.unix_micros(x.cast("timestamp")).cast("double")
+    return x.cast("double")
+
+
 def id_bucket(df: DataFrame, col: str, n: int = BUCKETS, of: str | None = None) -> Column:
-    """Bucket number 0..n-1 that grows with a numeric column (equal width over its range in df).
+    """Bucket number 0..n-1 that grows with a column of any orderable type; null is in a bucket of its own, FIRST.
 
-    `of` names the column to bucket when it differs from the one that gives the range, as when a dimension table
-    knows the range of a key.
+    Edges are approximate quantiles of `col` in df (n numbers, which one small job brings to the driver), so buckets hold
+    about equally many rows however the values are spread; they steer balance only, never the result. `of` names the
+    column to bucket when it differs from the one that gives the edges, as when a dimension table knows the values.
     """
-    ends = df.agg(F.struct(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"))).scalar()
-    lo, hi = ends["lo"], ends["hi"]
-    x = F.col(of or col).cast("double")
-    return F.floor((x - lo) * F.lit(n) / (hi - lo + F.lit(1))).cast("long")
+    wide = max(2, round(n**0.5))
+    number = sort_number(df, col)
+    cuts = F.percentile_approx(number, F.array(*[F.lit(k / wide**2) for k in range(1, wide**2)]), F.lit(10 * wide**2))
+    edges = df.agg(cuts.alias("e")).first()["e"]
+    x = sort_number(df, col, of)
+    if not edges:
+        return F.when(x.isNull(), FIRST).otherwise(0).cast("long")
+    # Two levels, so that a row is compared with twice the root of the number of edges.
+    array = F.array(*[F.lit(float(e)) for e in edges])
+    coarse = F.array(*[F.lit(float(e)) for e in edges[wide - 1 :: wide]])
+    k = F.size(F.filter(coarse, lambda e: e <= x))
+    fine = F.size(F.filter(F.slice(array, k * wide + 1, F.lit(wide - 1)), lambda e: e <= x))
+    return F.when(x.isNull(), FIRST).otherwise(k * wide + fine).cast("long")
 
 
 def md5_of(*cols: str, seed: str = "") -> Column:
@@ -35,8 +64,22 @@ def md5_bucket(col: str) -> Column:
     return F.substring(F.col(col), 1, 3)
 
 
+def join_same(rows: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on `keys` in which null equals null; `other` is unique in them and adds its other columns."""
+    if not keys:
+        return rows.crossJoin(other)  # one row
+    names = {k: f"_k{i}" for i, k in enumerate(keys)}
+    other = other.withColumnsRenamed(names)
+    same = [F.col(k).eqNullSafe(F.col(m)) for k, m in names.items()]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    return rows.join(other, on, how).drop(*names.values())
+
+
 def running(df: DataFrame, unit: list[str], order: list, bucket: Column, sums: dict[str, Column]) -> DataFrame:
-    """Inclusive running sums per unit in the given order. `bucket` must be monotone in the order."""
+    """Inclusive running sums per unit in the given order. `bucket` must be monotone in the order; a null unit is a unit,
+    and a null order value has its place where the order puts it."""
     names = list(sums)
     rows = df.withColumn("_b", bucket)
     for i, c in enumerate(sums.values()):
@@ -48,7 +91,7 @@ def running(df: DataFrame, unit: list[str], order: list, bucket: Column, sums: d
         *key, *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_o{i}") for i in range(len(names))]
     )
     inside = W.partitionBy(*key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    joined = rows.join(offsets, key)
+    joined = join_same(rows, offsets, key)
     for i, n in enumerate(names):
         joined = joined.withColumn(n, F.col(f"_o{i}") + F.sum(f"_x{i}").over(inside))
     return joined.drop("_b", *[f"_{p}{i}" for p in "xo" for i in range(len(names))])
@@ -60,8 +103,8 @@ def ordinal(df: DataFrame, unit: list[str], order: list, bucket: Column, out: st
 
 
 def hash_ordinal(df: DataFrame, unit: list[str], ids: list[str], seed: str, out: str = "pos") -> DataFrame:
-    """1-based position in a seeded shuffle of each unit. The keyed rows are written once and read twice."""
-    keyed = cut(df.withColumn("_h", md5_of(*ids, seed=seed)), "keyed")
+    """1-based position in a seeded shuffle of each unit. The keyed rows are shared."""
+    keyed = share(df.withColumn("_h", md5_of(*ids, seed=seed)))
     return ordinal(keyed, unit, ["_h", *ids], md5_bucket("_h"), out).drop("_h")
 
 
@@ -81,14 +124,14 @@ def top_k(df: DataFrame, unit: list[str], order: list, k: int, out: str = "rank"
 def ranked(df: DataFrame, unit: list[str], score: str, item: str, out: str = "rank") -> DataFrame:
     """Unique rank per unit by (score descending, item ascending), safe for hot units and long ties.
 
-    The input is read several times, so it is written once first.
+    The input is read several times, so it is shared.
     """
-    df = cut(df, "ranked")
+    df = share(df)
     ties = df.groupBy(*unit, score).agg(F.count("*").alias("_n"))
     ties = running(ties, unit, [F.desc(score)], -id_bucket(df, score), {"_cum": F.col("_n")})
     inner = ordinal(df, [*unit, score], [item], id_bucket(df, item), "_i")
     return (
-        inner.join(ties, [*unit, score])
+        join_same(inner, ties, [*unit, score])
         .withColumn(out, F.col("_cum") - F.col("_n") + F.col("_i"))
         .drop("_cum", "_n", "_i")
     )
@@ -97,11 +140,11 @@ def ranked(df: DataFrame, unit: list[str], score: str, item: str, out: str = "ra
 def percentiles(df: DataFrame, unit: list[str], value: str, qs: dict[str, float]) -> DataFrame:
     """Exact percentiles with linear interpolation, from counts of distinct values."""
     d = df.filter(F.col(value).isNotNull())
-    hist = cut(d.groupBy(*unit, value).agg(F.count("*").alias("_n")), "hist")
+    hist = share(d.groupBy(*unit, value).agg(F.count("*").alias("_n")))
     total = hist.groupBy(*unit).agg(F.sum("_n").alias("_tot"))
     hist = running(hist, unit, [value], id_bucket(hist, value), {"_c": F.col("_n")})
     if unit:
-        hist = hist.join(total, unit)
+        hist = join_same(hist, total, unit)
     else:
         hist = hist.withColumn("_tot", total.select("_tot").scalar())
     aggs = []

@@ -6,7 +6,7 @@ from recset.operators import clean, ordering as o, sequence as s
 from recset.plans import query
 from recset.plans.profiles import _r, city_queries
 from recset.plans.sequences import DIST
-from recset.session import cut
+from recset.session import share
 from recset.sources import views as v
 
 
@@ -21,9 +21,9 @@ RAW = """raw AS (SELECT l_partkey AS id, l_orderkey * 1000000 + l_suppkey * 100
     l_returnflag || ' ' || l_quantity::INT AS txt, l_extendedprice AS num FROM lineitem)"""
 
 
-@query("dup_flag", "SELECT id, pos, (rank() OVER (PARTITION BY id ORDER BY pos) > 1)::INT AS is_dup FROM raw", extra=RAW)
+@query("dup_flag", "SELECT id, pos, (row_number() OVER (PARTITION BY id ORDER BY pos, txt, num) > 1)::INT AS is_dup FROM raw", extra=RAW)
 def dup_flag(spark, sf):
-    return clean.flag_duplicates(raw_rows(spark, sf), "id", "pos").select("id", "pos", "is_dup")
+    return clean.flag_duplicates(share(raw_rows(spark, sf)), "id", "pos", ["txt", "num"]).select("id", "pos", "is_dup")
 
 
 @query("dup_merge_longest", "SELECT DISTINCT ON (id) id, txt, max(num) OVER (PARTITION BY id) AS num FROM raw ORDER BY id, length(txt) DESC, pos, txt", extra=RAW)
@@ -69,7 +69,7 @@ def min_distinct_len(spark, sf):
     SELECT usr, pid, row_number() OVER (PARTITION BY usr ORDER BY pid) AS rn FROM (SELECT DISTINCT usr, pid FROM pl)) GROUP BY 1, 2""", "pl")
 def user_lists(spark, sf):
     """Lists of each user in blocks of 100, so that a very active user gives many rows and not one huge array."""
-    d = cut(v.clean_entry(spark, sf).select("usr", "pid").distinct(), "lists")
+    d = share(v.clean_entry(spark, sf).select("usr", "pid").distinct())
     d = o.ordinal(d, ["usr"], ["pid"], o.id_bucket(d, "pid"), "rn")
     return clean.grouped_lists(d, ["usr"], "pid", F.col("rn"), 100, "p").select("usr", "block", F.array_join(F.col("p").cast("array<string>"), ",").alias("pids"))
 
@@ -129,7 +129,7 @@ def walks(spark, sf):
     parts = v.table(spark, sf, "part")
     li = v.table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").withColumnRenamed("l_orderkey", "traj").join(sup, "l_suppkey")
     bucket = F.col("l_linenumber") * o.BUCKETS + o.id_bucket(parts, "p_partkey", of="l_partkey")
-    return cut(o.ordinal(li, ["traj"], ["l_linenumber", "l_partkey", "l_suppkey"], bucket, "i").select("traj", "i", "poi"), "walk")
+    return share(o.ordinal(li, ["traj"], ["l_linenumber", "l_partkey", "l_suppkey"], bucket, "i").select("traj", "i", "poi"))
 
 
 def first_visits(w):
@@ -147,7 +147,7 @@ def loop_free_length(w):
 @query("path_remove_repeats", "SELECT traj, row_number() OVER (PARTITION BY traj ORDER BY i) AS ord, poi FROM seen WHERE occ = 1", extra=WALK)
 def path_remove_repeats(spark, sf):
     """Walks without repeated POI, renumbered."""
-    f = cut(first_visits(walks(spark, sf)), "first")
+    f = share(first_visits(walks(spark, sf)))
     return o.ordinal(f, ["traj"], ["i"], o.id_bucket(f, "i"), "ord").select("traj", "ord", "poi")
 
 
@@ -195,10 +195,9 @@ def map_song_artist(spark, sf):
 
 @query("map_song_tracks", "SELECT n_tracks, count(*) AS songs, min(tracks) AS sample FROM (SELECT song, count(*) AS n_tracks, string_agg(track::VARCHAR, ',' ORDER BY pos) AS tracks FROM trk GROUP BY song) GROUP BY n_tracks", extra=TRACKS)
 def map_song_tracks(spark, sf):
-    """Songs per number of tracks; track lists are kept in blocks of 100."""
-    t = tracks(spark, sf)
-    lists = clean.grouped_lists(t, ["song"], "track", F.col("pos") + 1, 100, "t").filter("block = 0").select("song", F.array_join(F.col("t").cast("array<string>"), ",").alias("t"))
-    n = t.groupBy("song").agg(F.count("*").alias("n_tracks")).join(lists, "song")
+    """Songs per number of tracks, with one whole track list as a sample."""
+    lists = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "track"))), lambda x: x["track"].cast("string")), ",")
+    n = tracks(spark, sf).groupBy("song").agg(F.count("*").alias("n_tracks"), lists.alias("t"))
     return n.groupBy("n_tracks").agg(F.count("*").alias("songs"), F.min("t").alias("sample"))
 
 
@@ -259,7 +258,7 @@ def artist_songs(spark, sf):
 def poi_distance(spark, sf):
     """Distance of the POI pairs that occur as steps; the full pair table is never built."""
     p = v.poi(spark, sf)
-    e = s.edge_counts(cut(s.place(v.visit(spark, sf)).select("traj", "poi", "ord"), "seq")).select("src", "dst")
+    e = s.edge_counts(share(s.place(v.visit(spark, sf)).select("traj", "poi", "ord"))).select("src", "dst")
     side = lambda name, n: p.select(F.col("poi").alias(name), F.col("lon").alias(f"lon{n}"), F.col("lat").alias(f"lat{n}"))
     e = e.join(side("src", 0), "src").join(side("dst", 1), "dst")
     return e.select("src", "dst", _r(c.haversine_km(*[F.col(x) for x in ("lon0", "lat0", "lon1", "lat1")]), "km"))
@@ -277,8 +276,8 @@ GRID = "grid AS (SELECT DISTINCT qid, q.start, q.len, s.poi FROM cquery q JOIN c
 
 @query("query_poi_grid", "SELECT qid, start, len, poi FROM grid", "cquery cseq ctraj", GRID)
 def query_poi_grid(spark, sf):
-    seq = cut(s.place(v.city_visit(spark, sf)), "seq")
-    return candidate_grid(seq, cut(s.paths(seq).select("traj", "start", "len"), "traj")).select("qid", "start", "len", "poi")
+    seq = share(s.place(v.city_visit(spark, sf)))
+    return candidate_grid(seq, share(s.paths(seq).select("traj", "start", "len"))).select("qid", "start", "len", "poi")
 
 
 # Fixed rule of the test song set: the newest songs.
@@ -296,7 +295,7 @@ def playlists_touching_test(spark, sf):
     (SELECT sum(t.len)::BIGINT FROM ctraj t WHERE NOT (t.start = q.start AND t.len = q.len)) AS n_train_visits FROM cquery q""", "cquery ctraj")
 def train_minus_query(spark, sf):
     """Training volume of each leave-one-query-out fold: the whole minus the share of the query."""
-    t = cut(s.paths(s.place(v.city_visit(spark, sf))).select("traj", "start", "len"), "traj")
+    t = share(s.paths(s.place(v.city_visit(spark, sf))).select("traj", "start", "len"))
     own = t.groupBy("start", "len").agg(F.count("*").alias("n"), F.sum("len").alias("k"))
     return city_queries(t).join(own, ["start", "len"]).select(
         "qid", (t.agg(F.count("*")).scalar() - F.col("n")).alias("n_train_traj"), (t.agg(F.sum("len")).scalar() - F.col("k")).alias("n_train_visits"))
@@ -321,7 +320,7 @@ def candidates_minus_seeds(spark, sf):
 
 @query("common_queries", """SELECT start, len FROM (SELECT start, len, usr % 3 AS method FROM ctraj WHERE len >= 2 GROUP BY ALL) GROUP BY 1, 2 HAVING count(DISTINCT method) = 3""", "ctraj")
 def common_queries(spark, sf):
-    t = cut(s.paths(s.place(v.city_visit(spark, sf))).filter("len >= 2").select("start", "len", (F.col("usr") % 3).alias("m")).distinct(), "answered")
+    t = share(s.paths(s.place(v.city_visit(spark, sf))).filter("len >= 2").select("start", "len", (F.col("usr") % 3).alias("m")).distinct())
     one = lambda m: t.filter(F.col("m") == m).select("start", "len")
     return one(0).intersect(one(1)).intersect(one(2))
 

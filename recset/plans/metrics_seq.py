@@ -8,7 +8,7 @@ from recset.plans.cleaning import WALK, walks
 from recset.plans.profiles import _r, city_queries
 from recset.plans.rankers import DRAWS, LOSS, popularity_paths
 from recset.plans.sequences import city
-from recset.session import cut
+from recset.session import share
 from recset.sources import views as v
 
 PRED = LOSS + f""", pred AS (SELECT qid, 'pop' AS method, 1 AS k, list_prepend(start, list(poi ORDER BY rn)) AS path FROM (SELECT q.qid, q.start, q.len, i.poi,
@@ -38,7 +38,7 @@ def predictions(spark, sf, seq):
     key = lambda p: F.md5(F.concat_ws("|", p.cast("string"), F.col("start").cast("string"), F.col("len").cast("string"), F.col("k").cast("string"), F.lit("rnd")))
     order = F.filter(F.transform(F.array_sort(F.transform("all", lambda p: F.struct(key(p).alias("h"), p.alias("p")))), lambda x: x["p"]), lambda p: p != F.col("start"))
     rnd = q.select("qid", "start", "len", F.lit("rand").alias("method"), "k", F.concat(F.array("start"), F.slice(order, 1, F.col("len") - 1)).alias("path"))
-    return cut(pop.unionByName(rnd), "pred")
+    return share(pop.unionByName(rnd))
 
 
 def evaluated(spark, sf):
@@ -101,7 +101,9 @@ def m_kendall_tau(spark, sf):
 def m_hamming_seq(spark, sf):
     """Share of differing positions: minimum and mean over the truths of a query."""
     diff = F.aggregate(F.zip_with("path", "y", lambda a, b: (a != b).cast("int")), F.lit(0), lambda x, z: x + z)
-    d = evaluated(spark, sf).filter("method = 'pop'").select("qid", "len", diff.alias("h"))
+    _, seq = city(spark, sf)
+    truth = s.paths(seq).select("traj", "start", "len", F.col("path").alias("y"))
+    d = truth.join(popularity_paths(spark, sf, seq).select("qid", "start", "len", "path"), ["start", "len"]).select("qid", "len", diff.alias("h"))
     return d.groupBy("qid", "len").agg(_r(F.min(F.col("h") / F.col("len")), "best"), _r(F.sum("h") / F.sum("len"), "mean"))
 
 
@@ -109,7 +111,7 @@ def m_hamming_seq(spark, sf):
 def m_truth_diversity(spark, sf):
     """Mean pairwise Hamming distance between the truths of a query, from value counts per position; no pairs."""
     _, seq = city(spark, sf)
-    t = cut(s.paths(seq).select("traj", "start", "len"), "traj")
+    t = share(s.paths(seq).select("traj", "start", "len"))
     per = seq.join(t, "traj").groupBy("start", "len", "ord", "poi").agg(F.count("*").alias("k"))
     pos = per.groupBy("start", "len", "ord").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("q"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
@@ -159,7 +161,7 @@ def m_topk_short_long(spark, sf):
 @query("m_diff_to_baseline", "SELECT r.method, " + ", ".join(f"round(avg(r.{x} - b.{x}), 6) AS {x}_diff, round(stddev_pop(r.{x} - b.{x}) / sqrt(count(*)), 6) AS {x}_se" for x in METRICS) + " FROM best r JOIN best b ON r.qid = b.qid AND b.method = 'rand' AND r.method <> 'rand' GROUP BY r.method", NEED, ALL3 + ", " + BEST)
 def m_diff_to_baseline(spark, sf):
     """Mean and standard error of the per-query difference to the random method."""
-    b = cut(best_of_k(three(spark, sf)), "best")
+    b = share(best_of_k(three(spark, sf)))
     base = b.filter("method = 'rand'").select("qid", *[F.col(x).alias(f"b_{x}") for x in METRICS])
     d = b.filter("method <> 'rand'").join(base, "qid")
     diff = lambda x: F.col(x) - F.col(f"b_{x}")
@@ -196,8 +198,8 @@ def grams(d, key, path, n):
 
 def cand_refs(spark, sf):
     _, seq = city(spark, sf)
-    pred = predictions(spark, sf, seq).filter("method = 'pop'").select("qid", "start", "len", "path")
-    truth = cut(s.paths(seq).select("traj", "start", "len", F.col("path").alias("y")).join(pred.select("qid", "start", "len"), ["start", "len"]).select("qid", "traj", "y"), "truth")
+    pred = share(popularity_paths(spark, sf, seq).select("qid", "start", "len", "path"))
+    truth = share(s.paths(seq).select("traj", "start", "len", F.col("path").alias("y")).join(pred.select("qid", "start", "len"), ["start", "len"]).select("qid", "traj", "y"))
     return pred.select("qid", "path"), truth
 
 
@@ -273,7 +275,7 @@ def m_cider(spark, sf):
     refs = truth.groupBy("qid").agg(F.count("*").alias("m"))
     out = refs
     for n in (1, 2):
-        cand, ref = grams(pred, ["qid"], "path", n), cut(grams(truth, ["qid", "traj"], "y", n), "grams")
+        cand, ref = grams(pred, ["qid"], "path", n), share(grams(truth, ["qid", "traj"], "y", n))
         df = ref.select("qid", "g").distinct().groupBy("g").agg(F.count("*").alias("df"))
         idf = df.select("g", F.ln(docs / F.col("df")).alias("idf"))
 

@@ -8,7 +8,7 @@ from recset.plans import query
 from recset.plans.features import node_table, song_features, song_vec
 from recset.plans.profiles import _r
 from recset.plans.rankers import best_scored, text, train_entries
-from recset.session import cut
+from recset.session import share
 from recset.sources import views as v
 
 
@@ -28,48 +28,52 @@ def corpus(spark, sf, item):
 
 @query("artist_embeddings")
 def artist_embeddings(spark, sf):
-    return md.embeddings(cut(corpus(spark, sf, "artist"), "corpus"), "words", 30).select(F.col("word").alias("artist"), F.size("vec").alias("size"))
+    return md.embeddings(share(corpus(spark, sf, "artist")), "words", 30).select(F.col("word").alias("artist"), "vec")
 
 
 @query("song_embeddings")
 def song_embeddings(spark, sf):
-    return md.embeddings(cut(corpus(spark, sf, "song"), "corpus"), "words", 30).select(F.col("word").alias("song"), F.size("vec").alias("size"))
+    return md.embeddings(share(corpus(spark, sf, "song")), "words", 30).select(F.col("word").alias("song"), "vec")
 
 
 def user_song(spark, sf):
-    return cut(v.entry(spark, sf).groupBy("usr", "song").agg(F.count("*").alias("r")), "cells")
+    return share(v.entry(spark, sf).groupBy("usr", "song").agg(F.count("*").alias("r")))
 
 
 @query("wmf")
 def wmf(spark, sf):
+    """Factors of users and songs; no user is scored against every song."""
     m = md.wmf(user_song(spark, sf), "usr", "song", "r", 10, 5)
-    return m.recommendForAllUsers(10).select("usr", F.size("recommendations").alias("n"))
+    side = lambda d, name: d.select(F.lit(name).alias("side"), F.col("id").cast("long").alias("id"), F.col("features").cast("array<double>").alias("vec"))
+    return side(m.userFactors, "usr").unionByName(side(m.itemFactors, "song"))
 
 
 @query("mf_ratings")
 def mf_ratings(spark, sf):
-    """Explicit factorisation of 5 (in the list) and 1 (sampled negative)."""
+    """Explicit factorisation of 5 (in the list) and 1 (sampled negative): the prediction of every cell."""
     from recset.plans.splits import hashed_negatives
     e = v.clean_entry(spark, sf).select("pid", "song")
     neg = hashed_negatives(e, 1, v.song(spark, sf).select("song"))
-    cells = cut(e.withColumn("rating", F.lit(5.0)).unionByName(neg.withColumn("rating", F.lit(1.0))), "ratings")
+    cells = share(e.withColumn("rating", F.lit(5.0)).unionByName(neg.withColumn("rating", F.lit(1.0))))
     m = md.ratings_als(cells, "song", "pid", "rating", 10, 5)
-    return m.transform(cells).groupBy("rating").agg(F.count("*").alias("n"), _r(F.avg("prediction"), "mean_prediction"))
+    return m.transform(cells).select("pid", "song", "rating", F.col("prediction").cast("double").alias("prediction"))
 
 
 @query("mf_dense")
 def mf_dense(spark, sf):
-    cells = cut(train_entries(spark, sf).select("song", "pid").distinct(), "cells")
+    cells = share(train_entries(spark, sf).select("song", "pid").distinct())
+    """Factors of songs and lists, next to the objective of the last sweep."""
     p, q, obj = md.dense_mf(cells, "song", "pid", 6, 3, 0.5)
-    return spark.range(len(obj)).select(F.col("id").alias("sweep"), F.element_at(F.array(*[F.lit(x) for x in obj]), (F.col("id") + 1).cast("int")).alias("objective"))
+    side = lambda d, key: d.select(F.lit(key).alias("side"), F.col(key).cast("long").alias("id"), "vec", F.lit(obj[-1]).alias("objective"))
+    return side(p, "song").unionByName(side(q, "pid"))
 
 
 @query("feature_to_factor")
 def feature_to_factor(spark, sf):
     """Item factors regressed on item features, one linear model per dimension; new songs get predicted factors."""
-    cells = cut(train_entries(spark, sf).select("song", "pid").distinct(), "cells")
+    cells = share(train_entries(spark, sf).select("song", "pid").distinct())
     p, _, _ = md.dense_mf(cells, "song", "pid", 4, 2, 0.5)
-    x = cut(song_features(spark, sf).select("song", "x"), "x")
+    x = share(song_features(spark, sf).select("song", "x"))
     new = v.song(spark, sf).filter("age <= 10").select("song").join(x, "song")
     out = new
     for i in range(4):
@@ -81,9 +85,9 @@ def feature_to_factor(spark, sf):
 @query("binary_relevance")
 def binary_relevance(spark, sf):
     """One logistic regression per label: is a song of the label's genre, from its vector."""
-    d = cut(song_vec(spark, sf).join(v.song(spark, sf).filter("genre is not null").select("song", "genre"), "song"), "br")
+    d = share(song_vec(spark, sf).join(v.song(spark, sf).filter("genre is not null").select("song", "genre"), "song"))
     out = None
-    names = spark.range(1).select(ft.vocabulary(d, "genre", 1000)).first()[0]  # checked: more than 1000 labels is an error
+    names = spark.range(1).select(ft.vocabulary(d, "genre")).first()[0]
     for g in names:
         y = d.withColumn("y", (F.col("genre") == g).cast("double"))
         one = md.logistic(y, y, F.col("e"), "y", regParam=0.1, maxIter=20).agg(_r(F.avg(F.when(F.col("y") == 1, F.col("score"))), "mean_pos"), _r(F.avg(F.when(F.col("y") == 0, F.col("score"))), "mean_neg"))
@@ -96,9 +100,9 @@ def binary_relevance(spark, sf):
 def lr_popularity(spark, sf):
     """Membership from z-scored log popularity; scores are monotone in popularity, so one model serves all lists."""
     t = train_entries(spark, sf)
-    pop = cut(t.groupBy("song").agg(F.count("*").alias("n")), "pop")
+    pop = share(t.groupBy("song").agg(F.count("*").alias("n")))
     st = pop.agg(F.struct(F.avg(F.log2("n")).alias("m"), F.stddev_pop(F.log2("n")).alias("s"))).scalar()
-    z = cut(pop.select("song", ((F.log2("n") - st["m"]) / (st["s"] + 1e-6)).alias("z"), F.col("n").cast("double").alias("n")), "z")
+    z = share(pop.select("song", ((F.log2("n") - st["m"]) / (st["s"] + 1e-6)).alias("z"), F.col("n").cast("double").alias("n")))
     total = t.select("pid").distinct().count()
     tr = z.select("z", F.explode(F.array(F.struct(F.lit(1.0).alias("y"), F.col("n").alias("w")), F.struct(F.lit(0.0).alias("y"), (total - F.col("n")).alias("w")))).alias("k")).select("z", "k.y", "k.w")
     return md.logistic(tr, z, F.array("z"), "y", weightCol="w", maxIter=20).select("song", _r("score", "score"))
@@ -107,12 +111,13 @@ def lr_popularity(spark, sf):
 def labelled(spark, sf):
     """Node feature rows with occurrence and rank labels."""
     seq, trajs, n = node_table(spark, sf)
+    n_poi = v.city_poi(spark, sf).agg(F.count("*")).first()[0]
     lab = seq.join(trajs.select("traj", "start", "len"), "traj").groupBy("start", "len", "poi").agg(
-        F.sum((F.col("ord") > 1).cast("long")).alias("occ"), F.avg((F.lit(25) - F.col("ord") + 1) / 25).alias("rank_label"))
+        F.sum((F.col("ord") > 1).cast("long")).alias("occ"), F.avg((F.lit(n_poi) - F.col("ord") + 1) / n_poi).alias("rank_label"))
     d = n.join(lab, ["start", "len", "poi"], "left").fillna(0, ["occ", "rank_label"])
-    x = F.concat("category", "neighbourhood", F.array(*ft.NODE_SCALARS))
-    d = cut(d.select("qid", "start", "len", "poi", "occ", "rank_label", x.alias("x")), "node")
-    return cut(ft.maxabs(d, d, "x", "f").drop("x"), "node")
+    x = F.concat("category", "neighbourhood", F.array(*ft.scalars(n)))
+    d = share(d.select("qid", "start", "len", "poi", "occ", "rank_label", x.alias("x")))
+    return share(ft.maxabs(d, d, "x", "f").drop("x"))
 
 
 @query("poi_occurrence_lr")
@@ -149,23 +154,16 @@ def pairwise_rank(spark, sf):
 
 @query("ranking_svm")
 def ranking_svm(spark, sf):
-    """Linear pairwise SVM on one difference vector per item: its own features minus the mean of the other class of its query.
-
-    This uses n directions per query where the full pair set has n+ * n-; `pairwise_rank` covers all pairs exactly.
-    """
+    """Linear ranking with a wide margin: the same exact pairwise objective with the weight of the norm of an SVM (1 / C)."""
     d, rows = rank_rows(spark, sf)
-    x = rows.select("qid", "pos", F.posexplode("x").alias("i", "z"))
-    mean = x.groupBy("qid", "pos", "i").agg(F.avg("z").alias("m")).groupBy("qid", "pos").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("m"))
-    mean = mean.select("qid", (1 - F.col("pos")).alias("pos"), F.transform("m", lambda k: k["m"]).alias("m"))
-    diff = rows.join(mean, ["qid", "pos"]).select(F.zip_with("x", "m", lambda a, b: a - b).alias("x"), F.col("pos").cast("double").alias("y"))
-    w = md.svc_directions(cut(diff, "diff"), 0.01, 20).coefficients.toArray()
+    w, _ = md.hinge_rank_fit(rows, 10, 6, 0.3, 0.1)
     return scored_paths(d, w)
 
 
 @query("mtc_fit")
 def mtc_fit(spark, sf):
     """Multitask classification on eight audio slots; returns the objective per step."""
-    x = cut(song_vec(spark, sf).select("song", F.slice("e", 1, 8).alias("x")), "x")
-    e = cut(train_entries(spark, sf).select("pid", "usr", "song").join(x.select("song"), "song", "left_semi"), "e")
+    x = share(song_vec(spark, sf).select("song", F.slice("e", 1, 8).alias("x")))
+    e = share(train_entries(spark, sf).select("pid", "usr", "song").join(x.select("song"), "song", "left_semi"))
     _, _, _, losses = md.mtc_fit(x, e.select("pid", "song"), e.select("pid", "usr").distinct(), 8, 1.0, 0.1, 0.0001, 4, 0.5)
     return spark.range(len(losses)).select(F.col("id").alias("step"), F.element_at(F.array(*[F.lit(float(k)) for k in losses]), (F.col("id") + 1).cast("int")).alias("objective"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F, Window as W
 from recset.functions import columns as c
 from recset.operators import ordering as o, sequence as s
 from recset.plans import query
-from recset.session import cut
+from recset.session import share
 from recset.sources import views as v
 
 
@@ -138,8 +138,8 @@ def label_profile(spark, sf):
     sc = v.scored(spark, sf)
     n = lambda col: sc.select(col).distinct().agg(F.count("*")).scalar()
     one = sc.agg(F.sum("pos").alias("positives")).select(n("item").alias("examples"), n("unit").alias("labels"), "positives")
-    share = F.lit(100.0) * F.col("positives") / (F.col("examples") * F.col("labels"))
-    return one.select("*", _r(F.col("positives") / F.col("examples"), "avg_pos"), _r(share, "avg_pos_pct"), _r(100 - share, "sparsity_pct"))
+    pct = F.lit(100.0) * F.col("positives") / (F.col("examples") * F.col("labels"))
+    return one.select("*", _r(F.col("positives") / F.col("examples"), "avg_pos"), _r(pct, "avg_pos_pct"), _r(100 - pct, "sparsity_pct"))
 
 
 @query("query_groups", """SELECT start, len, count(*) AS n, min(traj) AS first_traj, sum(traj)::BIGINT AS traj_sum FROM ctraj
@@ -153,7 +153,7 @@ def query_groups(spark, sf):
 
 def city_queries(trajs):
     """Distinct (start, len) with a 0-based id in sorted order."""
-    d = cut(trajs.filter("len >= 2").select("start", "len").distinct(), "query")
+    d = share(trajs.filter("len >= 2").select("start", "len").distinct())
     return o.ordinal(d, [], ["start", "len"], o.id_bucket(d, "start"), "q").select("start", "len", (F.col("q") - 1).alias("qid"))
 
 
@@ -222,8 +222,8 @@ def prune_best_trajectory(spark, sf):
     (SELECT count(*) FROM cquery) AS queries, round(avg(len), 6) AS avg_len, sum((len < 5)::INT)::BIGINT AS short_t, sum((len >= 5)::INT)::BIGINT AS long_t
     FROM ctraj""", "ctraj cquery")
 def traj_profile(spark, sf):
-    vis = cut(s.place(v.city_visit(spark, sf)), "seq")
-    t = cut(s.paths(vis).select("traj", "usr", "start", "len"), "traj")
+    vis = share(s.place(v.city_visit(spark, sf)))
+    t = share(s.paths(vis).select("traj", "usr", "start", "len"))
     base = t.agg(F.count("*").alias("trajs"), _r(F.avg("len"), "avg_len"), F.sum((F.col("len") < 5).cast("long")).alias("short_t"),
                  F.sum((F.col("len") >= 5).cast("long")).alias("long_t"))
     n = lambda d: d.distinct().agg(F.count("*")).scalar()

@@ -8,7 +8,7 @@ from recset.plans.cleaning import seeds
 from recset.plans.features import ATTR, NODE_FROM, ZGRID, attributes, node_table, song_vec
 from recset.plans.profiles import _r, city_queries
 from recset.plans.sequences import DIST, EDGES, city
-from recset.session import cut
+from recset.session import share
 from recset.sources import views as v
 
 TRAIN = "train AS (SELECT * FROM pl WHERE md5(pid::VARCHAR || '|test') >= '4')"
@@ -18,7 +18,7 @@ POP = TRAIN + ", pop AS (SELECT song, count(*) AS pop FROM train GROUP BY song)"
 def train_entries(spark, sf):
     """Training lists with the artist of each song, written once."""
     e = v.clean_entry(spark, sf).filter(o.md5_of("pid", seed="test") >= "4")
-    return cut(e.join(v.song(spark, sf).select("song", "artist", "age"), "song"), "train")
+    return share(e.join(v.song(spark, sf).select("song", "artist", "age"), "song"))
 
 
 def song_base(t, form="ln"):
@@ -27,7 +27,7 @@ def song_base(t, form="ln"):
 
 
 def sim_of(t):
-    return cut(rk.artist_similarity(t.filter("artist is not null").select("pid", "artist")), "sim")
+    return share(rk.artist_similarity(t.filter("artist is not null").select("pid", "artist")))
 
 
 ART = POP + """, art AS (SELECT DISTINCT pid, usr, artist FROM train JOIN song USING (song) WHERE artist IS NOT NULL),
@@ -97,7 +97,7 @@ SEEDS = ", seed AS (SELECT pid, song FROM pl WHERE ord <= 3 AND md5(pid::VARCHAR
 def seed_rows(spark, sf):
     """First three songs of the held-out lists."""
     held = v.clean_entry(spark, sf).filter(o.md5_of("pid", seed="test") < "4")
-    return cut(o.top_k(held, ["pid"], ["pos", "song"], 3).join(v.song(spark, sf).select("song", "artist"), "song").select("pid", "song", "artist"), "seed")
+    return share(o.top_k(held, ["pid"], ["pos", "song"], 3).join(v.song(spark, sf).select("song", "artist"), "song").select("pid", "song", "artist"))
 
 
 WS = SEEDS + ", w AS (SELECT h.pid, s.a AS artist, sum(s.sim) AS w FROM (SELECT DISTINCT pid, artist FROM seed JOIN song USING (song) WHERE artist IS NOT NULL) h JOIN sim s ON s.b = h.artist GROUP BY 1, 2)"
@@ -163,9 +163,9 @@ def rank_sagh_newsong(spark, sf):
 
 # ---- trajectories: start + L-1 further POI ----
 
-def with_places(q, pois, most=10000):
-    """Attach the sorted POI list of the city as an array; a city with more than `most` POI is an error."""
-    return q.withColumn("all", ft.vocabulary(pois, "poi", most))
+def with_places(q, pois):
+    """Attach the sorted POI list of the city as an array."""
+    return q.withColumn("all", ft.vocabulary(pois, "poi"))
 
 
 def text(path):
@@ -179,7 +179,7 @@ DRAWS = "(SELECT unnest(range(1, 4)) AS draw)"
     row_number() OVER (PARTITION BY qid, draw ORDER BY md5(poi || '|' || start || '|' || len || '|' || draw || '|rnd'), poi) AS rn FROM cquery, cpoi, {DRAWS} WHERE poi <> start) WHERE rn < len GROUP BY qid, draw, start""", "cquery cpoi")
 def rank_random(spark, sf):
     """Start and random other POI in hash order, three draws per query."""
-    q = city_queries(cut(s.paths(s.place(v.city_visit(spark, sf))).select("start", "len"), "traj"))
+    q = city_queries(share(s.paths(s.place(v.city_visit(spark, sf))).select("start", "len")))
     q = with_places(q, v.city_poi(spark, sf)).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(3))))
     keyed = F.transform("all", lambda p: F.struct(F.md5(F.concat_ws("|", p.cast("string"), F.col("start").cast("string"), F.col("len").cast("string"), F.col("draw").cast("string"), F.lit("rnd"))).alias("h"), p.alias("p")))
     order = F.filter(F.transform(F.array_sort(keyed), lambda x: x["p"]), lambda p: p != F.col("start"))
@@ -200,8 +200,8 @@ def rank_poi_popularity(spark, sf):
 
 def popularity_paths(spark, sf, seq=None):
     seq = seq if seq is not None else city(spark, sf)[1]
-    t = cut(s.paths(seq).select("traj", "start", "len"), "traj")
-    q = cut(city_queries(t), "query")
+    t = share(s.paths(seq).select("traj", "start", "len"))
+    q = share(city_queries(t))
     own = seq.join(t, "traj").groupBy("start", "len", "poi", "usr").agg(F.count("*").alias("k"))
     all_ = own.groupBy("poi", "usr").agg(F.sum("k").alias("k"))
     lost = own.join(all_, ["poi", "usr", "k"]).groupBy("start", "len", "poi").agg(F.count("*").alias("lost"))
@@ -222,12 +222,9 @@ def rank_by_score(spark, sf):
     return best_scored(n).select("qid", text(F.col("path")).alias("path"))
 
 
-def best_scored(n, longest=1000):
-    """Paths from (qid, start, len, poi, score); only the first len - 1 rows per query are kept before collecting.
-
-    A query longer than `longest` is an error.
-    """
-    n = n.withColumn("len", F.when(F.col("len") > longest, F.raise_error(F.lit("query longer than a path may be"))).otherwise(F.col("len")))
+def best_scored(n):
+    """Paths from (qid, start, len, poi, score); only the first len - 1 rows per query are kept before collecting."""
+    longest = n.agg(F.max("len")).first()[0] or 1  # a literal bound becomes a group limit before the shuffle
     few = o.top_k(n.filter("poi <> start"), ["qid"], [F.desc("score"), "poi"], longest, "rn").filter("rn < len")
     g = few.groupBy("qid", "start", "len").agg(F.array_sort(F.collect_list(F.struct("rn", "poi"))).alias("a"))
     return g.select("qid", "start", "len", F.concat(F.array("start"), F.transform("a", lambda x: x["poi"])).alias("path"))
@@ -236,7 +233,7 @@ def best_scored(n, longest=1000):
 @query("nearest_truth", "SELECT qid, arg_min(traj, (md5(traj::VARCHAR || '|nt'), traj)) AS traj FROM ctraj JOIN cquery USING (start, len) WHERE md5(traj::VARCHAR || '|half') < '8' GROUP BY qid", "ctraj cquery")
 def nearest_truth(spark, sf):
     """A random training trajectory of the same query (first in hash order)."""
-    t = cut(s.paths(s.place(v.city_visit(spark, sf))).select("traj", "start", "len"), "traj")
+    t = share(s.paths(s.place(v.city_visit(spark, sf))).select("traj", "start", "len"))
     tq = t.filter(o.md5_of("traj", seed="half") < "8").join(city_queries(t), ["start", "len"])
     return tq.groupBy("qid").agg(F.min(F.struct(o.md5_of("traj", seed="nt").alias("h"), F.col("traj"))).alias("b")).select("qid", "b.traj")
 
@@ -251,7 +248,7 @@ def softmax_scores(spark, sf):
 
 def weights(spark, sf):
     """Weights derived from the tables: mu = mean song vector, v = mean vector of the user's songs, w = mean vector of the list's songs."""
-    x = cut(v.clean_entry(spark, sf).join(song_vec(spark, sf).select("song", "e"), "song"), "vec-entry")
+    x = share(v.clean_entry(spark, sf).join(song_vec(spark, sf).select("song", "e"), "song"))
     mean = lambda unit: (x.select(unit, F.posexplode("e").alias("i", "z")).groupBy(unit, "i").agg(F.avg("z").alias("z"))
                          .groupBy(unit).agg(F.array_sort(F.collect_list(F.struct("i", "z"))).alias("a")).select(unit, F.transform("a", lambda q: q["z"]).alias(f"w_{unit}")))
     mu = ft.as_array(ft.per_position(song_vec(spark, sf), "e", m=F.avg), "m")
@@ -290,15 +287,15 @@ def neighbours(spark, sf, k=K_NEIGHBOURS):
     """
     a = attributes(spark, sf).withColumn("a", F.when(F.col("age").isNull() | (F.col("age") < 1), 0.0).otherwise(F.col("age").cast("double")))
     st = a.filter("train").agg(F.struct(F.avg("a").alias("m"), F.stddev_pop("a").alias("s"))).scalar()
-    a = cut(a.withColumn("z", (F.col("a") - st["m"]) / (st["s"] + 1e-6)).select("usr", "train", "z", "country", "subscriber"), "attr")
+    a = share(a.withColumn("z", (F.col("a") - st["m"]) / (st["s"] + 1e-6)).select("usr", "train", "z", "country", "subscriber"))
     tr, te = a.filter("train"), a.filter("not train")
     has = lambda col: F.array_contains(ft.vocabulary(tr, col), F.col(col)).cast("double")
     me = ["country", "subscriber", "z"]
-    known = cut(te.select(*me).distinct().withColumn("hc", has("country")).withColumn("hs", has("subscriber")), "known")
+    known = share(te.select(*me).distinct().withColumn("hc", has("country")).withColumn("hs", has("subscriber")))
     n1, n2 = F.col("z") * F.col("z") + F.col("hc") + F.col("hs"), F.col("z2") * F.col("z2") + 2.0
     found = None
     for shared in (["country", "subscriber"], ["country"], ["subscriber"], []):
-        members = cut(o.top_k(tr, [*shared, "z"], ["usr"], k, "r").select(*shared, F.col("z").alias("z2"), F.col("usr").alias("nb")), "members")
+        members = share(o.top_k(tr, [*shared, "z"], ["usr"], k, "r").select(*shared, F.col("z").alias("z2"), F.col("usr").alias("nb")))
         cell = members.groupBy(*shared, "z2").agg(F.min("nb").alias("first"))
         if shared:
             near = known.join(cell, shared)

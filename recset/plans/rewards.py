@@ -5,7 +5,6 @@ from recset.functions import columns as c
 from recset.operators import ordering as o
 from recset.plans import query
 from recset.plans.profiles import _r
-from recset.session import cut
 from recset.sources import views as v
 
 # Lower end and amplitude of the rewards, confidence exponent.

@@ -5,7 +5,7 @@ from recset.functions import columns as c
 from recset.operators import ordering as o, sequence as s
 from recset.plans import query
 from recset.plans.profiles import _r
-from recset.session import cut
+from recset.session import share
 from recset.sources import views as v
 
 EDGES = "edges AS (SELECT a.poi AS src, b.poi AS dst, count(*) AS n FROM cseq a JOIN cseq b ON a.traj = b.traj AND b.ord = a.ord + 1 GROUP BY 1, 2)"
@@ -38,7 +38,7 @@ def zones(spark, sf):
 
 def city(spark, sf):
     """Placed visits of the city, written once because most queries branch from them."""
-    seq = cut(s.place(v.city_visit(spark, sf)), "seq")
+    seq = share(s.place(v.city_visit(spark, sf)))
     return seq, seq
 
 
@@ -56,9 +56,9 @@ def poi_vectors(spark, sf, info):
 
 def matrices(spark, sf, seq):
     """Edge counts, POI class vectors and the long table of the five transition matrices; all three are small."""
-    e = cut(s.edge_counts(seq), "edges")
-    vecs = cut(poi_vectors(spark, sf, cut(s.poi_info(seq), "info")), "vec")
-    return e, vecs, cut(s.transition_matrices(e, vecs, KINDS, BINNED).coalesce(1), "tm")
+    e = share(s.edge_counts(seq))
+    vecs = share(poi_vectors(spark, sf, share(s.poi_info(seq))))
+    return e, vecs, share(s.transition_matrices(e, vecs, KINDS, BINNED))
 
 
 @query("trajectories", "SELECT traj, usr, len, start, array_to_string(path, ',') AS path FROM ctraj", "ctraj")
@@ -68,7 +68,7 @@ def trajectories(spark, sf):
 
 @query("transition_pairs", """SELECT a.traj, a.ord, a.poi AS src, b.poi AS dst FROM tseq a JOIN tseq b ON a.traj = b.traj AND b.ord = a.ord + 1""", "tseq")
 def transition_pairs(spark, sf):
-    return s.steps(cut(s.place(v.visit(spark, sf)), "seq")).select("traj", (F.col("ord") - 1).alias("ord"), "src", "dst")
+    return s.steps(share(s.place(v.visit(spark, sf)))).select("traj", (F.col("ord") - 1).alias("ord"), "src", "dst")
 
 
 def _tm(key, cls_sql, dom):
@@ -102,7 +102,7 @@ def log_bins(spark, sf):
 
 @query("digitize", f"SELECT a.poi, a.cls AS pop_bin, b.cls AS visit_bin, d.cls AS dur_bin FROM ({CLASS('pop')}) a JOIN ({CLASS('nvisit')}) b USING (poi) JOIN ({CLASS('dur', True)}) d USING (poi)", "cinfo")
 def digitize(spark, sf):
-    info = cut(s.poi_info(v.city_visit(spark, sf)), "info")
+    info = share(s.poi_info(v.city_visit(spark, sf)))
     bins = {n: c.digitize(F.col(col).cast("double"), s.bin_edges(info, col, col == "dur"), s.BINS + 1).cast("long") for n, col in
             (("pop_bin", "pop"), ("visit_bin", "nvisit"), ("dur_bin", "dur"))}
     return info.select("poi", *[b.alias(n) for n, b in bins.items()])
@@ -127,12 +127,12 @@ def poi_bigram_freq(spark, sf):
 @query("poi_position_probs", """SELECT poi, round(avg((ord = 1)::INT), 6) AS start_p, round(avg((ord = len)::INT), 6) AS stop_p,
     round(avg((ord > 1 AND ord < len)::INT), 6) AS middle_p FROM tseq GROUP BY poi""", "tseq")
 def poi_position_probs(spark, sf):
-    seq = cut(s.place(v.visit(spark, sf)).select("traj", "poi", "ord"), "seq")
+    seq = share(s.place(v.visit(spark, sf)).select("traj", "poi", "ord"))
     lens = seq.groupBy("traj").agg(F.max("ord").alias("len"))
-    share = lambda cond: F.avg(cond.cast("double"))
+    part = lambda cond: F.avg(cond.cast("double"))
     return seq.join(lens, "traj").groupBy("poi").agg(
-        _r(share(F.col("ord") == 1), "start_p"), _r(share(F.col("ord") == F.col("len")), "stop_p"),
-        _r(share((F.col("ord") > 1) & (F.col("ord") < F.col("len"))), "middle_p"))
+        _r(part(F.col("ord") == 1), "start_p"), _r(part(F.col("ord") == F.col("len")), "stop_p"),
+        _r(part((F.col("ord") > 1) & (F.col("ord") < F.col("len"))), "middle_p"))
 
 
 DIST = lambda a, b: f"2*6371.0088::DOUBLE*asin(sqrt(pow(sin((radians({a}.lat)-radians({b}.lat))/2), 2) + cos(radians({a}.lat))*cos(radians({b}.lat))*pow(sin((radians({a}.lon)-radians({b}.lon))/2), 2)))"
@@ -147,7 +147,7 @@ DIST = lambda a, b: f"2*6371.0088::DOUBLE*asin(sqrt(pow(sin((radians({a}.lat)-ra
     JOIN (SELECT usr, round(avg(k), 6) AS avg_len, max(k) AS max_len, min(k) AS min_len, sum(k)::BIGINT AS tot_len, round(count(*)::DOUBLE / max(count(*)) OVER (), 6) AS ratio
           FROM (SELECT usr, traj, count(*) AS k FROM tseq GROUP BY 1, 2) GROUP BY usr) u ON u.usr = t.usr GROUP BY t.traj""", "tseq poi")
 def session_features(spark, sf):
-    seq = cut(s.place(v.visit(spark, sf)).join(v.poi(spark, sf), "poi"), "seq")
+    seq = share(s.place(v.visit(spark, sf)).join(v.poi(spark, sf), "poi"))
     prev = seq.select("traj", (F.col("ord") + 1).alias("ord"), F.col("lon").alias("lon0"), F.col("lat").alias("lat0"))
     x = seq.join(prev, ["traj", "ord"], "left").withColumn("d", c.haversine_km(F.col("lon"), F.col("lat"), F.col("lon0"), F.col("lat0")))
     per = x.groupBy("traj", "usr").agg(

@@ -8,7 +8,7 @@ from recset.plans.cleaning import TAGS, tags
 from recset.plans.features import NODE_FROM, ZGRID, node_table
 from recset.plans.profiles import _r
 from recset.plans.splits import NEG, lowest_missing
-from recset.session import cut, fresh_path
+from recset.session import share, fresh_path
 from recset.sources import readers as rd, sinks as sk, views as v
 
 
@@ -145,17 +145,24 @@ def merge_partials(spark, sf):
 @query("label_shards", "SELECT idx // 1000 AS shard, min(idx) AS lo, max(idx) + 1 AS hi FROM (SELECT row_number() OVER (ORDER BY pid) - 1 AS idx FROM (SELECT DISTINCT pid FROM pl)) GROUP BY 1", "pl")
 def label_shards(spark, sf):
     """Blocks of 1000 labels; the last one is partial."""
-    d = cut(v.clean_entry(spark, sf).select("pid").distinct(), "labels")
+    d = share(v.clean_entry(spark, sf).select("pid").distinct())
     d = o.ordinal(d, [], ["pid"], o.id_bucket(d, "pid"), "rn").select((F.col("rn") - 1).alias("idx"))
     return d.groupBy(F.floor(F.col("idx") / 1000).alias("shard")).agg(F.min("idx").alias("lo"), (F.max("idx") + 1).alias("hi"))
 
 
-@query("check_equal", "SELECT count(*) AS rows_a, count(*) AS rows_b, 0::BIGINT AS only_a, 0::BIGINT AS only_b, 0::BIGINT AS far_apart FROM pl", "pl")
+@query("check_equal", """SELECT count(*) AS rows_a, count(*) FILTER (song % 13 <> 0) + count(*) FILTER (song % 19 = 0) AS rows_b,
+    count(*) FILTER (song % 13 = 0) AS only_a, count(*) FILTER (song % 19 = 0) AS only_b, count(*) FILTER (song % 13 <> 0 AND song % 17 = 0) AS far_apart FROM pl""", "pl")
 def check_equal(spark, sf):
-    """Two materialised data sets are equal: exact columns by multiset difference, features within a tolerance."""
+    """Two materialised data sets: exact columns by multiset difference, features within a tolerance.
+
+    The second set lacks every 13th song, has other lists for every 19th, and moved features for every 17th, so that each
+    count has something to find.
+    """
     path = fresh_path(spark, "equal")
     a = v.clean_entry(spark, sf).withColumn("x", F.log2(F.col("song") + 1))
-    a.write.parquet(path)
+    moved = F.col("x") + F.when(F.col("song") % 17 == 0, 0.001).otherwise(0.0)
+    other = a.filter("song % 13 <> 0").withColumn("x", moved).unionByName(a.filter("song % 19 = 0").withColumn("pid", -F.col("pid")))
+    other.write.parquet(path)
     b = spark.read.parquet(path)
     keys = ["pid", "usr", "song", "pos"]
     n = lambda d: d.agg(F.count("*")).scalar()

@@ -1,11 +1,14 @@
 """Splits and sampling."""
+import itertools
+import math
+
 from pyspark.sql import functions as F
 
 from recset.operators import ordering as o, sequence as s, splits as sp
-from recset.plans import query
+from recset.plans import SQL, query
 from recset.plans.profiles import _r, city_queries
 from recset.plans.sequences import city
-from recset.session import cut
+from recset.session import share
 from recset.sources import views as v
 
 
@@ -153,7 +156,7 @@ def per_user_split(spark, sf):
 @query("per_query_split", """SELECT traj, qid, CASE WHEN rn <= floor(0.3::DOUBLE * n) THEN 'test' ELSE 'train' END AS split FROM (SELECT traj, qid, count(*) OVER (PARTITION BY qid) AS n,
     row_number() OVER (PARTITION BY qid ORDER BY md5(traj::VARCHAR || '|pq'), traj) AS rn FROM ctraj JOIN cquery USING (start, len))""", "ctraj cquery")
 def per_query_split(spark, sf):
-    t = cut(s.paths(s.place(v.city_visit(spark, sf))).select("traj", "start", "len"), "traj")
+    t = share(s.paths(s.place(v.city_visit(spark, sf))).select("traj", "start", "len"))
     tq = t.join(city_queries(t), ["start", "len"]).select("traj", "qid")
     n = tq.groupBy("qid").agg(F.count("*").alias("n"))
     return o.hash_ordinal(tq, ["qid"], ["traj"], "pq", "rn").join(n, "qid").select(
@@ -166,7 +169,7 @@ def per_query_split(spark, sf):
 def loo_queries(spark, sf):
     """One fold per query; a query is skipped when its start POI is unseen in the remaining trajectories."""
     _, seq = city(spark, sf)
-    t = cut(s.paths(seq).select("traj", "start", "len"), "traj")
+    t = share(s.paths(seq).select("traj", "start", "len"))
     own = seq.join(t, "traj").groupBy("start", "len").agg(F.count("*").alias("own"), F.sum((F.col("poi") == F.col("start")).cast("long")).alias("own_start"))
     total = seq.groupBy(F.col("poi").alias("start")).agg(F.count("*").alias("total"))
     q = city_queries(t).join(own, ["start", "len"]).join(total, "start").filter("total - own_start > 0")
@@ -183,17 +186,21 @@ def loo_queries(spark, sf):
 def mc_cv_folds(spark, sf):
     """Five Monte-Carlo folds of 10 % of the queries, each redrawn until every test start stays in training."""
     _, seq = city(spark, sf)
-    t = cut(s.paths(seq).select("traj", "start", "len"), "traj")
-    q = cut(city_queries(t), "query")
+    t = share(s.paths(seq).select("traj", "start", "len"))
+    q = share(city_queries(t))
     size = F.ceil(F.lit(0.1) * q.agg(F.count("*")).scalar())
-    per = cut(seq.join(t, "traj").groupBy("start", "len", F.col("poi").alias("p")).agg(F.count("*").alias("k")), "per")
+    per = share(seq.join(t, "traj").groupBy("start", "len", F.col("poi").alias("p")).agg(F.count("*").alias("k")))
     total = per.groupBy(F.col("p").alias("start")).agg(F.sum("k").alias("total"))
+    # A draw can only be valid if enough queries leave their start in training when they are drawn alone.
+    alone = q.join(total, "start").join(per.filter("p = start").select("start", "len", F.col("k").alias("own")), ["start", "len"], "left")
+    if alone.filter("total > coalesce(own, 0)").count() < math.ceil(0.1 * q.count()):
+        raise ValueError("no draw leaves every test start in training")
     out, left = None, [1, 2, 3, 4, 5]
-    for first in range(1, 100, 3):
+    for first in itertools.count(1, 3):
         attempts = F.sequence(F.lit(first), F.lit(first + 2))
         draws = q.withColumn("fold", F.explode(F.array(*[F.lit(f) for f in left]))).withColumn("attempt", F.explode(attempts))
         keyed = draws.withColumn("_h", o.md5_of("qid", "fold", "attempt", seed="mc"))
-        drawn = cut(o.ordinal(keyed, ["fold", "attempt"], ["_h", "qid"], o.md5_bucket("_h"), "rn").filter(F.col("rn") <= size).select("fold", "attempt", "qid", "start", "len"), "drawn")
+        drawn = share(o.ordinal(keyed, ["fold", "attempt"], ["_h", "qid"], o.md5_bucket("_h"), "rn").filter(F.col("rn") <= size).select("fold", "attempt", "qid", "start", "len"))
         lost = drawn.join(per, ["start", "len"]).groupBy("fold", "attempt", F.col("p").alias("start")).agg(F.sum("k").alias("lost"))
         d = drawn.join(total, "start").join(lost, ["fold", "attempt", "start"], "left")
         ok = d.groupBy("fold", "attempt").agg(F.min((F.col("total") - F.coalesce("lost", F.lit(0)) > 0).cast("int")).alias("ok")).filter("ok = 1")
@@ -204,7 +211,6 @@ def mc_cv_folds(spark, sf):
         left = [f for f in left if f not in {r["fold"] for r in found}]
         if not left:
             return out.select("fold", "attempt", "qid")
-    raise ValueError(f"no valid draw for folds {left}")
 
 
 @query("shuffle_rows", "SELECT vec_id, row_number() OVER (ORDER BY md5(vec_id::VARCHAR || '|sh'), vec_id) AS rn FROM embeddings")
@@ -218,7 +224,7 @@ def lowest_missing(e, ratio, songs):
     The r-th missing id of a list lies among the first r + n song ids, n being its length; so the candidates are the
     first (ratio + 1) * n song numbers and the members are taken away.
     """
-    e = cut(e.select("pid", "song"), "entry")
+    e = share(e.select("pid", "song"))
     n = e.groupBy("pid").agg(F.count("*").alias("n"))
     total = songs.agg(F.count("*")).scalar()
     c = o.numbers(n, F.least((ratio + 1) * F.col("n"), total), "num")
@@ -243,14 +249,14 @@ def hashed_negatives(e, ratio, songs):
     A list gets 2 * (ratio + 1) * n draws. Repeated draws may leave it short; the lowest missing ids then fill it up, so
     every list gets ratio * n negatives as long as the catalogue has them.
     """
-    e = cut(e.select("pid", "song"), "entry")
+    e = share(e.select("pid", "song"))
     total = songs.agg(F.count("*")).scalar()
     numbered = o.ordinal(songs, [], ["song"], o.id_bucket(songs, "song"), "num")
     n = e.groupBy("pid").agg(F.count("*").alias("n"))
     c = o.numbers(n, F.col("n") * (2 * (ratio + 1)), "d").withColumn("num", F.pmod(F.xxhash64("pid", "d"), total) + 1)
     drawn = c.join(numbered, "num").join(e, ["pid", "song"], "left_anti").select("pid", "song", "d")
     fill = lowest_missing(e, ratio, songs).withColumn("d", F.lit(1 << 60) + F.col("song"))
-    best = cut(drawn.unionByName(fill).groupBy("pid", "song").agg(F.min("d").alias("d")), "negatives")
+    best = share(drawn.unionByName(fill).groupBy("pid", "song").agg(F.min("d").alias("d")))
     r = o.ordinal(best, ["pid"], ["d"], F.floor(F.least(F.col("d"), F.lit(1 << 40)) / 4096), "r")
     return r.join(n, "pid").filter(F.col("r") <= ratio * F.col("n")).select("pid", "song")
 
@@ -260,11 +266,17 @@ def negative_sampling_seeded(spark, sf):
     return hashed_negatives(v.clean_entry(spark, sf), 2, v.song(spark, sf).select("song"))
 
 
-@query("split_disjoint_check", "SELECT 0::BIGINT AS shared_users, 0::BIGINT AS songs_not_in_train, 0::BIGINT AS lists_not_whole")
+def own(part):
+    return f"SELECT song FROM pl JOIN ({SQL['split_cold_users']}) USING (usr) WHERE split = '{part}'"
+
+
+@query("split_disjoint_check", f"""SELECT (SELECT count(*) FROM (SELECT usr FROM ({SQL['split_cold_users']}) GROUP BY usr HAVING count(*) > 1)) AS shared_users,
+    (SELECT count(DISTINCT song) FROM ({own('test')}) WHERE song NOT IN ({own('train')})) AS songs_not_in_train,
+    (SELECT count(*) FROM ({SQL['seed_split']}) s JOIN (SELECT pid, count(*) AS whole FROM pl GROUP BY pid) USING (pid) WHERE s.n_seed + s.n_held <> whole) AS lists_not_whole""", "pl")
 def split_disjoint_check(spark, sf):
     """Counts of broken invariants of the cold-user and the seed split; all must be 0."""
     e = v.clean_entry(spark, sf)
-    u = cut(split_cold_users(spark, sf), "cold-users")
+    u = share(split_cold_users(spark, sf))
     test, train = (e.join(u.filter(F.col("split") == k).select("usr"), "usr", "left_semi") for k in ("test", "train"))
     n = lambda d: d.agg(F.count("*")).scalar()
     both = u.groupBy("usr").agg(F.count("*").alias("k")).filter("k > 1")

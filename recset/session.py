@@ -40,10 +40,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Cut lineage: write once as Parquet to the shared folder and read back.
-
-    Branches that share a costly input then scan one table, and a lost executor costs a read and no replay.
-    """
+    """Cut the lineage: write once as Parquet to the shared folder and read back. A lost executor costs a read."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def share(df: DataFrame) -> DataFrame:
+    """What several branches of a query read, computed once. It is written like `cut`: a cached frame would keep the whole
+    plan below it, and plans that share inputs on several levels then grow with every branch."""
+    return cut(df, "share")
+
+
+def release(spark: SparkSession) -> None:
+    """Drop everything that queries of this session have cached."""
+    spark.catalog.clearCache()

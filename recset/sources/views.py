@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recset.operators import ordering as o
-from recset.session import cut
+from recset.session import share
 
 
 def table(spark: SparkSession, sf: str, name: str, *cols: str) -> DataFrame:
@@ -80,7 +80,7 @@ def clean_entry(spark, sf, least: int = 5) -> DataFrame:
 
 def placed(df: DataFrame, unit: str = "pid", item: str = "song", pos: str = "pos") -> DataFrame:
     """Dense 1-based `ord` inside each list; the entries are written once and read three times."""
-    df = cut(df, "entry")
+    df = share(df)
     return o.ordinal(df, [unit], [pos, item], o.id_bucket(df, pos), "ord")
 
 

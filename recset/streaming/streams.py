@@ -61,21 +61,24 @@ def popularity(events: DataFrame, length: str, slide: str | None, delay: str = "
 def transition_batches(gap_seconds: int = 8 * 3600):
     """Handler that emits consecutive pairs per user, with a gap limit.
 
-    The state between batches is the last event of each user: one row per user, however busy the user is. Inside a
+    An event that comes after a later one of its user gives the pair with what was stored or came before it; nothing is
+    emitted twice. The state between batches is the last event of each user: one row per user, however busy the user is. Inside a
     batch the neighbour is found by position, an equi-join that spreads a hot user over tasks.
     """
 
     def handle(batch: DataFrame, i: int, path: str) -> None:
         spark = batch.sparkSession
-        rows = batch.select("user_id", "ts", "event_id", "event_type")
+        rows = batch.select("user_id", "ts", "event_id", "event_type", F.lit(True).alias("new"))
         if i > 0:
-            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{path}/last/{i - 1}"))
+            last = spark.read.schema(rows.drop("new").schema).parquet(f"{path}/last/{i - 1}").withColumn("new", F.lit(False))
+            rows = rows.unionByName(last)
         us = rows.withColumn("us", F.unix_micros("ts"))
         placed = o.ordinal(us, ["user_id"], ["us", "event_id"], o.id_bucket(us, "us"), "pos")
         prev = placed.select("user_id", (F.col("pos") + 1).alias("pos"), F.col("event_type").alias("src"), F.col("us").alias("us0"))
         pairs = placed.join(prev, ["user_id", "pos"]).filter(F.col("us") - F.col("us0") < gap_seconds * 1000000)
+        pairs = pairs.filter("new")  # the pair that ends in a stored event was emitted with its own batch
         pairs.select("user_id", "event_id", "src", F.col("event_type").alias("dst")).write.mode("overwrite").parquet(f"{path}/pairs/batch={i}")
         newest = F.max(F.struct("ts", "event_id", "event_type"))
-        rows.groupBy("user_id").agg(newest.alias("e")).select("user_id", "e.ts", "e.event_id", "e.event_type").write.mode("overwrite").parquet(f"{path}/last/{i}")
+        rows.drop("new").groupBy("user_id").agg(newest.alias("e")).select("user_id", "e.ts", "e.event_id", "e.event_type").write.mode("overwrite").parquet(f"{path}/last/{i}")
 
     return handle

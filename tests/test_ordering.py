@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from recset.operators import clean, ordering as o
 
@@ -72,3 +72,26 @@ def test_pair_counts_spreads_a_huge_group(spark):
                 if a <= b:
                     want[a, b] = want.get((a, b), 0) + 1
     assert got == want
+
+
+def test_null_units_null_order_and_text_ids(spark):
+    rows = [("a", 3, "song-2"), ("a", None, "song-10"), (None, 1, "song-1"), (None, None, "song-0"), ("a", 1, "é"), ("b", 2, None), ("a", 3, "song-1")]
+    df = spark.createDataFrame(rows, "u string, x long, s string")
+    got = sorted(((r.u, r.x, r.s, r.pos) for r in o.ordinal(df, ["u"], ["x", "s"], o.id_bucket(df, "x")).collect()), key=str)
+    low = lambda v: (v is not None, v if v is not None else 0)
+    want = []
+    for u in ("a", "b", None):
+        own = sorted((r for r in rows if r[0] == u), key=lambda r: (low(r[1]), (r[2] is not None, (r[2] or "").encode())))
+        want += [(*r, i + 1) for i, r in enumerate(own)]
+    assert got == sorted(want, key=str)
+    got = {r.s: r["rank"] for r in o.ranked(df.filter("u = 'a'"), ["u"], "x", "s").collect()}
+    assert got == {"song-1": 1, "song-2": 2, "é": 3, "song-10": 4}
+
+
+def test_buckets_of_spread_out_values_are_even(spark):
+    df = spark.range(20000).selectExpr("pow(10, id % 1000 / 111.0) + id / 1e6 AS x", "concat('song-', lpad(id, 7, '0')) AS s")
+    for c in ("x", "s"):
+        d = df.withColumn("b", o.id_bucket(df, c))
+        assert d.groupBy("b").count().agg({"count": "max"}).first()[0] <= 0.02 * 20000
+        assert d.groupBy("b").agg(F.min(c).alias("lo"), F.max(c).alias("hi")).orderBy("b").select(
+            (F.col("lo") > F.coalesce(F.lag("hi").over(W.orderBy("b")), F.lit("" if c == "s" else -1))).alias("ok")).filter("NOT ok").count() == 0

@@ -1,17 +1,43 @@
-"""The shared folder comes from the session when it names one."""
+"""Where queries write: only below the folder that the session names."""
+import os
 import subprocess
 import sys
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+CODE = """
+import os, sys; sys.path.insert(0, {root!r})
+from recset import plans
+from recset.session import build, cut, share, shared_dir
+s = build('local[2]', **{{{name!r}: {folder!r}, 'spark.ui.enabled': 'false', 'spark.sql.shuffle.partitions': '2'}})
+assert shared_dir(s).startswith({folder!r}), shared_dir(s)
+assert cut(s.range(5)).count() == share(s.range(5)).count() == 5
+plans.load_all()
+for k in ('src_visits_csv', 'transition_pairs', 'st_transitions'):
+    assert plans.QUERIES[k](s, '/root/testdata/sf0.001').count() >= 0
+assert not s.sparkContext._jvm.java.io.File({tmp!r}).list(), os.listdir({tmp!r})
+"""
+
+
+def run(name, folder, cwd):
+    tmp = cwd / "tmp"
+    tmp.mkdir()
+    code = CODE.format(root=ROOT, name=name, folder=str(folder), tmp=str(tmp))
+    env = {**os.environ, "TMPDIR": str(tmp), "SPARK_LOCAL_DIRS": str(cwd / "local")}
+    done = subprocess.run([sys.executable, "-c", code], cwd=cwd, timeout=170, capture_output=True, text=True, env=env)
+    assert done.returncode == 0, done.stderr[-2000:]
+
 
 def test_shared_folder_is_read_from_the_session(tmp_path):
-    code = f"""
-import sys; sys.path.insert(0, {sys.path[0]!r}); sys.path.insert(0, '.')
-from recset.session import build, cut, shared_dir
-s = build('local[1]', **{{'spark.checkpoint.dir': '{tmp_path}', 'spark.ui.enabled': 'false'}})
-assert shared_dir(s) == '{tmp_path}', shared_dir(s)
-assert cut(s.range(5)).count() == 5
-"""
-    import os
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, timeout=120, capture_output=True)
-    assert any(p.name.startswith("recset-") for p in tmp_path.iterdir())
+    folder = tmp_path / "shared"
+    run("spark.checkpoint.dir", folder, tmp_path)
+    assert any(p.name.startswith("recset-") for p in folder.iterdir())
+
+
+def test_no_local_temporary_folder_in_the_library():
+    for base, _, names in os.walk(os.path.join(ROOT, "recset")):
+        if os.path.basename(base) == "llm":
+            continue
+        for n in names:
+            if n.endswith(".py"):
+                with open(os.path.join(base, n)) as f:
+                    assert "tempfile" not in f.read(), n
