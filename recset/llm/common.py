@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from recset.session import shared_dir
 
-SLICE_BYTES = 8 << 20  # text handled at a time inside a task; one longer text is a slice of its own
+SLICE_BYTES = 4 << 20  # text handled at a time inside a task; one longer text is a slice of its own
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -69,6 +69,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES
             to = min(to, batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()  # workers live on and serve other tasks
 
 
 def byte_table(is_word, lower: bool) -> tuple[np.ndarray, np.ndarray]:

@@ -152,7 +152,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        for part in slices(batches, text, max(1 << 18, (32 << 20) // max(4, len(m.names)))):
+        for part in slices(batches, text, max(1 << 18, (8 << 20) // max(4, len(m.names)))):
             column = part.column(text)
             words: Words = split_words(*texts(column), KINDS)
             uniq, code = words.encoded()
