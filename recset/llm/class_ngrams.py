@@ -35,12 +35,12 @@ from recset.llm.queries import query
 CLASSES = 64  # at most 128
 STEPS = 2  # of exchange
 SMOOTHING = 0.1  # of a class transition
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 END = b" "  # no word holds a space
 KINDS = byte_table(lambda b: b not in SPACES, lower=True)
 # Kinds of rows between the steps.
 TOKENS, WORDS, CLASS, TOTALS, TOP, PAIRS = range(6)
-ROW = "kind int, block string, bucket int, data binary, x long, y long, z long"
+ROW = "kind int, block string, bucket int, data binary, x long, y long, z long, pairs array<long>"
 
 
 def pack(*parts) -> bytes:
@@ -55,9 +55,15 @@ def unpack(data: bytes) -> list:
 
 
 def rows_of(*rows) -> pa.Table:
-    cols = list(zip(*rows)) if rows else [[]] * 7
-    kinds = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=["kind", "block", "bucket", "data", "x", "y", "z"])
+    """Rows of 7 fields, or 8 with class pairs."""
+    cols = list(zip(*[(*r, None)[:8] for r in rows])) if rows else [[]] * 8
+    kinds = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=["kind", "block", "bucket", "data", "x", "y", "z", "pairs"])
+
+
+def pair_rows(pairs: np.ndarray) -> list[tuple]:
+    """One PAIRS row for each class before that occurs, with the counts of all classes after it."""
+    return [(PAIRS, None, None, None, int(k), None, None, pairs[k].tolist()) for k in np.flatnonzero(pairs.any(axis=1))]
 
 
 def to_blocks(docs: DataFrame, n_buckets: int) -> DataFrame:
@@ -157,7 +163,7 @@ def neighbours(step: int, seeds: dict):
             before = np.append(cls[code[-1]], of[:-1])  # before a text stands the end of another
             key = np.concatenate([code * 2 * CLASSES + before, (code[:-1] * 2 * CLASSES + CLASSES + of[1:])[~end[:-1]]])
             pairs = np.bincount(before * CLASSES + of, minlength=CLASSES**2)
-            out += [(PAIRS, None, None, None, int(p), int(pairs[p]), None) for p in np.flatnonzero(pairs)]
+            out += pair_rows(pairs.reshape(CLASSES, CLASSES))
         key, n = np.unique(key, return_counts=True)
         word, slot = key // (2 * CLASSES), key % (2 * CLASSES)
         stops = np.searchsorted(word, block.cut)
@@ -196,19 +202,18 @@ def exchange(step: int, fit: np.ndarray):
             for c in range(CLASSES):
                 pairs[:, c] += table_[best == c, :CLASSES].sum(axis=0).astype(np.int64)
         out = [(CLASS, block, bucket, pack(new[p[0]]), step + 1, None, None) for block, p in zip(tab.column("block").to_pylist(), parts)]
-        flat = pairs.reshape(-1)
-        out += [(PAIRS, None, None, None, int(p), int(flat[p]), None) for p in np.flatnonzero(flat)]
-        return rows_of(*out)
+        return rows_of(*out, *pair_rows(pairs))
 
     return run
 
 
 def class_table(rows: DataFrame) -> np.ndarray:
     """Sum of the PAIRS rows: CLASSES squared numbers."""
-    out = np.zeros(CLASSES**2, np.int64)
-    for r in rows.filter(F.col("kind") == PAIRS).groupBy("x").agg(F.sum("y").alias("n")).collect():
+    out = np.zeros((CLASSES, CLASSES), np.int64)
+    sums = F.array(*[F.sum(F.col("pairs")[k]) for k in range(CLASSES)])
+    for r in rows.filter(F.col("kind") == PAIRS).groupBy("x").agg(sums.alias("n")).collect():
         out[r.x] = r.n
-    return out.reshape(CLASSES, CLASSES)
+    return out
 
 
 def context_fit(pairs: np.ndarray) -> np.ndarray:
