@@ -13,7 +13,7 @@ EW = FACTORED_SQL + """, node AS (SELECT poi, log10(pop::DOUBLE / sum(pop) OVER
     ew AS (SELECT src, dst, nw, w, round((0.5 * nw + 0.5 * w) * 1000000)::BIGINT AS m FROM wts JOIN edges USING (src, dst) JOIN node ON node.poi = dst)"""
 NEED = "cseq cinfo cpoi cquery ctraj"
 ALPHA = 0.5
-WIDTH = 50  # of the beam that gives the lower bounds of the exact search
+WIDTH = 50  # of the beam
 
 
 def combined(spark, sf, seq):
@@ -65,31 +65,21 @@ def path_greedy(spark, sf):
     return q.join(pt.beam(st, e, longest, 1), ["start", "len"]).select("qid", text(F.col("path")).alias("path"), "score")
 
 
-# Exact ten best loop-free paths: as in operators/paths.py, partial paths that cannot beat the beam's tenth are dropped.
-TOP = BEAM(WIDTH) + """, low AS (SELECT start, n, CASE WHEN count(*) >= 10 THEN min(score) ELSE -(2::BIGINT ** 62)::BIGINT END AS l FROM bm WHERE rank <= 10 AND n >= 2 GROUP BY start, n),
-    rest AS (SELECT poi, 0 AS r, 0::BIGINT AS u FROM (SELECT src AS poi FROM ew UNION SELECT dst FROM ew) UNION ALL
-    SELECT src, r + 1, max(m + u) FROM rest JOIN ew ON dst = poi WHERE src <> dst AND r + 1 < (SELECT max(len) FROM cquery) GROUP BY src, r + 1),
-    ex AS (SELECT start, start AS poi, 1 AS n, 0::BIGINT AS score, [start] AS path FROM (SELECT DISTINCT start FROM cquery) UNION ALL
-    SELECT ex.start, dst, ex.n + 1, score + m, list_append(path, dst) FROM ex JOIN ew ON src = poi WHERE NOT list_contains(path, dst) AND ex.n < (SELECT max(len) FROM cquery)
-    AND EXISTS (SELECT 1 FROM low JOIN rest ON rest.r = low.n - ex.n - 1 WHERE low.start = ex.start AND rest.poi = dst AND score + m + u >= l)),
-    tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY start, n ORDER BY score DESC, path) AS rank FROM ex WHERE n >= 2) WHERE rank <= 10)"""
-
-
-@query("path_beam_topk", "SELECT qid, rank, array_to_string(path, ',') AS path, score FROM cquery q JOIN tp ON tp.start = q.start AND tp.n = q.len", NEED, EW + TOP, recursive=True)
+@query("path_beam_topk", "SELECT qid, rank, array_to_string(path, ',') AS path, score FROM cquery q JOIN bm ON bm.start = q.start AND bm.n = q.len WHERE rank <= 10", NEED, EW + BEAM(WIDTH), recursive=True)
 def path_beam_topk(spark, sf):
     q, st, e, longest = setup(spark, sf)
-    return q.join(pt.top_paths(st, e, longest, 10, WIDTH), ["start", "len"]).select("qid", "rank", text(F.col("path")).alias("path"), "score")
+    return q.join(pt.beam(st, e, longest, WIDTH).filter("rank <= 10"), ["start", "len"]).select("qid", "rank", text(F.col("path")).alias("path"), "score")
 
 
-DIV = """, kept AS (SELECT start, n, rank, path AS last, TRUE AS keep FROM tp WHERE rank = 1 AND n >= 2 UNION ALL
+DIV = """, kept AS (SELECT start, n, rank, path AS last, TRUE AS keep FROM bm WHERE rank = 1 AND n >= 2 UNION ALL
     SELECT k.start, k.n, b.rank, CASE WHEN len(list_filter(b.path, lambda x: NOT list_contains(k.last, x))) > 0 THEN b.path ELSE k.last END,
-    len(list_filter(b.path, lambda x: NOT list_contains(k.last, x))) > 0 FROM kept k JOIN tp b ON b.start = k.start AND b.n = k.n AND b.rank = k.rank + 1 WHERE b.rank <= 10)"""
+    len(list_filter(b.path, lambda x: NOT list_contains(k.last, x))) > 0 FROM kept k JOIN bm b ON b.start = k.start AND b.n = k.n AND b.rank = k.rank + 1 WHERE b.rank <= 10)"""
 
 
-@query("path_diverse", "SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank, array_to_string(last, ',') AS path FROM cquery q JOIN kept k ON k.start = q.start AND k.n = q.len WHERE keep", NEED, EW + TOP + DIV, recursive=True)
+@query("path_diverse", "SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank, array_to_string(last, ',') AS path FROM cquery q JOIN kept k ON k.start = q.start AND k.n = q.len WHERE keep", NEED, EW + BEAM(WIDTH) + DIV, recursive=True)
 def path_diverse(spark, sf):
     q, st, e, longest = setup(spark, sf)
-    top = pt.top_paths(st, e, longest, 10, WIDTH)
+    top = pt.beam(st, e, longest, WIDTH).filter("rank <= 10")
     arr = top.groupBy("start", "len").agg(F.array_sort(F.collect_list(F.struct("rank", "path"))).alias("a")).select("start", "len", F.transform("a", lambda x: x["path"]).alias("paths"))
     d = q.join(pt.keep_diverse(arr), ["start", "len"]).select("qid", F.posexplode("paths").alias("i", "path"))
     return d.select("qid", (F.col("i") + 1).cast("long").alias("rank"), text(F.col("path")).alias("path"))
