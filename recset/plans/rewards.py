@@ -182,9 +182,10 @@ def al_pool_entropy(spark, sf):
 
 
 def pool_moments(rows, n_class, n_feat):
-    """(kind, i, j, value): sums of the Fisher and of the output-variance matrix over all pool rows (x, p).
+    """(kind, i, v): rows of the Fisher and of the output-variance matrix, summed over all pool rows (x, p).
 
-    A task reduces its Arrow batches to two small square matrices; only those are shuffled and summed.
+    A task reduces its Arrow batches, a block of rows at a time, to two square matrices of fixed size; their rows are
+    shuffled and summed.
     """
     width = n_class * n_feat
 
@@ -192,26 +193,32 @@ def pool_moments(rows, n_class, n_feat):
         import numpy as np
         import pandas as pd
 
-        f, a = np.zeros((width, width)), np.zeros((width, width))
+        f, a, seen = np.zeros((width, width)), np.zeros((width, width)), False
         for b in batches:
-            x, p = np.array(b["x"].tolist()), np.array(b["p"].tolist())
-            if not len(x):
-                continue
-            jac = np.einsum("nk,kc->nkc", p, np.eye(n_class)) - np.einsum("nk,nc->nkc", p, p)  # d p_k / d score_c
-            g = np.einsum("nkc,nf->nkcf", jac, x).reshape(len(x), n_class, width)
-            a += np.einsum("nki,nkj->ij", g, g)
-            px = np.einsum("nc,nf->ncf", p, x).reshape(len(x), width)
-            f += px.T @ px
-            for k in range(n_class):
-                s = slice(k * n_feat, (k + 1) * n_feat)
-                w = p[:, k] * (1 - p[:, k])
-                f[s, s] += (x * w[:, None]).T @ x - px[:, s].T @ px[:, s]
-        i, j = np.meshgrid(range(width), range(width), indexing="ij")
-        for kind, m in (("F", f), ("A", a)):
-            yield pd.DataFrame({"kind": kind, "i": i.ravel(), "j": j.ravel(), "value": m.ravel()})
-
-    parts = rows.mapInPandas(reduce, "kind string, i int, j int, value double")
-    return parts.groupBy("kind", "i", "j").agg(F.sum("value").alias("value"))
+            for lo in range(0, len(b), 1024):
+                part = b.iloc[lo:lo + 1024]
+                x, p = np.array(part["x"].tolist()), np.array(part["p"].tolist())
+                seen = True
+                jac = np.einsum("nk,kc->nkc", p, np.eye(n_class)) - np.einsum("nk,nc->nkc", p, p)  # d p_k / d score_c
+                g = np.einsum("nkc,nf->nkcf", jac, x).reshape(-1, width)
+                a += g.T @ g
+                px = np.einsum("nc,nf->ncf", p, x).reshape(len(x), width)
+                f += px.T @ px
+                for k in range(n_class):
+                    s = slice(k * n_feat, (k + 1) * n_feat)
+                    w = p[:, k] * (1 - p[:, k])
+                    f[s, s] += (x * w[:, None]).T @ x - px[:, s].T @ px[:, s]
+        if seen:
+            for kind, m in (("F", f), ("A", a)):
+                yield pd.DataFrame({"kind": kind, "i": range(width), "v": list(m)})
+
+    def total(part):
+        import numpy as np
+
+        return part.iloc[:1].assign(v=[np.sum(part["v"].tolist(), axis=0)])
+
+    schema = "kind string, i int, v array<double>"
+    return rows.mapInPandas(reduce, schema).groupBy("kind", "i").applyInPandas(total, schema)
 
 
 @query("al_pool_variance")
@@ -219,13 +226,14 @@ def al_pool_variance(spark, sf):
     """Fisher-information variance of the pool: trace(A F^-1). The two matrices are (classes x features)^2, fixed in size."""
     import numpy as np
 
-    n_class, n_feat, C = 5, 3, 1.0
+    n_class, C = 5, 1.0
     p = v.prob(spark, sf).filter("member = 0").groupBy("cand").agg(F.transform(F.array_sort(F.collect_list(F.struct("cls", "p"))), lambda s: s["p"]).alias("p"))
-    x = v.table(spark, sf, "embeddings").select(F.col("vec_id").alias("cand"), F.slice(F.col("embedding").cast("array<double>"), 1, n_feat).alias("x"))
+    x = v.table(spark, sf, "embeddings").select(F.col("vec_id").alias("cand"), F.col("embedding").cast("array<double>").alias("x"))
+    n_feat = x.agg(F.max(F.size("x"))).first()[0] or 0
     rows = p.join(x, "cand").select("x", "p")
     m = {"F": np.zeros((n_class * n_feat,) * 2), "A": np.zeros((n_class * n_feat,) * 2)}
     for r in pool_moments(rows, n_class, n_feat).collect():
-        m[r["kind"]][r["i"], r["j"]] = r["value"]
+        m[r["kind"]][r["i"]] = r["v"]
     n = rows.count()
     f = (m["F"] + C * np.eye(n_class * n_feat)) / n
     value = float(np.trace(m["A"] @ np.linalg.inv(f)))
