@@ -87,21 +87,21 @@ def linear(train: DataFrame, test: DataFrame, x: Column, y: str, **kw) -> DataFr
     return m.transform(prep(test)).withColumnRenamed("prediction", "score").drop("features")
 
 
-def hinge_rank_fit(rows: DataFrame, d: int, steps: int, rate: float, reg: float):
+def hinge_rank_value(rows: DataFrame, d: int, reg: float):
     """Linear ranking with the pairwise squared hinge max(0, 1 - (s+ - s-))^2 over all (positive, negative) pairs of a query.
 
     No pair is formed. Rows are merged on one axis, negatives at s and positives at s - 1: the partners of a positive are
     the negatives at or above it, those of a negative the positives at or below it. Running sums of 1, s and x along the
     axis give value and gradient exactly, and a hot query is spread because the running sums are bucketed.
-    rows: (qid, id, pos 0/1, x array). Returns (weights, losses).
+    rows: (qid, id, pos 0/1, x array). Returns a function from weights to (loss, gradient).
     """
     import numpy as np
 
     n = rows.groupBy("qid").agg(F.sum("pos").alias("np"), F.sum(1 - F.col("pos")).alias("nn")).filter("np > 0 and nn > 0")
     base = cut(rows.join(n, "qid").withColumn("wt", 1.0 / (F.col("np") * F.col("nn"))), "rank")
     queries = n.count()
-    w, losses = np.zeros(d), []
-    for _ in range(steps):
+
+    def value(w):
         s = c.dot(F.col("x"), F.array(*[F.lit(float(v)) for v in w]))
         r = base.withColumn("s", s).withColumn("at", F.col("s") - F.col("pos")).withColumn("k", F.floor(F.col("at") * 64).cast("long"))
         side = lambda p: F.when(F.col("pos") == p, 1.0).otherwise(0.0)
@@ -112,10 +112,54 @@ def hinge_rank_fit(rows: DataFrame, d: int, steps: int, rate: float, reg: float)
         g_pos = -(F.col("c0") * (1 - F.col("s")) + F.col("s0"))
         g_neg = F.col("c1") * (1 + F.col("s")) - F.col("s1")
         gs = F.when(F.col("pos") == 1, g_pos).otherwise(g_neg) * 2 * F.col("wt")
-        value = F.when(F.col("pos") == 1, F.col("c0") * (1 - F.col("s")) * (1 - F.col("s")) + 2 * (1 - F.col("s")) * F.col("s0") + F.col("q0")).otherwise(0.0) * F.col("wt")
-        t = both.agg(F.sum(value).alias("loss"), *[F.sum(gs * F.get("x", i)).alias(f"g{i}") for i in range(d)]).first()
-        losses.append(t["loss"] / queries + 0.5 * reg * float(w @ w))
-        w = w - rate * (np.array([t[f"g{i}"] for i in range(d)]) / queries + reg * w)
+        loss = F.when(F.col("pos") == 1, F.col("c0") * (1 - F.col("s")) * (1 - F.col("s")) + 2 * (1 - F.col("s")) * F.col("s0") + F.col("q0")).otherwise(0.0) * F.col("wt")
+        t = both.agg(F.sum(loss).alias("loss"), *[F.sum(gs * F.get("x", i)).alias(f"g{i}") for i in range(d)]).first()
+        if not queries:  # no pair, so only the norm counts
+            return 0.5 * reg * float(w @ w), reg * w
+        return t["loss"] / queries + 0.5 * reg * float(w @ w), np.array([t[f"g{i}"] for i in range(d)]) / queries + reg * w
+
+    return value
+
+
+def hinge_rank_fit(rows: DataFrame, d: int, steps: int, rate: float, reg: float):
+    """A given number of gradient steps on `hinge_rank_value`. Returns (weights, losses)."""
+    import numpy as np
+
+    value = hinge_rank_value(rows, d, reg)
+    w, losses = np.zeros(d), []
+    for _ in range(steps):
+        loss, g = value(w)
+        losses.append(loss)
+        w = w - rate * g
+    return w, losses
+
+
+def hinge_rank_solve(rows: DataFrame, d: int, rate: float, reg: float, tol: float = 1e-3):
+    """Gradient steps on `hinge_rank_value` until one lowers the loss by less than `tol` of its first value. Returns
+    (weights, losses).
+
+    The first step has length `rate`; later ones follow the curvature seen in the last step. A step that raises the loss is
+    taken back and tried again at a quarter of its length, so the losses never rise.
+    """
+    import numpy as np
+
+    value = hinge_rank_value(rows, d, reg)
+    w = np.zeros(d)
+    loss, g = value(w)
+    losses = [loss]
+    while loss > 0 and rate * float(g @ g) > 1e-12 * losses[0]:
+        to = w - rate * g
+        low, grad = value(to)
+        if low > loss:
+            rate /= 4
+            continue
+        step, turn, gain = to - w, grad - g, loss - low
+        w, loss, g = to, low, grad
+        losses.append(loss)
+        if gain < tol * losses[0]:
+            break
+        if step @ turn > 0:
+            rate = float(step @ step / (step @ turn))
     return w, losses
 
 

@@ -136,11 +136,16 @@ def poi_rank_linreg(spark, sf):
 
 def rank_rows(spark, sf):
     d = labelled(spark, sf)
-    return d, d.select("qid", F.col("poi").alias("id"), (F.col("occ") > 0).cast("int").alias("pos"), F.slice("f", F.size("f") - 9, 10).alias("x"))
+    return d, d.select("qid", F.col("poi").alias("id"), (F.col("occ") > 0).cast("int").alias("pos"), F.col("f").alias("x"))
+
+
+def width(d):
+    """Slots of the feature vector; every row has the same."""
+    return d.agg(F.max(F.size("f"))).first()[0] or 0
 
 
 def scored_paths(d, w):
-    sc = d.withColumn("score", c.dot(F.slice("f", F.size("f") - 9, 10), F.array(*[F.lit(float(x)) for x in w])))
+    sc = d.withColumn("score", c.dot(F.col("f"), F.array(*[F.lit(float(x)) for x in w])))
     return best_scored(sc).select("qid", text(F.col("path")).alias("path"))
 
 
@@ -148,7 +153,7 @@ def scored_paths(d, w):
 def pairwise_rank(spark, sf):
     """Pairwise squared hinge over all pairs of a query, by running sums; then start + best scored."""
     d, rows = rank_rows(spark, sf)
-    w, _ = md.hinge_rank_fit(rows, 10, 4, 0.3, 0.001)
+    w, _ = md.hinge_rank_solve(rows, width(d), 0.3, 0.001)
     return scored_paths(d, w)
 
 
@@ -156,7 +161,7 @@ def pairwise_rank(spark, sf):
 def ranking_svm(spark, sf):
     """Linear ranking with a wide margin: the same exact pairwise objective with the weight of the norm of an SVM (1 / C)."""
     d, rows = rank_rows(spark, sf)
-    w, _ = md.hinge_rank_fit(rows, 10, 6, 0.3, 0.1)
+    w, _ = md.hinge_rank_solve(rows, width(d), 0.3, 0.1)
     return scored_paths(d, w)
 
 
