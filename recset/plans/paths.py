@@ -71,6 +71,19 @@ def path_beam_topk(spark, sf):
     return q.join(pt.beam(st, e, longest, WIDTH).filter("rank <= 10"), ["start", "len"]).select("qid", "rank", text(F.col("path")).alias("path"), "score")
 
 
+# All loop-free paths, ranked per start and length.
+FULL = """, every AS (SELECT start, start AS poi, 1 AS n, 0::BIGINT AS score, [start] AS path FROM (SELECT DISTINCT start FROM cquery) UNION ALL
+    SELECT start, dst, n + 1, score + m, list_append(path, dst) FROM every JOIN ew ON src = poi WHERE NOT list_contains(path, dst) AND n < (SELECT max(len) FROM cquery)),
+    bm AS (SELECT * FROM (SELECT start, n, path, score, row_number() OVER (PARTITION BY start, n ORDER BY score DESC, path) AS rank FROM every) WHERE rank <= 10)"""
+
+
+@query("path_exact_topk", "SELECT qid, rank, array_to_string(path, ',') AS path, score FROM cquery q JOIN bm ON bm.start = q.start AND bm.n = q.len", NEED, EW + FULL, recursive=True)
+def path_exact_topk(spark, sf):
+    """The ten best loop-free paths; `path_beam_topk` is the same by a beam."""
+    q, st, e, longest = setup(spark, sf)
+    return q.join(pt.top_paths(st, e, longest, 10, WIDTH), ["start", "len"]).select("qid", "rank", text(F.col("path")).alias("path"), "score")
+
+
 DIV = """, kept AS (SELECT start, n, rank, path AS last, TRUE AS keep FROM bm WHERE rank = 1 AND n >= 2 UNION ALL
     SELECT k.start, k.n, b.rank, CASE WHEN len(list_filter(b.path, lambda x: NOT list_contains(k.last, x))) > 0 THEN b.path ELSE k.last END,
     len(list_filter(b.path, lambda x: NOT list_contains(k.last, x))) > 0 FROM kept k JOIN bm b ON b.start = k.start AND b.n = k.n AND b.rank = k.rank + 1 WHERE b.rank <= 10)"""
@@ -79,12 +92,22 @@ DIV = """, kept AS (SELECT start, n, rank, path AS last, TRUE AS keep FROM bm WH
 @query("path_diverse", "SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank, array_to_string(last, ',') AS path FROM cquery q JOIN kept k ON k.start = q.start AND k.n = q.len WHERE keep", NEED, EW + BEAM(WIDTH) + DIV, recursive=True)
 def path_diverse(spark, sf):
     q, st, e, longest = setup(spark, sf)
-    top = pt.beam(st, e, longest, WIDTH).filter("rank <= 10")
+    return diverse(q, pt.beam(st, e, longest, WIDTH).filter("rank <= 10"))
+
+
+def diverse(q, top):
     arr = top.groupBy("start", "len").agg(F.array_sort(F.collect_list(F.struct("rank", "path"))).alias("a")).select("start", "len", F.transform("a", lambda x: x["path"]).alias("paths"))
     d = q.join(pt.keep_diverse(arr), ["start", "len"]).select("qid", F.posexplode("paths").alias("i", "path"))
     return d.select("qid", (F.col("i") + 1).cast("long").alias("rank"), text(F.col("path")).alias("path"))
 
 
+@query("path_exact_diverse", "SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank, array_to_string(last, ',') AS path FROM cquery q JOIN kept k ON k.start = q.start AND k.n = q.len WHERE keep", NEED, EW + FULL + DIV, recursive=True)
+def path_exact_diverse(spark, sf):
+    """`path_diverse` over the ten best paths themselves."""
+    q, st, e, longest = setup(spark, sf)
+    return diverse(q, pt.top_paths(st, e, longest, 10, WIDTH))
+
+
 @query("path_decompose", """SELECT a.traj, a.n_steps, a.node, a.edge, a.total, f.cat, f.pop FROM (SELECT a.traj, count(*) AS n_steps, round(sum(0.5 * nw), 6) AS node, round(sum(0.5 * w), 6) AS edge, sum(m)::BIGINT AS total FROM cseq a JOIN cseq b ON a.traj = b.traj AND b.ord = a.ord + 1
     JOIN ew ON ew.src = a.poi AND ew.dst = b.poi GROUP BY a.traj) a JOIN (SELECT a.traj, round(sum(log10(tm_cat.p)), 6) AS cat, round(sum(log10(tm_pop.p)), 6) AS pop FROM cseq a JOIN cseq b ON a.traj = b.traj AND b.ord = a.ord + 1 JOIN vec x ON x.poi = a.poi JOIN vec y ON y.poi = b.poi
     JOIN tm_cat ON tm_cat.c1 = x.cat AND tm_cat.c2 = y.cat JOIN tm_pop ON tm_pop.c1 = x.pop AND tm_pop.c2 = y.pop GROUP BY a.traj) f USING (traj)""", NEED, EW)
