@@ -163,7 +163,7 @@ def hinge_rank_solve(rows: DataFrame, d: int, rate: float, reg: float, tol: floa
     return w, losses
 
 
-MOST_SONGS = 100_000  # bound of the broadcast song matrix
+SONGS, LISTS = 2048, 1024  # of a block; a task holds the scores of one pair of blocks
 
 
 def list_gradients(spark, rows: DataFrame, x, d: int, p: float, n_lists: int) -> DataFrame:
@@ -171,6 +171,7 @@ def list_gradients(spark, rows: DataFrame, x, d: int, p: float, n_lists: int) ->
 
     `x` is the broadcast song matrix; `ix` are the row numbers of the list's songs. Negatives are all other songs, whose
     sum is the sum over all songs minus that over the list. A task handles small blocks of lists against the matrix.
+    For a matrix that is at hand; `mtc_fit` takes `block_gradients`.
     """
     mat = spark.sparkContext.broadcast(x)
 
@@ -197,23 +198,73 @@ def list_gradients(spark, rows: DataFrame, x, d: int, p: float, n_lists: int) ->
     return rows.mapInPandas(solve, "pid long, usr long, w array<double>, g array<double>, risk double")
 
 
+def blocks(rows: DataFrame, key: str, size: int, **cols) -> DataFrame:
+    """Rows dealt by hash into blocks of about `size`, each column as one array."""
+    k = F.pmod(F.xxhash64(key), F.lit(max(1, -(-rows.count() // size))))
+    return rows.groupBy(k.alias("_k")).agg(*[F.collect_list(x).alias(n) for n, x in cols.items()]).drop("_k")
+
+
+def vector_sums(rows: DataFrame, key: str, vec: str, d: int) -> DataFrame:
+    return rows.groupBy(key).agg(F.array(*[F.sum(F.get(vec, i)) for i in range(d)]).alias(vec))
+
+
+def block_gradients(song_blocks: DataFrame, pos: DataFrame, rows: DataFrame, d: int, p: float, n_songs: int, n_lists: int) -> DataFrame:
+    """rows(pid, usr, n, w, t) -> (pid, usr, w, g, risk) like `list_gradients`, with songs and lists both distributed.
+
+    song_blocks(x: array of vectors), every song in one block; pos(pid, x), the songs of the lists; n songs are in a list.
+    Each task takes pairs of a block of songs and a block of lists and sums exp-scores and their gradient for each list.
+    """
+
+    def every(batches):
+        import numpy as np
+        import pandas as pd
+
+        for b in batches:
+            for x, pids, t in zip(b["x"], b["pids"], b["ts"]):
+                x, t = np.array(x.tolist()), np.array(t.tolist())
+                e = np.exp(x @ t.T)
+                yield pd.DataFrame({"pid": pids, "all": list(np.column_stack([e.sum(0), e.T @ x]))})
+
+    def own(batches):
+        import numpy as np
+        import pandas as pd
+
+        for b in batches:
+            if not len(b):
+                continue
+            x, t = np.array(b["x"].tolist()), np.array(b["t"].tolist())
+            s = (x * t).sum(1)
+            a, e = np.exp(-p * s)[:, None], np.exp(s)[:, None]
+            pids, at = np.unique(b["pid"], return_inverse=True)
+            v = np.zeros((len(pids), 2 * d + 2))
+            np.add.at(v, at, np.hstack([a, a * x, e, e * x]))
+            yield pd.DataFrame({"pid": pids, "own": list(v)})
+
+    lists = blocks(rows, "pid", LISTS, both=F.struct("pid", "t")).select(F.col("both.pid").alias("pids"), F.col("both.t").alias("ts"))
+    total = vector_sums(song_blocks.crossJoin(lists).mapInPandas(every, "pid long, all array<double>"), "pid", "all", d + 1)
+    mine = vector_sums(pos.join(rows.select("pid", "t"), "pid").select("pid", "x", "t").mapInPandas(own, "pid long, own array<double>"), "pid", "own", 2 * d + 2)
+    away = F.lit(n_songs) - F.col("n")
+    # Per slot (0 is the sum of weights): mean over the songs outside the list, and over those inside.
+    out = F.zip_with("all", F.slice("own", d + 2, d + 1), lambda x, y: F.when(away > 0, (x - y) / away).otherwise(F.lit(0.0)))
+    inside = F.transform(F.slice("own", 1, d + 1), lambda x: x / F.col("n"))
+    r = rows.join(total, "pid").join(mine, "pid").withColumn("out", out).withColumn("in", inside)
+    g = F.zip_with(F.slice("out", 2, d), F.slice("in", 2, d), lambda x, y: (x - y) / n_lists)
+    return r.select("pid", "usr", "w", g.alias("g"), ((F.get("in", 0) / p + F.get("out", 0)) / n_lists).alias("risk"))
+
+
 def mtc_fit(songs: DataFrame, entries: DataFrame, lists: DataFrame, d: int, p: float, c1: float, c2: float, steps: int, rate: float):
     """Multitask fit: score = x . (w_list + v_user + mu) on the bottom-push risk, proximal gradient steps.
 
     Objective: mean over lists of sum_pos exp(-p s)/(p n+) + sum_neg exp(s)/n-, plus c1 |v|^2 / 2 and c2 |(w, mu)|_1.
-    songs (song, x); entries (pid, song), distinct; lists (pid, usr). The song matrix is checked against a bound before
-    it is broadcast; lists and their weights stay distributed.
+    songs (song, x); entries (pid, song), distinct; lists (pid, usr). Songs, lists and their weights stay distributed.
     """
     import numpy as np
 
-    spark = songs.sparkSession
-    if songs.count() > MOST_SONGS:
-        raise ValueError("the song matrix exceeds the broadcast bound; fit on a smaller catalogue")
-    mat = songs.orderBy("song").toPandas()
-    x = np.array(mat["x"].tolist())
-    index = spark.createDataFrame([(int(k), i) for i, k in enumerate(mat["song"])], "song long, i int")
+    n_songs = songs.count()
+    song_blocks = cut(blocks(songs, "song", SONGS, x=F.col("x")), "mtc")
+    entries = cut(entries.join(songs, "song").select("pid", "x"), "mtc")
     zero = F.array(*[F.lit(0.0)] * d)
-    pos = cut(entries.join(index, "song").groupBy("pid").agg(F.collect_list("i").alias("ix")).join(lists, "pid"), "mtc")
+    pos = cut(entries.groupBy("pid").agg(F.count("*").alias("n")).join(lists, "pid"), "mtc")
     n_lists = pos.count()
     state = pos.select("pid", zero.alias("w"))
     v = pos.select("usr").distinct().select("usr", zero.alias("v"))
@@ -221,8 +272,8 @@ def mtc_fit(songs: DataFrame, entries: DataFrame, lists: DataFrame, d: int, p: f
     add = lambda a, b: F.zip_with(a, b, lambda q, y: q + y)
     for _ in range(steps):
         mu_col = F.array(*[F.lit(float(m)) for m in mu])
-        r = pos.join(state, "pid").join(v, "usr").select("pid", "usr", "w", add(add(F.col("w"), F.col("v")), mu_col).alias("t"), "ix")
-        r = cut(list_gradients(spark, r, x, d, p, n_lists), "mtc")
+        r = pos.join(state, "pid").join(v, "usr").select("pid", "usr", "w", add(add(F.col("w"), F.col("v")), mu_col).alias("t"), "n")
+        r = cut(block_gradients(song_blocks, entries, cut(r, "mtc"), d, p, n_songs, n_lists), "mtc")
         gv = cut(r.groupBy("usr").agg(F.array(*[F.sum(F.get("g", i)) for i in range(d)]).alias("gv")).join(v, "usr"), "mtc")
         tot = gv.agg(*[F.sum(F.get("gv", i)).alias(f"g{i}") for i in range(d)], F.sum(c.dot(F.col("v"), F.col("v"))).alias("vv")).first()
         part = r.agg(F.sum("risk").alias("risk"), F.sum(F.aggregate("w", F.lit(0.0), lambda a, q: a + F.abs(q))).alias("l1")).first()

@@ -167,8 +167,9 @@ def ranking_svm(spark, sf):
 
 @query("mtc_fit")
 def mtc_fit(spark, sf):
-    """Multitask classification on eight audio slots; returns the objective per step."""
-    x = share(song_vec(spark, sf).select("song", F.slice("e", 1, 8).alias("x")))
+    """Multitask classification on all audio slots; returns the objective per step."""
+    x = share(song_vec(spark, sf).select("song", F.col("e").alias("x")))
+    d = x.agg(F.max(F.size("x"))).first()[0] or 0
     e = share(train_entries(spark, sf).select("pid", "usr", "song").join(x.select("song"), "song", "left_semi"))
-    _, _, _, losses = md.mtc_fit(x, e.select("pid", "song"), e.select("pid", "usr").distinct(), 8, 1.0, 0.1, 0.0001, 4, 0.5)
+    _, _, _, losses = md.mtc_fit(x, e.select("pid", "song"), e.select("pid", "usr").distinct(), d, 1.0, 0.1, 0.0001, 4, 0.5)
     return spark.range(len(losses)).select(F.col("id").alias("step"), F.element_at(F.array(*[F.lit(float(k)) for k in losses]), (F.col("id") + 1).cast("int")).alias("objective"))
