@@ -19,7 +19,7 @@ def query(key: str, sql: str | None = None):
 
 
 # Modules that register queries, in the order of their numbers.
-MODULES = "decontamination token_counts language_id class_ngrams simhash bit_planes private_data packing url_rules pivots".split()
+MODULES = "decontamination token_counts language_id class_ngrams simhash bit_planes private_data packing url_rules pivots whitening byte_bpe spelling".split()
 
 for _m in MODULES:
     importlib.import_module(f"recset.llm.{_m}")
