@@ -1,4 +1,4 @@
-"""Path construction for all queries at once.
+"""Path construction for all queries at once, over a graph that is given by its edges (see `walks` for classes of POI).
 
 A walk depends on the start only, so one state per start serves every length. Scores are whole micro-units (long), so
 sums are exact and ties are real ties. The state holds at most starts x POI (Viterbi), one row per start (greedy) or
@@ -36,7 +36,7 @@ def viterbi(starts: DataFrame, edges: DataFrame, longest: int) -> DataFrame:
 
 def beam(starts: DataFrame, edges: DataFrame, longest: int, width: int) -> DataFrame:
     """(start, len, rank, path, score): best loop-free paths of every length that a beam of `width` keeps; width 1 is the
-    greedy path. `top_paths` gives the exact ones."""
+    greedy path. `walks.top_paths` gives the exact ones."""
     state, out = cut(_first(starts), "beam"), None
     for n in range(2, longest + 1):
         ext = _extend(state, edges).filter(~F.array_contains(F.col("path"), F.col("poi"))).withColumn("path", F.concat("path", F.array("poi")))
@@ -47,47 +47,6 @@ def beam(starts: DataFrame, edges: DataFrame, longest: int, width: int) -> DataF
     return out
 
 
-def rest_bounds(edges: DataFrame, longest: int) -> DataFrame:
-    """(poi, rest): rest[r] is the best weight of r more steps from a POI, repeats allowed; null if there is no such walk.
-    An upper bound for every loop-free continuation."""
-    state = edges.select("src").union(edges.select("dst")).distinct().select(F.col("src").alias("poi"), F.array(F.lit(0).cast("long")).alias("rest"))
-    e = edges.filter("src <> dst").select("src", "dst", "w")
-    for _ in range(1, longest):
-        step = e.join(state, F.col("dst") == F.col("poi")).groupBy("src").agg(F.max(F.col("w") + F.element_at("rest", -1)).alias("b"))
-        state = cut(state.join(step, F.col("poi") == F.col("src"), "left").select("poi", F.concat("rest", F.array("b")).alias("rest")), "rest")
-    return state
-
-
-def top_paths(starts: DataFrame, edges: DataFrame, longest: int, k: int, width: int) -> DataFrame:
-    """(start, len, rank, path, score): the `k` best loop-free paths of every length, exactly.
-
-    A beam of `width` gives k paths, whose last score is a lower bound for each length. The search then extends all
-    partial paths, and drops one only if for every length its score and the best possible rest stay below that bound, so
-    it cannot be among the k best. `width` changes the time and never the result.
-    """
-    found = beam(starts, edges, longest, width).filter(F.col("rank") <= k)
-    low = found.groupBy("start", "len").agg(F.when(F.count("*") >= k, F.min("score")).alias("l"))
-    # low[n - 1] belongs to length n; null (no bound) where fewer than k paths were found
-    low = low.groupBy("start").agg(F.map_from_entries(F.collect_list(F.struct(F.col("len").cast("int"), F.coalesce("l", F.lit(-(2**62)))))).alias("m"))
-    low = cut(low.select("start", F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.try_element_at("m", n)).alias("low")), "low")
-    rest = rest_bounds(edges, longest)
-    state, out = cut(_first(starts).join(low, "start"), "exact"), None
-    for n in range(2, longest + 1):
-        ext = _extend_kept(state, edges).filter(~F.array_contains(F.col("path"), F.col("poi"))).withColumn("path", F.concat("path", F.array("poi")))
-        may = F.exists(F.sequence(F.lit(n), F.lit(longest)), lambda m: F.col("score") + F.get("rest", m - n) >= F.coalesce(F.get("low", m - 1), F.lit(-(2**62))))
-        state = cut(ext.join(rest, "poi").filter(may).select("start", "poi", "score", "path", "low"), "exact")
-        best = o.top_k(state, ["start"], [F.desc("score"), "path"], k)
-        one = best.select("start", F.lit(n).cast("long").alias("len"), F.col("rank").cast("long").alias("rank"), "path", "score")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def _extend_kept(state: DataFrame, edges: DataFrame) -> DataFrame:
-    e = edges.select(F.col("src").alias("poi"), "dst", "w")
-    return state.join(e, "poi").filter("dst <> poi").select(
-        "start", F.col("dst").alias("poi"), (F.col("score") + F.col("w")).alias("score"), "path", "low")
-
-
 def keep_diverse(results: DataFrame) -> DataFrame:
     """Drop a result without any POI that is new against the last kept one. `paths` is a short ordered array per query."""
     step = lambda acc, p: F.when((F.size(acc) == 0) | (F.size(F.array_except(p, F.element_at(acc, -1))) > 0), F.concat(acc, F.array(p))).otherwise(acc)

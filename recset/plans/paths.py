@@ -1,45 +1,52 @@
 """Path construction queries on the city graph."""
 from pyspark.sql import functions as F
 
-from recset.operators import ordering as o, paths as pt, sequence as s
+from recset.operators import paths as pt, sequence as s, walks as wk
 from recset.plans import query
 from recset.plans.profiles import _r, city_queries
 from recset.plans.rankers import text
-from recset.plans.sequences import FACTORED_SQL, city, factored
+from recset.plans.sequences import CLASS_NAME, FACTORED_SQL, KINDS, city, class_pairs, factored, five_values, matrices, vec
 from recset.session import share
 from recset.sources import views as v
 
+# Steps between all POI: node part and edge part, each in whole micro-units.
 EW = FACTORED_SQL + """, node AS (SELECT poi, log10(pop::DOUBLE / sum(pop) OVER ()) AS nw FROM cinfo),
-    ew AS (SELECT src, dst, nw, w, round((0.5 * nw + 0.5 * w) * 1000000)::BIGINT AS m FROM wts JOIN edges USING (src, dst) JOIN node ON node.poi = dst)"""
+    ew AS (SELECT src, dst, nw, w, round(0.5 * nw * 1000000)::BIGINT + round(0.5 * w * 1000000)::BIGINT AS m FROM wts JOIN node ON node.poi = dst WHERE src <> dst)"""
 NEED = "cseq cinfo cpoi cquery ctraj"
 ALPHA = 0.5
-WIDTH = 50  # of the beam
+TOP = 10
 
 
-def combined(spark, sf, seq):
-    """Edge weights: alpha * log10 softmax of the node score (log popularity) + (1 - alpha) * log10 transition."""
-    info = s.poi_info(seq).select(F.col("poi").alias("dst"), F.ln("pop").alias("score"))
+def node_weights(seq):
+    """(poi, nw, weight): log10 softmax of the node score (log popularity), and its share in micro-units."""
+    info = s.poi_info(seq).select("poi", F.ln("pop").alias("score"))
     top = info.agg(F.max("score")).scalar()
-    info = info.withColumn("e", F.col("score") - top)
-    z = info.agg(F.sum(F.exp("e"))).scalar()
-    node = info.select("dst", F.log10(F.exp("e") / z).alias("nw"))
-    d = factored(spark, sf, seq).join(node, "dst")
-    return d.withColumn("w2", F.col("w")).withColumn("w", F.round((ALPHA * F.col("nw") + (1 - ALPHA) * F.col("w2")) * 1000000).cast("long"))
+    info = info.withColumn("e", F.exp(F.col("score") - top))
+    z = info.agg(F.sum("e")).scalar()
+    return info.select("poi", F.log10(F.col("e") / z).alias("nw")).withColumn("weight", F.round(ALPHA * F.col("nw") * wk.MICRO).cast("long"))
 
 
 def setup(spark, sf):
+    """Queries, their starts with classes, the class store and the greatest length."""
     _, seq = city(spark, sf)
-    e = share(combined(spark, sf, seq).select("src", "dst", "w"))
-    t = share(s.paths(seq).select("start", "len"))
-    q = share(city_queries(t))
-    longest = q.agg(F.max("len")).first()[0]
-    return q, q.select("start").distinct(), e, longest
+    _, vecs, tm = matrices(spark, sf, seq)
+    q = share(city_queries(share(s.paths(seq).select("start", "len"))))
+    longest = q.agg(F.max("len")).first()[0] or 0
+    store = wk.class_store(vecs, tm, node_weights(seq), KINDS, 1 - ALPHA, longest + TOP)
+    return q, wk.starts_with_classes(q, vecs, KINDS), store, longest
 
 
-@query("path_combine", "SELECT src, dst, round(nw, 6) AS node, round(w, 6) AS edge, m AS weight FROM ew", NEED, EW)
+@query("path_combine", f"""SELECT DISTINCT {CLASS_NAME('a')} AS src_class, dst, round(nw, 6) AS node, round(w, 6) AS edge, m AS weight FROM ew JOIN vec a ON a.poi = src""", NEED, EW)
 def path_combine(spark, sf):
-    d = combined(spark, sf, city(spark, sf)[1])
-    return d.select("src", "dst", _r("nw", "node"), _r("w2", "edge"), F.col("w").alias("weight"))
+    """Edge weights: alpha * log10 softmax of the node score + (1 - alpha) * log10 transition, for every class of POI to every POI. A
+    POI's own row is that of its class; only the step to itself is none."""
+    _, seq = city(spark, sf)
+    _, vecs, tm = matrices(spark, sf, seq)
+    g = class_pairs(vecs, tm).filter(~(F.col("same") & (F.col("a_size") == 1)))
+    name = lambda pre: F.concat_ws("|", *[F.col(pre + k).cast("string") for k in KINDS])
+    d = vecs.select("poi", *[F.col(k).alias(f"b_{k}") for k in KINDS]).join(node_weights(seq), "poi").join(g, [f"b_{k}" for k in KINDS])
+    weight = F.col("weight") + F.round((1 - ALPHA) * F.col("w") * wk.MICRO).cast("long")
+    return d.select(name("a_").alias("src_class"), F.col("poi").alias("dst"), _r("nw", "node"), _r("w", "edge"), weight.alias("weight"))
 
 
 VIT = """, vit AS (SELECT start, start AS poi, 1 AS n, 0::BIGINT AS score, [start] AS path FROM (SELECT DISTINCT start FROM cquery) UNION ALL
@@ -49,8 +56,8 @@ VIT = """, vit AS (SELECT start, start AS poi, 1 AS n, 0::BIGINT AS score, [star
 
 @query("path_viterbi", "SELECT qid, array_to_string(arg_min(path, (-score, path)), ',') AS path, max(score) AS score FROM cquery q JOIN vit ON vit.start = q.start AND vit.n = q.len GROUP BY qid", NEED, EW + VIT, recursive=True)
 def path_viterbi(spark, sf):
-    q, st, e, longest = setup(spark, sf)
-    return q.join(pt.viterbi(st, e, longest), ["start", "len"]).select("qid", text(F.col("path")).alias("path"), "score")
+    q, st, store, _ = setup(spark, sf)
+    return q.join(wk.each_length(st, store, wk.best_walks), ["start", "len"]).select("qid", text(F.col("path")).alias("path"), "score")
 
 
 def BEAM(width):
@@ -61,27 +68,40 @@ def BEAM(width):
 
 @query("path_greedy", "SELECT qid, array_to_string(path, ',') AS path, score FROM cquery q JOIN bm ON bm.start = q.start AND bm.n = q.len", NEED, EW + BEAM(1), recursive=True)
 def path_greedy(spark, sf):
-    q, st, e, longest = setup(spark, sf)
-    return q.join(pt.beam(st, e, longest, 1), ["start", "len"]).select("qid", text(F.col("path")).alias("path"), "score")
+    q, st, store, _ = setup(spark, sf)
+    return q.join(wk.each_length(st, store, wk.best_greedy), ["start", "len"]).select("qid", text(F.col("path")).alias("path"), "score")
+
+
+# All loop-free paths, ranked per start and length. A partial path is left out only where a bound proves that ten paths are
+# better for every length that its start asks for: the ten of a beam are known, and the rest of a path weighs at most the best
+# walk, and at most the best reduced walk plus the best inward steps of as many unused POI.
+FULL = BEAM(50).replace("bm", "wide") + """, lows AS (SELECT q.start, q.len, CASE WHEN count(w.score) >= 10 THEN min(w.score) ELSE -4000000000000 END AS low FROM cquery q
+      LEFT JOIN wide w ON w.start = q.start AND w.n = q.len AND w.rank <= 10 GROUP BY 1, 2),
+    asked AS MATERIALIZED (SELECT start, list({'l': len, 'low': low} ORDER BY len) AS lens FROM lows GROUP BY start),
+    inward AS (SELECT dst AS poi, max(m) AS lam FROM ew GROUP BY dst),
+    walk0 AS (SELECT poi, 0 AS r, 0::BIGINT AS b FROM cinfo UNION ALL SELECT src, r + 1, max(m + b) FROM walk0 JOIN ew ON dst = walk0.poi WHERE r + 1 < (SELECT max(len) FROM cquery) GROUP BY src, r),
+    walk1 AS (SELECT poi, 0 AS r, 0::BIGINT AS b FROM cinfo UNION ALL SELECT src, r + 1, max(m - lam + b) FROM walk1 JOIN ew ON dst = walk1.poi JOIN inward ON inward.poi = dst WHERE r + 1 < (SELECT max(len) FROM cquery) GROUP BY src, r),
+    rests AS MATERIALIZED (SELECT poi, list(walk0.b ORDER BY r) AS plain, list(walk1.b ORDER BY r) AS reduced FROM walk0 JOIN walk1 USING (poi, r) GROUP BY poi),
+    lams AS MATERIALIZED (SELECT list({'poi': poi, 'lam': lam} ORDER BY lam DESC, poi) AS ls FROM inward),
+    every AS (SELECT start, start AS poi, 1 AS n, 0::BIGINT AS score, [start] AS path FROM asked UNION ALL
+      SELECT start, poi, n, score, path FROM (SELECT *, list_transform(list_filter(ls, lambda e: NOT list_contains(path, e.poi)), lambda e: e.lam) AS free FROM (
+        SELECT every.start, dst AS poi, every.n + 1 AS n, score + m AS score, list_append(path, dst) AS path, plain, reduced,
+          list_filter(lens, lambda x: x.l > every.n AND every.score + m + plain[x.l - every.n] >= x.low) AS lens FROM every JOIN asked USING (start) JOIN ew ON src = every.poi JOIN rests ON rests.poi = dst
+        WHERE NOT list_contains(path, dst)), lams WHERE len(lens) > 0)
+      WHERE len(list_filter(lens, lambda x: x.l = n OR score + reduced[x.l - n + 1] + list_sum(free[1:x.l - n]) >= x.low)) > 0),
+    bm AS (SELECT * FROM (SELECT start, n, path, score, row_number() OVER (PARTITION BY start, n ORDER BY score DESC, path) AS rank FROM every) WHERE rank <= 10)"""
+TOP_SQL = "SELECT qid, rank, array_to_string(path, ',') AS path, score FROM cquery q JOIN bm ON bm.start = q.start AND bm.n = q.len"
 
 
-@query("path_beam_topk", "SELECT qid, rank, array_to_string(path, ',') AS path, score FROM cquery q JOIN bm ON bm.start = q.start AND bm.n = q.len WHERE rank <= 10", NEED, EW + BEAM(WIDTH), recursive=True)
+@query("path_beam_topk", TOP_SQL, NEED, EW + FULL, recursive=True)
 def path_beam_topk(spark, sf):
-    q, st, e, longest = setup(spark, sf)
-    return q.join(pt.beam(st, e, longest, WIDTH).filter("rank <= 10"), ["start", "len"]).select("qid", "rank", text(F.col("path")).alias("path"), "score")
+    """The ten best loop-free paths; a beam only gives the search its first bound, so none is lost."""
+    q, st, store, longest = setup(spark, sf)
+    return q.join(wk.top_paths(st, store, longest, TOP), ["start", "len"]).select("qid", F.col("rank").cast("long").alias("rank"), text(F.col("path")).alias("path"), "score")
 
 
-# All loop-free paths, ranked per start and length.
-FULL = """, every AS (SELECT start, start AS poi, 1 AS n, 0::BIGINT AS score, [start] AS path FROM (SELECT DISTINCT start FROM cquery) UNION ALL
-    SELECT start, dst, n + 1, score + m, list_append(path, dst) FROM every JOIN ew ON src = poi WHERE NOT list_contains(path, dst) AND n < (SELECT max(len) FROM cquery)),
-    bm AS (SELECT * FROM (SELECT start, n, path, score, row_number() OVER (PARTITION BY start, n ORDER BY score DESC, path) AS rank FROM every) WHERE rank <= 10)"""
-
-
-@query("path_exact_topk", "SELECT qid, rank, array_to_string(path, ',') AS path, score FROM cquery q JOIN bm ON bm.start = q.start AND bm.n = q.len", NEED, EW + FULL, recursive=True)
-def path_exact_topk(spark, sf):
-    """The ten best loop-free paths; `path_beam_topk` is the same by a beam."""
-    q, st, e, longest = setup(spark, sf)
-    return q.join(pt.top_paths(st, e, longest, 10, WIDTH), ["start", "len"]).select("qid", "rank", text(F.col("path")).alias("path"), "score")
+# Since `path_beam_topk` is exact, the two are one.
+query("path_exact_topk", TOP_SQL, NEED, EW + FULL, recursive=True)(path_beam_topk)
 
 
 DIV = """, kept AS (SELECT start, n, rank, path AS last, TRUE AS keep FROM bm WHERE rank = 1 AND n >= 2 UNION ALL
@@ -89,23 +109,20 @@ DIV = """, kept AS (SELECT start, n, rank, path AS last, TRUE AS keep FROM bm WH
     len(list_filter(b.path, lambda x: NOT list_contains(k.last, x))) > 0 FROM kept k JOIN bm b ON b.start = k.start AND b.n = k.n AND b.rank = k.rank + 1 WHERE b.rank <= 10)"""
 
 
-@query("path_diverse", "SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank, array_to_string(last, ',') AS path FROM cquery q JOIN kept k ON k.start = q.start AND k.n = q.len WHERE keep", NEED, EW + BEAM(WIDTH) + DIV, recursive=True)
-def path_diverse(spark, sf):
-    q, st, e, longest = setup(spark, sf)
-    return diverse(q, pt.beam(st, e, longest, WIDTH).filter("rank <= 10"))
+DIVERSE_SQL = "SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank, array_to_string(last, ',') AS path FROM cquery q JOIN kept k ON k.start = q.start AND k.n = q.len WHERE keep"
 
 
-def diverse(q, top):
+@query("path_diverse", DIVERSE_SQL, NEED, EW + FULL + DIV, recursive=True)
+def path_diverse(spark, sf):
+    """Of the ten best paths, those with a POI that the last kept one lacks."""
+    q, st, store, longest = setup(spark, sf)
+    top = wk.top_paths(st, store, longest, TOP)
     arr = top.groupBy("start", "len").agg(F.array_sort(F.collect_list(F.struct("rank", "path"))).alias("a")).select("start", "len", F.transform("a", lambda x: x["path"]).alias("paths"))
     d = q.join(pt.keep_diverse(arr), ["start", "len"]).select("qid", F.posexplode("paths").alias("i", "path"))
     return d.select("qid", (F.col("i") + 1).cast("long").alias("rank"), text(F.col("path")).alias("path"))
 
 
-@query("path_exact_diverse", "SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank, array_to_string(last, ',') AS path FROM cquery q JOIN kept k ON k.start = q.start AND k.n = q.len WHERE keep", NEED, EW + FULL + DIV, recursive=True)
-def path_exact_diverse(spark, sf):
-    """`path_diverse` over the ten best paths themselves."""
-    q, st, e, longest = setup(spark, sf)
-    return diverse(q, pt.top_paths(st, e, longest, 10, WIDTH))
+query("path_exact_diverse", DIVERSE_SQL, NEED, EW + FULL + DIV, recursive=True)(path_diverse)
 
 
 @query("path_decompose", """SELECT a.traj, a.n_steps, a.node, a.edge, a.total, f.cat, f.pop FROM (SELECT a.traj, count(*) AS n_steps, round(sum(0.5 * nw), 6) AS node, round(sum(0.5 * w), 6) AS edge, sum(m)::BIGINT AS total FROM cseq a JOIN cseq b ON a.traj = b.traj AND b.ord = a.ord + 1
@@ -113,9 +130,9 @@ def path_exact_diverse(spark, sf):
     JOIN tm_cat ON tm_cat.c1 = x.cat AND tm_cat.c2 = y.cat JOIN tm_pop ON tm_pop.c1 = x.pop AND tm_pop.c2 = y.pop GROUP BY a.traj) f USING (traj)""", NEED, EW)
 def path_decompose(spark, sf):
     """Score of every given path split into node part, edge part and single transition features."""
-    from recset.plans.sequences import five_values, matrices, vec
     _, seq = city(spark, sf)
-    e = share(combined(spark, sf, seq).select("src", "dst", "w", "w2", "nw"))
+    w = factored(spark, sf, seq).withColumnRenamed("w", "w2").join(node_weights(seq).withColumnRenamed("poi", "dst"), "dst")
+    e = share(w.select("src", "dst", (F.col("weight") + F.round((1 - ALPHA) * F.col("w2") * wk.MICRO).cast("long")).alias("w"), "w2", "nw"))
     edges, vecs, tm = matrices(spark, sf, seq)
     f = five_values(edges.select("src", "dst").join(vec(vecs, "a_", "src"), "src").join(vec(vecs, "b_", "dst"), "dst"), tm).select("src", "dst", F.log10("p_cat").alias("f_cat"), F.log10("p_pop").alias("f_pop"))
     e = e.join(f, ["src", "dst"])

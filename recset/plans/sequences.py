@@ -206,13 +206,12 @@ def edge_features(spark, sf):
     return five_values(e, tm).select("src", "dst", *[_r(F.log10(f"p_{k}"), f"log_{k}") for k in KINDS])
 
 
-def factored(spark, sf, seq):
-    """log10 transition value of every observed POI pair.
+def class_pairs(vecs, tm):
+    """Class vector to class vector: `w` is log10 of the transition value to one POI of the class; a_size and b_size count POI.
 
     Values depend on the class vectors only. There are few distinct vectors (the product of the class counts at
     most), so group-to-group values and the normaliser of a row are taken over vectors; POI pairs are never crossed.
     """
-    e, vecs, tm = matrices(spark, sf, seq)
     groups = vecs.groupBy(*KINDS).agg(F.count("*").alias("size"))
     all_groups = groups.agg(F.collect_list(F.struct(*[F.col(k).alias(f"b_{k}") for k in KINDS], F.col("size").alias("b_size")))).scalar()
     g = groups.select(*[F.col(k).alias(f"a_{k}") for k in KINDS], F.col("size").alias("a_size"), all_groups.alias("all")).select("*", F.explode("all").alias("g")).select("*", "g.*").drop("g", "all")
@@ -225,12 +224,22 @@ def factored(spark, sf, seq):
     g = g.withColumn("same", same).withColumn("val", prod)
     rows = g.groupBy(*[f"a_{k}" for k in KINDS]).agg(F.sum(F.when(F.col("same") & (F.col("a_size") == 1), 0.0).otherwise(F.col("val"))).alias("total"))
     each = F.when(F.col("same"), F.col("val") / F.greatest(F.col("a_size") - 1, F.lit(1))).otherwise(F.col("val") / F.col("b_size"))
-    g = g.join(rows, [f"a_{k}" for k in KINDS]).withColumn("w", F.log10(each) - F.log10("total"))
+    return g.join(rows, [f"a_{k}" for k in KINDS]).withColumn("w", F.log10(each) - F.log10("total"))
+
+
+def factored(spark, sf, seq):
+    """log10 transition value of every observed POI pair."""
+    e, vecs, tm = matrices(spark, sf, seq)
+    g = class_pairs(vecs, tm)
     e = e.join(vec(vecs, "a_", "src"), "src").join(vec(vecs, "b_", "dst"), "dst")
     keys = [f"{p}{k}" for p in ("a_", "b_") for k in KINDS]
     return e.join(g.select(*keys, "w"), keys).select("src", "dst", F.when(F.col("src") == F.col("dst"), c.LOG_ZERO).otherwise(F.col("w")).alias("w"))
 
 
+def CLASS_NAME(t):
+    return "concat_ws('|', " + ", ".join(f"{t}.{k}" for k in KINDS) + ")"
+
+
 FACTORED_SQL = FIVE_SQL + ", " + VEC_SQL + """, vn AS (SELECT *, count(*) OVER (PARTITION BY cat, pop, visit, duration, neighbor) AS size FROM vec),
     allp AS (SELECT a.poi AS src, b.poi AS dst, CASE WHEN a.poi = b.poi THEN 0 WHEN a.cat = b.cat AND a.pop = b.pop AND a.visit = b.visit AND a.duration = b.duration AND a.neighbor = b.neighbor
       THEN """ + " * ".join(f"tm_{k}.p" for k in FIVE) + " / (b.size - 1) ELSE " + " * ".join(f"tm_{k}.p" for k in FIVE) + """ / b.size END AS val

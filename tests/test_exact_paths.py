@@ -1,14 +1,18 @@
-"""The registered exact path query against its full search."""
+"""The registered path queries against their full searches."""
+import pytest
+
 import __spark_entry__ as entry
 from tests import harness as h
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_exact_paths_equal_full_search(spark):
-    sql = entry.oracle_sql()
-    con = h.connect(SF)
-    exact = h.duck_rows(con, sql["path_exact_topk"])
-    assert h.spark_rows(entry.queries()["path_exact_topk"](spark, SF)) == exact
-    # The beam loses some of them on these tables.
-    assert h.duck_rows(con, sql["path_beam_topk"]) != exact
+@pytest.mark.parametrize("key", ["path_beam_topk", "path_viterbi", "path_combine"])
+def test_paths_equal_full_search(spark, key):
+    assert h.spark_rows(entry.queries()[key](spark, SF)) == h.duck_rows(h.connect(SF), entry.oracle_sql()[key])
+
+
+def test_no_poi_pairs(spark):
+    """Nothing in the plan joins POI with POI: classes meet classes, and POI their own class."""
+    plan = entry.queries()["path_beam_topk"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "cross" not in plan.lower() and "src" not in plan

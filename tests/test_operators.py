@@ -183,23 +183,3 @@ def test_stream_transitions_over_batches(spark, tmp_path):
             want.add((i, last[u][1], a))
         last[u] = (t, a)
     assert got == want
-
-
-def test_top_paths_equal_full_enumeration(spark):
-    """The ten best loop-free paths of a small city, with a beam that is too narrow to find them."""
-    import itertools
-    import random
-
-    from recset.operators import paths as pt
-
-    rng = random.Random(6)
-    w = {(a, b): -rng.randint(1, 40) * 1000 for a in range(7) for b in range(7) if a != b and rng.random() < 0.85}
-    edges = spark.createDataFrame([(a, b, x) for (a, b), x in w.items()], "src long, dst long, w long")
-    starts = spark.createDataFrame([(0,), (3,)], "start long")
-    want = []
-    for s, n in itertools.product((0, 3), range(2, 6)):
-        every = [[s, *r] for r in itertools.permutations([x for x in range(7) if x != s], n - 1)]
-        every = [(sum(w[e] for e in zip(p, p[1:])), p) for p in every if all(e in w for e in zip(p, p[1:]))]
-        want += [(s, n, i + 1, p, x) for i, (x, p) in enumerate(sorted(every, key=lambda t: (-t[0], t[1]))[:10])]
-    got = [tuple(r) for r in pt.top_paths(starts, edges, 5, 10, 2).orderBy("start", "len", "rank").collect()]
-    assert got == want
