@@ -45,15 +45,16 @@ def vocabulary(df: DataFrame, col: str) -> Column:
     return d.agg(F.array_sort(F.collect_list(col)).alias("v")).scalar()
 
 
-def node_features(grid: DataFrame, info: DataFrame, zones: DataFrame, cats: Column, zone_ids: Column, extra: list[str] = ()) -> DataFrame:
-    """Features of (query, POI) rows: POI properties, query length and relations to the start POI."""
+def node_features(grid: DataFrame, info: DataFrame, zones: DataFrame, cats: Column, zone_ids: Column, extra: list[str] = (), by: list[str] = ()) -> DataFrame:
+    """Features of (query, POI) rows: POI properties, query length and relations to the start POI. `info` may differ by further
+    keys of the grid (`by`), which stay in the result."""
     p = info.join(zones.select("poi", F.col("cls").alias("zone")), "poi")
-    own = p.select("poi", "cat", "zone", "lon", "lat", "pop", "nvisit", "dur", *extra)
-    st = own.select(*[F.col(x).alias("start" if x == "poi" else f"s_{x}") for x in own.columns])
-    g = grid.join(own, "poi").join(st, "start").withColumn("_c", cats).withColumn("_z", zone_ids)
+    own = p.select(*by, "poi", "cat", "zone", "lon", "lat", "pop", "nvisit", "dur", *extra)
+    st = own.select(*[F.col(x).alias(x if x in by else "start" if x == "poi" else f"s_{x}") for x in own.columns])
+    g = grid.join(own, [*by, "poi"]).join(st, [*by, "start"]).withColumn("_c", cats).withColumn("_z", zone_ids)
     log = lambda x: c.log10_or_small(F.col(x))
     return g.select(
-        "qid", "poi", "start", "len",
+        *by, "qid", "poi", "start", "len",
         c.one_hot(F.col("cat"), F.col("_c"), 1.0, -1.0).alias("category"),
         c.one_hot(F.col("zone"), F.col("_z"), 1.0, -1.0).alias("neighbourhood"),
         log("pop").alias("popularity"), log("nvisit").alias("nVisit"), log("dur").alias("avgDuration"),
@@ -71,4 +72,4 @@ def node_features(grid: DataFrame, info: DataFrame, zones: DataFrame, cats: Colu
 
 def scalars(nodes: DataFrame) -> list[str]:
     """The number columns of node_features, in its order."""
-    return [n for n, t in nodes.dtypes if t in ("double", "int") and n not in ("qid", "len")]
+    return [n for n, t in nodes.dtypes if t in ("double", "int") and n not in ("qid", "len", "fold")]

@@ -137,10 +137,10 @@ def ranked(df: DataFrame, unit: list[str], score: str, item: str, out: str = "ra
     )
 
 
-def percentiles(df: DataFrame, unit: list[str], value: str, qs: dict[str, float]) -> DataFrame:
-    """Exact percentiles with linear interpolation, from counts of distinct values."""
+def percentiles(df: DataFrame, unit: list[str], value: str, qs: dict[str, float], count: str | None = None) -> DataFrame:
+    """Exact percentiles with linear interpolation, from counts of distinct values. `count` says how often a row counts."""
     d = df.filter(F.col(value).isNotNull())
-    hist = share(d.groupBy(*unit, value).agg(F.count("*").alias("_n")))
+    hist = share(d.groupBy(*unit, value).agg((F.sum(count) if count else F.count("*")).alias("_n")))
     total = hist.groupBy(*unit).agg(F.sum("_n").alias("_tot"))
     hist = running(hist, unit, [value], id_bucket(hist, value), {"_c": F.col("_n")})
     if unit:

@@ -2,9 +2,9 @@
 from pyspark.sql import functions as F
 
 from recset.functions import columns as c
-from recset.operators import clean, features as ft, ordering as o, sequence as s
+from recset.operators import clean, features as ft, folds as fd, ordering as o, sequence as s
 from recset.plans import query
-from recset.plans.cleaning import GRID, TAGS, candidate_grid, seeds, tags, tracks
+from recset.plans.cleaning import TAGS, seeds, tags, tracks
 from recset.plans.profiles import _r, city_queries, poi_info_ext
 from recset.plans.sequences import DIST, ZONE, city, zones
 from recset.session import share
@@ -20,28 +20,39 @@ def SQLVEC(lst):
     return f"array_to_string([printf('%.6f', round(x, 6) + 0.0) FOR x IN {lst}], ',')"
 
 
-def node_table(spark, sf, seq=None, extra=None, extra_cols=()):
-    if seq is None:
-        _, seq = city(spark, sf)
-    trajs = share(s.paths(seq))
-    info = s.poi_info(seq).join(v.city_poi(spark, sf), "poi")
-    if extra is not None:
-        info = info.join(extra, "poi")
-    info = share(info)
-    zone = zones(spark, sf)
-    grid = candidate_grid(seq, trajs)
-    return seq, trajs, ft.node_features(grid, info, zone, ft.vocabulary(info, "cat"), ft.vocabulary(zone, "cls"), list(extra_cols))
+def node_table(spark, sf, ext=False):
+    """Features of every query's candidates, its own trajectories held out: they give neither statistics nor candidates."""
+    _, seq = city(spark, sf)
+    trajs = share(s.paths(seq).select("traj", "start", "len"))
+    q = share(city_queries(trajs))
+    folds = share(trajs.join(q, ["start", "len"]).select("traj", F.col("qid").alias("fold")))
+    grid = share(fd.left_out_grid(q.withColumn("fold", F.col("qid")), seq, trajs, folds))
+    return seq, trajs, held_features(spark, sf, seq, folds, grid, ext).drop("fold")
+
 
+def held_features(spark, sf, seq, folds, grid, ext=False):
+    """Features of grid(fold, qid, start, len, poi) from the visits that the fold leaves."""
+    keys = grid.select("fold", "poi").distinct()
+    info = fd.left_out_info(seq, folds, keys)
+    if ext:
+        info = info.join(held_ext(seq, folds, keys), ["fold", "poi"])
+    city_poi, zone = v.city_poi(spark, sf), zones(spark, sf)
+    info = share(info.join(city_poi, "poi"))
+    return ft.node_features(grid, info, zone, ft.vocabulary(city_poi, "cat"), ft.vocabulary(zone, "cls"), EXT if ext else [], ["fold"])
 
-NODE_SQL = f"""qid, g.poi, array_to_string([CASE WHEN x = p.cat THEN 1 ELSE -1 END FOR x IN (SELECT list(DISTINCT cat ORDER BY cat) FROM cpoi)], ',') AS category,
+
+NODE_SQL = f"""g.qid, g.poi, array_to_string([CASE WHEN x = p.cat THEN 1 ELSE -1 END FOR x IN (SELECT list(DISTINCT cat ORDER BY cat) FROM cpoi)], ',') AS category,
     array_to_string([CASE WHEN x = z.cls THEN 1 ELSE -1 END FOR x IN (SELECT list(DISTINCT cls ORDER BY cls) FROM zone)], ',') AS neighbourhood,
     round(CASE WHEN i.pop < 1 THEN -10 ELSE log10(i.pop) END, 6) AS popularity, round(CASE WHEN i.nvisit < 1 THEN -10 ELSE log10(i.nvisit) END, 6) AS nvisit,
     round(CASE WHEN i.dur < 1 THEN -10 ELSE log10(i.dur) END, 6) AS avgduration, len AS trajlen, CASE WHEN p.cat = sp.cat THEN 1 ELSE -1 END AS samecat,
     round({DIST('p', 'sp')}, 6) AS diststart, i.pop - si.pop AS diffpop, i.nvisit - si.nvisit AS diffvisit, round(i.dur - si.dur, 6) AS diffdur,
     CASE WHEN z.cls = sz.cls THEN 1 ELSE -1 END AS samezone"""
-NODE_FROM = """FROM grid g JOIN cpoi p ON p.poi = g.poi JOIN cpoi sp ON sp.poi = g.start JOIN cinfo i ON i.poi = g.poi JOIN cinfo si ON si.poi = g.start
+NODE_FROM = """FROM grid g JOIN cpoi p ON p.poi = g.poi JOIN cpoi sp ON sp.poi = g.start JOIN held i ON i.poi = g.poi AND i.qid = g.qid JOIN held si ON si.poi = g.start AND si.qid = g.qid
     JOIN zone z ON z.poi = g.poi JOIN zone sz ON sz.poi = g.start"""
-ZGRID = GRID + f", zone AS ({ZONE})"
+# Statistics and candidates from all other trajectories, counted again for every query.
+REST = "cquery q JOIN ctraj t ON t.start <> q.start OR t.len <> q.len JOIN cseq s ON s.traj = t.traj"
+ZGRID = f"""grid AS (SELECT DISTINCT qid, q.start, q.len, s.poi FROM {REST} WHERE t.start = q.start),
+    held AS (SELECT q.qid, s.poi, avg(s.duration) AS dur, count(*) AS nvisit, count(DISTINCT s.usr) AS pop FROM {REST} GROUP BY 1, 2), zone AS ({ZONE})"""
 
 
 def _node_out(n):
@@ -52,30 +63,32 @@ def _node_out(n):
                     _r("diffDurationStart", "diffdur"), F.col("sameNeighbourhoodStart").cast("int").alias("samezone"), *[x for x in n.columns if x.startswith("x_")])
 
 
-@query("node_features", f"SELECT {NODE_SQL} {NODE_FROM}", "cquery ctraj cseq cinfo cpoi", ZGRID)
+@query("node_features", f"SELECT {NODE_SQL} {NODE_FROM}", "cquery ctraj cseq cpoi", ZGRID)
 def node_features(spark, sf):
     return _node_out(node_table(spark, sf)[2])
 
 
 EXT = ["photo_size", "photo_sum", "photo_mean", "photo_p10", "photo_p50", "photo_p90", "dur_sum", "dur_p10", "dur_p50", "dur_p90"]
-EXT_SQL = """ext AS (SELECT poi, count(*) AS photo_size, sum(photos) AS photo_sum, avg(photos) AS photo_mean, quantile_cont(photos, 0.1) AS photo_p10,
+EXT_SQL = f"""ext AS (SELECT q.qid, s.poi, count(*) AS photo_size, sum(photos) AS photo_sum, avg(photos) AS photo_mean, quantile_cont(photos, 0.1) AS photo_p10,
     quantile_cont(photos, 0.5) AS photo_p50, quantile_cont(photos, 0.9) AS photo_p90, sum(duration) AS dur_sum, quantile_cont(duration, 0.1) AS dur_p10,
-    quantile_cont(duration, 0.5) AS dur_p50, quantile_cont(duration, 0.9) AS dur_p90 FROM cvisit GROUP BY poi)"""
+    quantile_cont(duration, 0.5) AS dur_p50, quantile_cont(duration, 0.9) AS dur_p90 FROM {REST} GROUP BY 1, 2)"""
 
 
-def poi_ext(vis):
+def held_ext(seq, folds, keys):
+    """Photo and duration statistics of (fold, poi) without the fold's visits."""
     qs = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
-    out = vis.groupBy("poi").agg(F.count("photos").alias("photo_size"), F.sum("photos").alias("photo_sum"), F.avg("photos").alias("photo_mean"), F.sum("duration").alias("dur_sum"))
+    out = fd.left_out_sums(seq, folds, keys, {"photo_size": F.count("photos"), "photo_sum": F.sum("photos"), "dur_sum": F.sum("duration")})
+    out = out.withColumn("photo_mean", F.col("photo_sum") / F.col("photo_size"))
     for col, pre in (("photos", "photo"), ("duration", "dur")):
-        out = out.join(o.percentiles(vis, ["poi"], col, qs).select("poi", *[F.col(k).alias(f"{pre}_{k}") for k in qs]), "poi", "left")
+        p = fd.left_out_percentiles(seq, folds, keys, col, qs)
+        out = out.join(p.select("fold", "poi", *[F.col(k).alias(f"{pre}_{k}") for k in qs]), ["fold", "poi"], "left")
     return out.fillna(0)
 
 
-@query("node_features_ext", f"SELECT {NODE_SQL}, {SQLVEC('[' + ', '.join(f'e.{x}::DOUBLE' for x in EXT) + ', ' + ', '.join(f'(e.{x} - se.{x})::DOUBLE' for x in EXT) + ']')} AS ext {NODE_FROM} JOIN ext e ON e.poi = g.poi JOIN ext se ON se.poi = g.start",
-       "cquery ctraj cseq cinfo cpoi", ZGRID + ", " + EXT_SQL)
+@query("node_features_ext", f"SELECT {NODE_SQL}, {SQLVEC('[' + ', '.join(f'e.{x}::DOUBLE' for x in EXT) + ', ' + ', '.join(f'(e.{x} - se.{x})::DOUBLE' for x in EXT) + ']')} AS ext {NODE_FROM} JOIN ext e ON e.poi = g.poi AND e.qid = g.qid JOIN ext se ON se.poi = g.start AND se.qid = g.qid",
+       "cquery ctraj cseq cpoi", ZGRID + ", " + EXT_SQL)
 def node_features_ext(spark, sf):
-    _, seq = city(spark, sf)
-    n = node_table(spark, sf, seq, poi_ext(seq), EXT)[2]
+    n = node_table(spark, sf, ext=True)[2]
     vec = F.array(*[F.col(x) for x in EXT], *[F.col(f"diff_{x}") for x in EXT])
     return _node_out(n.withColumn("x_ext", rounded(vec))).withColumnRenamed("x_ext", "ext")
 

@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from recset.functions import columns as c
-from recset.operators import metrics as m, ordering as o, sequence as s
+from recset.operators import folds as fd, metrics as m, ordering as o, sequence as s
 from recset.plans import query
 from recset.plans.profiles import _r
 from recset.plans.sequences import EDGES, city
@@ -86,12 +86,14 @@ def weight_distance(spark, sf):
     return a.select(F.explode(F.array(row(1, k1, d1), row(0, F.col("k") - k1, F.col("d") - d1))).alias("x")).select("x.*")
 
 
-@query("rank_losses_train", """SELECT unit, round(tp, 6) AS top_push, round(pow(ep / np, 2) * en2 / nn, 6) AS p_norm, round(iw, 6) AS instance, round(tp + 0.5 * xe, 6) AS hybrid FROM (
+@query("rank_losses_train", """SELECT unit, round(tp, 6) AS top_push, round(pow(ep / np, 2) * en2 / nn, 6) AS p_norm, round(iw, 6) AS instance, round(tp + 0.5 * xe, 6) AS hybrid, round(pl / np / nn, 6) AS pairwise FROM (
     SELECT s.unit, any_value(np) AS np, any_value(nn) AS nn, avg(CASE WHEN pos = 1 THEN ln(1 + exp(-s + ln(zr) / 4)) END) AS tp, sum(CASE WHEN pos = 1 THEN exp(-s) END) AS ep, sum(CASE WHEN pos = 0 THEN exp(2 * s) END) AS en2,
     sum(CASE WHEN pos = 1 THEN ln(1 + exp(-s)) / np ELSE ln(1 + exp(s)) / nn END) AS iw, sum(CASE WHEN pos = 0 THEN ln(1 + exp(s)) / nn END) AS xe
-    FROM sc s JOIN (SELECT unit, sum(pos) AS np, sum(1 - pos) AS nn, sum(CASE WHEN pos = 0 THEN exp(4 * s) END) AS zr FROM sc GROUP BY unit HAVING sum(pos) > 0 AND sum(1 - pos) > 0) z USING (unit) GROUP BY s.unit)""", "scored", SC)
+    FROM sc s JOIN (SELECT unit, sum(pos) AS np, sum(1 - pos) AS nn, sum(CASE WHEN pos = 0 THEN exp(4 * s) END) AS zr FROM sc GROUP BY unit HAVING sum(pos) > 0 AND sum(1 - pos) > 0) z USING (unit) GROUP BY s.unit)
+    JOIN (SELECT a.unit, sum(ln(1 + exp(b.s - a.s))) AS pl FROM sc a JOIN sc b ON a.unit = b.unit AND a.pos = 1 AND b.pos = 0 GROUP BY 1) USING (unit)""", "scored", SC)
 def rank_losses_train(spark, sf):
-    """Top-push (log-sum-exp with r = 4), p-norm push (p = 2), instance-weighted logistic and hybrid loss values."""
+    """Top-push (log-sum-exp with r = 4), p-norm push (p = 2), instance-weighted logistic, hybrid and mean logistic loss over all pairs; the
+    last by series on cells of scores, without pairs."""
     d, r, p = centred(spark, sf), 4, 2
     y = F.col("pos") == 1
     z = _sides(d, "unit", F.lit(1.0), F.exp(r * F.col("s"))).select("unit", "np", "nn", F.col("sn").alias("zr"))
@@ -104,8 +106,10 @@ def rank_losses_train(spark, sf):
         F.sum(F.when(y, F.exp(-S))).alias("ep"), F.sum(F.when(~y, F.exp(p * S))).alias("en"),
         F.sum(F.when(y, log1pexp(-S) / F.col("np")).otherwise(log1pexp(S) / F.col("nn"))).alias("iw"),
         F.sum(F.when(~y, log1pexp(S) / F.col("nn"))).alias("xe"))
+    pairs = fd.logistic_slopes(x.select("unit", "pos", S.cast("double").alias("s"), F.lit(1.0).alias("wt")), ["unit"])
+    g = g.join(pairs.groupBy("unit").agg(F.sum("loss").alias("pl")), "unit")
     return g.select("unit", _r("tp", "top_push"), _r(F.pow(F.col("ep") / F.col("np"), F.lit(p)) * F.col("en") / F.col("nn"), "p_norm"),
-                    _r("iw", "instance"), _r(F.col("tp") + 0.5 * F.col("xe"), "hybrid"))
+                    _r("iw", "instance"), _r(F.col("tp") + 0.5 * F.col("xe"), "hybrid"), _r(F.col("pl") / F.col("np") / F.col("nn"), "pairwise"))
 
 
 @query("markov_nll", "SELECT a.traj, round(-sum(ln(e.n) - ln(z.z)), 6) AS nll FROM cseq a JOIN cseq b ON a.traj = b.traj AND b.ord = a.ord + 1 JOIN edges e ON e.src = a.poi AND e.dst = b.poi JOIN (SELECT src, sum(n) AS z FROM edges GROUP BY src) z ON z.src = a.poi GROUP BY a.traj", "cseq", EDGES)

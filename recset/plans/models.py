@@ -3,11 +3,12 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from recset.functions import columns as c
-from recset.operators import clean, features as ft, models as md, ordering as o, sequence as s
+from recset.operators import clean, features as ft, folds as fd, models as md, ordering as o, sequence as s
 from recset.plans import query
-from recset.plans.features import node_table, song_features, song_vec
-from recset.plans.profiles import _r
+from recset.plans.features import held_features, song_features, song_vec
+from recset.plans.profiles import _r, city_queries
 from recset.plans.rankers import best_scored, text, train_entries
+from recset.plans.sequences import city
 from recset.session import share
 from recset.sources import views as v
 
@@ -108,61 +109,74 @@ def lr_popularity(spark, sf):
     return md.logistic(tr, z, F.array("z"), "y", weightCol="w", maxIter=20).select("song", _r("score", "score"))
 
 
+FOLDS = 10
+
+
 def labelled(spark, sf):
-    """Node feature rows with occurrence and rank labels."""
-    seq, trajs, n = node_table(spark, sf)
+    """(fold, test, qid, start, len, poi, occ, rank_label, x): candidates of all queries for each of FOLDS folds of queries, with the
+    features that the fold's own trajectories take no part in. Rows with `test` are the fold's queries, the others train for them."""
+    _, seq = city(spark, sf)
+    trajs = share(s.paths(seq).select("traj", "start", "len"))
+    q = share(city_queries(trajs))
+    folds = share(trajs.join(q, ["start", "len"]).select("traj", (F.col("qid") % FOLDS).alias("fold")))
+    each = q.withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(FOLDS - 1).cast("long"))))
+    n = held_features(spark, sf, seq, folds, share(fd.left_out_grid(each, seq, trajs, folds)))
     n_poi = v.city_poi(spark, sf).agg(F.count("*")).first()[0]
     lab = seq.join(trajs.select("traj", "start", "len"), "traj").groupBy("start", "len", "poi").agg(
         F.sum((F.col("ord") > 1).cast("long")).alias("occ"), F.avg((F.lit(n_poi) - F.col("ord") + 1) / n_poi).alias("rank_label"))
     d = n.join(lab, ["start", "len", "poi"], "left").fillna(0, ["occ", "rank_label"])
     x = F.concat("category", "neighbourhood", F.array(*ft.scalars(n)))
-    d = share(d.select("qid", "start", "len", "poi", "occ", "rank_label", x.alias("x")))
-    return share(ft.maxabs(d, d, "x", "f").drop("x"))
+    return share(d.select("fold", (F.col("qid") % FOLDS == F.col("fold")).alias("test"), "qid", "start", "len", "poi", "occ", "rank_label", x.alias("x")))
+
+
+def held_out_paths(d, weights):
+    """Start and the best candidates of each query by the fit that has not seen it."""
+    return best_scored(fd.scored(d.filter("test"), weights)).select("qid", text(F.col("path")).alias("path"))
 
 
 @query("poi_occurrence_lr")
 def poi_occurrence_lr(spark, sf):
-    d = labelled(spark, sf).withColumn("y", (F.col("occ") > 0).cast("double"))
-    sc = md.logistic(d, d, F.col("f"), "y", regParam=0.01, maxIter=30)
-    return best_scored(sc).select("qid", text(F.col("path")).alias("path"))
+    d = labelled(spark, sf)
+    rows = d.filter("not test").select("fold", "x", (F.col("occ") > 0).cast("double").alias("y"))
+    return held_out_paths(d, fd.logistic(rows, fd.gram(rows), 0.01))
 
 
 @query("poi_rank_linreg")
 def poi_rank_linreg(spark, sf):
     d = labelled(spark, sf)
-    sc = md.linear(d, d, F.col("f"), "rank_label", regParam=0.01)
-    return best_scored(sc).select("qid", text(F.col("path")).alias("path"))
+    return held_out_paths(d, fd.ridge(fd.gram(rank_targets(d)), 0.01))
 
 
-def rank_rows(spark, sf):
-    d = labelled(spark, sf)
-    return d, d.select("qid", F.col("poi").alias("id"), (F.col("occ") > 0).cast("int").alias("pos"), F.col("f").alias("x"))
+def rank_targets(d):
+    return d.filter("not test").select("fold", "x", F.col("rank_label").alias("y"))
 
 
-def width(d):
-    """Slots of the feature vector; every row has the same."""
-    return d.agg(F.max(F.size("f"))).first()[0] or 0
+def rank_rows(d):
+    return d.filter("not test").select("fold", "qid", F.col("poi").alias("id"), (F.col("occ") > 0).cast("int").alias("pos"), "x")
 
 
-def scored_paths(d, w):
-    sc = d.withColumn("score", c.dot(F.col("f"), F.array(*[F.lit(float(x)) for x in w])))
-    return best_scored(sc).select("qid", text(F.col("path")).alias("path"))
+def pair_ranked(spark, sf, kind, rate, reg):
+    d = labelled(spark, sf)
+    weights, _ = fd.pair_fit(rank_rows(d), fd.scales(fd.gram(rank_targets(d))), kind, rate, reg)
+    return held_out_paths(d, weights)
 
 
 @query("pairwise_rank")
 def pairwise_rank(spark, sf):
-    """Pairwise squared hinge over all pairs of a query, by running sums; then start + best scored."""
-    d, rows = rank_rows(spark, sf)
-    w, _ = md.hinge_rank_solve(rows, width(d), 0.3, 0.001)
-    return scored_paths(d, w)
+    """Pairwise logistic loss over all pairs of a query, by series on cells of scores; then start + best scored."""
+    return pair_ranked(spark, sf, "logistic", 1.0, 0.001)
+
+
+@query("pairwise_rank_hinge")
+def pairwise_rank_hinge(spark, sf):
+    """The same with the pairwise squared hinge, by running sums."""
+    return pair_ranked(spark, sf, "hinge", 0.3, 0.001)
 
 
 @query("ranking_svm")
 def ranking_svm(spark, sf):
-    """Linear ranking with a wide margin: the same exact pairwise objective with the weight of the norm of an SVM (1 / C)."""
-    d, rows = rank_rows(spark, sf)
-    w, _ = md.hinge_rank_solve(rows, width(d), 0.3, 0.1)
-    return scored_paths(d, w)
+    """Linear ranking with a wide margin: the exact pairwise squared hinge with the weight of the norm of an SVM (1 / C)."""
+    return pair_ranked(spark, sf, "hinge", 0.3, 0.1)
 
 
 @query("mtc_fit")

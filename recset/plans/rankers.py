@@ -172,15 +172,16 @@ def text(path):
     return F.array_join(path.cast("array<string>"), ",")
 
 
-DRAWS = "(SELECT unnest(range(1, 4)) AS draw)"
+RANDOM = 10  # random predictions per query
+DRAWS = f"(SELECT unnest(range(1, {RANDOM + 1})) AS draw)"
 
 
 @query("rank_random", f"""SELECT qid, draw, start::VARCHAR || ',' || string_agg(poi::VARCHAR, ',' ORDER BY rn) AS path FROM (SELECT qid, draw, start, len, poi,
     row_number() OVER (PARTITION BY qid, draw ORDER BY md5(poi || '|' || start || '|' || len || '|' || draw || '|rnd'), poi) AS rn FROM cquery, cpoi, {DRAWS} WHERE poi <> start) WHERE rn < len GROUP BY qid, draw, start""", "cquery cpoi")
 def rank_random(spark, sf):
-    """Start and random other POI in hash order, three draws per query."""
+    """Start and random other POI in hash order, RANDOM draws per query."""
     q = city_queries(share(s.paths(s.place(v.city_visit(spark, sf))).select("start", "len")))
-    q = with_places(q, v.city_poi(spark, sf)).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    q = with_places(q, v.city_poi(spark, sf)).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(RANDOM))))
     keyed = F.transform("all", lambda p: F.struct(F.md5(F.concat_ws("|", p.cast("string"), F.col("start").cast("string"), F.col("len").cast("string"), F.col("draw").cast("string"), F.lit("rnd"))).alias("h"), p.alias("p")))
     order = F.filter(F.transform(F.array_sort(keyed), lambda x: x["p"]), lambda p: p != F.col("start"))
     return q.select("qid", "draw", text(F.concat(F.array("start"), F.slice(order, 1, F.col("len") - 1))).alias("path"))
@@ -215,7 +216,7 @@ def popularity_paths(spark, sf, seq=None):
 
 
 @query("rank_by_score", f"""SELECT qid, start::VARCHAR || coalesce(',' || string_agg(poi::VARCHAR, ',' ORDER BY rn), '') AS path FROM (SELECT qid, start, len, poi, row_number() OVER (PARTITION BY qid ORDER BY score DESC, poi) AS rn FROM (
-    SELECT g.qid, g.start, g.len, g.poi, round(log10(i.pop) - 0.05 * {DIST('p', 'sp')}, 6) AS score {NODE_FROM} WHERE g.poi <> g.start)) WHERE rn < len GROUP BY qid, start""", "cquery ctraj cseq cinfo cpoi", ZGRID)
+    SELECT g.qid, g.start, g.len, g.poi, round(log10(i.pop) - 0.05 * {DIST('p', 'sp')}, 6) AS score {NODE_FROM} WHERE g.poi <> g.start)) WHERE rn < len GROUP BY qid, start""", "cquery ctraj cseq cpoi", ZGRID)
 def rank_by_score(spark, sf):
     """Start and the best-scored other POI, for any score table (qid, poi, score)."""
     n = node_table(spark, sf)[2].withColumn("score", F.round(F.col("popularity") - 0.05 * F.col("distStart"), 6))

@@ -98,7 +98,7 @@ def sink_dataset(spark, sf):
     return spark.read.parquet(path).filter("dataset = 'lists' and setting = 'cold' and split = 'test'").select("song", "pid")
 
 
-@query("sink_rank_rows", f"SELECT coalesce(label, 0) || ' qid:' || qid || ' 1:' || printf('%.6f', round(popularity, 6) + 0.0) || ' 2:' || printf('%.6f', round(trajlen, 6) + 0.0) || ' 3:' || printf('%.6f', round(diffdur, 6) + 0.0) AS value FROM (SELECT g.qid, g.poi, CASE WHEN i.pop < 1 THEN -10 ELSE log10(i.pop) END AS popularity, g.len::DOUBLE AS trajlen, i.dur - si.dur AS diffdur {NODE_FROM}) LEFT JOIN (SELECT qid, poi, sum((s.ord > 1)::INT)::BIGINT AS label FROM cquery q JOIN ctraj t ON t.start = q.start AND t.len = q.len JOIN cseq s USING (traj) GROUP BY 1, 2) USING (qid, poi)", "cquery ctraj cseq cinfo cpoi", ZGRID)
+@query("sink_rank_rows", f"SELECT coalesce(label, 0) || ' qid:' || qid || ' 1:' || printf('%.6f', round(popularity, 6) + 0.0) || ' 2:' || printf('%.6f', round(trajlen, 6) + 0.0) || ' 3:' || printf('%.6f', round(diffdur, 6) + 0.0) AS value FROM (SELECT g.qid, g.poi, CASE WHEN i.pop < 1 THEN -10 ELSE log10(i.pop) END AS popularity, g.len::DOUBLE AS trajlen, i.dur - si.dur AS diffdur {NODE_FROM}) LEFT JOIN (SELECT qid, poi, sum((s.ord > 1)::INT)::BIGINT AS label FROM cquery q JOIN ctraj t ON t.start = q.start AND t.len = q.len JOIN cseq s USING (traj) GROUP BY 1, 2) USING (qid, poi)", "cquery ctraj cseq cpoi", ZGRID)
 def sink_rank_rows(spark, sf):
     path = fresh_path(spark, "rankrows")
     seq, trajs, n = node_table(spark, sf)
