@@ -1,19 +1,53 @@
 """Batch handlers called directly, with events that come late."""
+import random
+
 from recset.operators import clean
 from recset.streaming import streams as st
 
 
-def test_transitions_are_emitted_once(spark, tmp_path):
-    """A late event sorts before the stored one; the stored pair must not come a second time."""
-    handle, path = st.transition_batches(), str(tmp_path)
-    first = [(1, 0, 1, "a"), (2, 100, 1, "b"), (3, 50, 2, "x")]
-    second = [(4, 60, 1, "late"), (5, 200, 1, "c"), (6, 90, 2, "y")]
-    for i, rows in enumerate((first, second)):
-        batch = spark.createDataFrame(rows, "event_id long, t long, user_id long, event_type string").selectExpr(
-            "event_id", "timestamp_seconds(t) AS ts", "user_id", "event_type")
+def by_hand(events, gap):
+    """Pairs of consecutive events of a user that lie less than the gap apart."""
+    out, last = [], {}
+    for e, t, u, k in sorted(events, key=lambda x: (x[1], x[0])):
+        if u in last and t - last[u][0] < gap:
+            out.append((u, e, last[u][1], k))
+        last[u] = t, k
+    return sorted(out)
+
+
+def feed_batches(spark, path, batches, gap, delay):
+    handle = st.transition_batches(gap, delay)
+    for i, rows in enumerate(batches):
+        batch = spark.createDataFrame(rows, "event_id long, t long, user_id long, event_type string").selectExpr("event_id", "timestamp_seconds(t) AS ts", "user_id", "event_type")
         handle(batch, i, path)
-    got = sorted((r.user_id, r.src, r.dst) for r in spark.read.option("recursiveFileLookup", True).parquet(f"{path}/pairs").collect())
-    assert got == [(1, "a", "b"), (1, "b", "c"), (2, "x", "y")]
+        if i == 1:
+            handle(batch, i, path)  # a batch that is run again gives the same
+    read = lambda name: spark.read.option("recursiveFileLookup", True).parquet(f"{path}/{name}")
+    return sorted((r.user_id, r.event_id, r.src, r.dst) for r in read("pairs").collect()), read("late").agg({"dropped": "sum"}).first()[0]
+
+
+def test_late_events_find_their_place(spark, tmp_path):
+    """Events that come some batches late, but within the delay, give the pairs of the whole feed."""
+    r = random.Random(3)
+    events = [(i, r.randrange(3000), r.randrange(4), r.choice("abc")) for i in range(150)]
+    events += [(900 + u, 9000, u, "z") for u in range(4)]  # later ones close all sessions
+    arrival = sorted(events[:150], key=lambda e: e[1] + r.randrange(400))
+    batches = [arrival[k : k + 30] for k in range(0, 150, 30)] + [events[150:], []]
+    got, dropped = feed_batches(spark, str(tmp_path), batches, 60, 400)
+    want = by_hand(events, 60)
+    assert dropped == 0 and got == want and len(want) > 30
+    # State of closed sessions is gone.
+    assert spark.read.parquet(f"{tmp_path}/open/{len(batches) - 1}").count() == 4
+
+
+def test_too_late_events_are_dropped_and_counted(spark, tmp_path):
+    batches = [[(1, 0, 1, "a"), (2, 50, 1, "b"), (3, 1000, 2, "x")], [(4, 20, 1, "late"), (5, 1010, 2, "y")], [(6, 5000, 3, "end")], []]
+    got, dropped = feed_batches(spark, str(tmp_path), batches, 100, 10)
+    assert got == [(1, 2, "a", "b"), (2, 5, "x", "y")] and dropped == 1
+
+
+def test_no_events(spark, tmp_path):
+    assert feed_batches(spark, str(tmp_path), [[], []], 100, 10) == ([], 0)
 
 
 def test_exactly_one_row_of_a_key_is_first(spark):
