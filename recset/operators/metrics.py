@@ -5,7 +5,9 @@ table, so neither pairs nor whole units are brought together.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 
 from recset.operators import ordering as o
 from recset.session import share
@@ -47,3 +49,56 @@ def hits_at(df: DataFrame, ks: list[int], unit: str = "unit") -> DataFrame:
     top = o.top_k(df, [unit], [F.desc("score"), "item"], max(ks))
     hits = top.groupBy(unit).agg(*[F.sum(F.when(F.col("rank") <= k, F.col("pos")).otherwise(0)).cast("long").alias(f"hit_{k}") for k in ks])
     return hits.join(totals(df, unit).select(unit, "N", "P"), unit)
+
+
+CELLS = 1 << 22  # pairs of POI that are compared together
+
+
+def _padded(column) -> tuple[np.ndarray, np.ndarray]:
+    """Lists as one matrix, with a mask of what is there."""
+    n = np.array([len(x) for x in column], np.int64)
+    there = np.arange(max(1, n.max(initial=0)))[None, :] < n[:, None]
+    out = np.zeros(there.shape, np.int64)
+    if n.sum():
+        out[there] = np.concatenate([np.asarray(x) for x in column])
+    return out, there
+
+
+def agreement(path, truth, m) -> np.ndarray:
+    """F1 on points, F1 on ordered pairs and tau-b of paths without repeats against truths, of m items that all else tie last."""
+    a, in_a = _padded(path)
+    b, in_b = _padded(truth)
+    na, nb = in_a.sum(axis=1), in_b.sum(axis=1)
+    out = np.zeros((len(a), 3))
+    step = max(1, CELLS // (a.shape[1] + b.shape[1]) ** 2)
+    for k in range(0, len(a), step):
+        r = slice(k, k + step)
+        same = (a[r, :, None] == b[r, None, :]) & in_a[r, :, None] & in_b[r, None, :]
+        both = same.any(axis=2)
+        hits = both.sum(axis=1)
+        far = 1 << 30  # place of an item that a path lacks
+        wide = np.arange(b.shape[1])
+        p = np.concatenate([np.where(in_a[r], np.arange(a.shape[1]), far), np.full((len(hits), b.shape[1]), far)], axis=1)
+        q = np.concatenate([np.where(both, same.argmax(axis=2), far), np.where(in_b[r], wide, far)], axis=1)
+        item = np.concatenate([in_a[r], in_b[r] & ~same.any(axis=1)], axis=1)
+        pair = np.triu(np.ones((p.shape[1],) * 2, bool), 1) & item[:, :, None] & item[:, None, :]
+        order = np.sign(p[:, :, None] - p[:, None, :]) * np.sign(q[:, :, None] - q[:, None, :])
+        known = both[:, :, None] & both[:, None, :] & np.triu(np.ones((a.shape[1],) * 2, bool), 1)
+        pairs = (known & (order[:, : a.shape[1], : a.shape[1]] > 0)).sum(axis=(1, 2))
+        n1, n2, mm = na[r], nb[r], m[r]
+        s = (order * pair).sum(axis=(1, 2)) + hits * (mm - (n1 + n2 - hits))
+        untied = lambda n: mm * (mm - 1) / 2 - (mm - n) * (mm - n - 1) / 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out[r, 0] = np.where(hits > 0, 2.0 * hits / (n1 + n2), 0.0)
+            out[r, 1] = np.where(pairs > 0, 2.0 * pairs / (n1 * (n1 - 1) // 2 + n2 * (n2 - 1) // 2), 0.0)
+            out[r, 2] = s / np.sqrt(untied(n1) * untied(n2))
+    return out
+
+
+def path_agreement(path: Column | str, truth: Column | str, m: Column | str) -> Column:
+    """`agreement` row by row in batches, as a struct. The array functions of `columns` say the same, item by item and slower."""
+
+    def run(path: pd.Series, truth: pd.Series, m: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(agreement(path, truth, m.to_numpy(np.int64)), columns=["f1", "pf1", "tau"])
+
+    return F.pandas_udf(run, "f1 double, pf1 double, tau double")(path, truth, m)

@@ -2,11 +2,11 @@
 from pyspark.sql import functions as F
 
 from recset.functions import columns as c
-from recset.operators import ordering as o, sequence as s
+from recset.operators import metrics as ms, sequence as s
 from recset.plans import query
 from recset.plans.cleaning import WALK, walks
 from recset.plans.profiles import _r, city_queries
-from recset.plans.rankers import DRAWS, LOSS, popularity_paths
+from recset.plans.rankers import DRAWS, LOSS, RANDOM, popularity_paths
 from recset.plans.sequences import city
 from recset.session import share
 from recset.sources import views as v
@@ -31,10 +31,10 @@ ALL3 = PRED + ", " + F1P + ", " + POS + ", " + TAU + ", ev AS (SELECT f1p.qid, f
 
 
 def predictions(spark, sf, seq):
-    """pred(qid, start, len, method, k, path): one popularity path and three random paths per query."""
+    """pred(qid, start, len, method, k, path): one popularity path and RANDOM random paths per query."""
     from recset.plans.rankers import with_places
     pop = popularity_paths(spark, sf, seq).select("qid", "start", "len", F.lit("pop").alias("method"), F.lit(1).alias("k"), "path")
-    q = with_places(pop.select("qid", "start", "len"), v.city_poi(spark, sf)).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    q = with_places(pop.select("qid", "start", "len"), v.city_poi(spark, sf)).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(RANDOM))))
     key = lambda p: F.md5(F.concat_ws("|", p.cast("string"), F.col("start").cast("string"), F.col("len").cast("string"), F.col("k").cast("string"), F.lit("rnd")))
     order = F.filter(F.transform(F.array_sort(F.transform("all", lambda p: F.struct(key(p).alias("h"), p.alias("p")))), lambda x: x["p"]), lambda p: p != F.col("start"))
     rnd = q.select("qid", "start", "len", F.lit("rand").alias("method"), "k", F.concat(F.array("start"), F.slice(order, 1, F.col("len") - 1)).alias("path"))
@@ -59,11 +59,13 @@ def f1_pairs():
     return c.f1(hits, n("y"), n("path"))
 
 
+METRICS = ["f1", "pf1", "tau"]
+
+
 def three(spark, sf):
     m = F.lit(0) + v.city_poi(spark, sf).agg(F.count("*")).scalar()
-    d = evaluated(spark, sf).withColumn("m", m.cast("long"))
-    return d.select("qid", "method", "k", "traj", "len", F.round(f1_points(), 9).alias("f1"), F.round(f1_pairs(), 9).alias("pf1"),
-                    F.round(c.kendall_tau_b(F.col("path"), F.col("y"), F.col("m")), 9).alias("tau"))
+    d = evaluated(spark, sf).withColumn("e", ms.path_agreement("path", "y", m.cast("long")))
+    return d.select("qid", "method", "k", "traj", "len", *[F.round(f"e.{x}", 9).alias(x) for x in METRICS])
 
 
 @query("m_f1_points", "SELECT qid, method, k, traj, round(f1, 6) AS f1 FROM f1p", NEED, PRED + ", " + F1P)
@@ -119,7 +121,6 @@ def m_truth_diversity(spark, sf):
     return city_queries(t).join(g, ["start", "len"]).select("qid", pairs.cast("long").alias("pairs"), _r(F.col("d") / pairs / F.col("len"), "diversity"))
 
 
-METRICS = ["f1", "pf1", "tau"]
 BEST = "best AS (SELECT qid, method, any_value(len) AS len, max(f1) AS f1, max(pf1) AS pf1, max(tau) AS tau, count(DISTINCT traj) AS truths FROM ev GROUP BY qid, method)"
 
 
@@ -150,11 +151,11 @@ def m_summary(spark, sf):
     return b.groupBy("method").agg(F.count("*").alias("n"), *aggs)
 
 
-@query("m_topk_short_long", "SELECT method, top, short, count(*) AS n, round(avg(f1), 6) AS f1, round(avg(tau), 6) AS tau FROM (SELECT qid, method, t.top, (any_value(len) < 5)::INT AS short, max(f1) AS f1, max(tau) AS tau FROM ev JOIN (SELECT unnest([1, 2, 3]) AS top) t ON k <= top GROUP BY qid, method, t.top) GROUP BY 1, 2, 3", NEED, ALL3)
+@query("m_topk_short_long", "SELECT method, top, short, count(*) AS n, round(avg(f1), 6) AS f1, round(avg(tau), 6) AS tau FROM (SELECT qid, method, t.top, (any_value(len) < 5)::INT AS short, max(f1) AS f1, max(tau) AS tau FROM ev JOIN (SELECT unnest(range(1, 11)) AS top) t ON k <= top GROUP BY qid, method, t.top) GROUP BY 1, 2, 3", NEED, ALL3)
 def m_topk_short_long(spark, sf):
-    """Metric by k = 1..3 and by short or long queries; a prediction counts for every k at or above its rank."""
+    """Metric by k = 1..10 and by short or long queries; a prediction counts for every k at or above its rank."""
     per = three(spark, sf).groupBy("qid", "method", "k", "len").agg(F.max("f1").alias("f1"), F.max("tau").alias("tau"))
-    d = per.withColumn("top", F.explode(F.sequence(F.col("k"), F.lit(3)))).groupBy("qid", "method", "top", "len").agg(F.max("f1").alias("f1"), F.max("tau").alias("tau"))
+    d = per.withColumn("top", F.explode(F.sequence(F.col("k"), F.lit(RANDOM)))).groupBy("qid", "method", "top", "len").agg(F.max("f1").alias("f1"), F.max("tau").alias("tau"))
     return d.groupBy("method", "top", (F.col("len") < 5).cast("int").alias("short")).agg(F.count("*").alias("n"), _r(F.avg("f1"), "f1"), _r(F.avg("tau"), "tau"))
 
 
