@@ -5,6 +5,7 @@ from recset.functions import columns as c
 from recset.operators import ordering as o
 from recset.plans import query
 from recset.plans.profiles import _r
+from recset.session import share
 from recset.sources import views as v
 
 # Lower end and amplitude of the rewards, confidence exponent.
@@ -221,20 +222,60 @@ def pool_moments(rows, n_class, n_feat):
     return rows.mapInPandas(reduce, schema).groupBy("kind", "i").applyInPandas(total, schema)
 
 
-@query("al_pool_variance")
-def al_pool_variance(spark, sf):
-    """Fisher-information variance of the pool: trace(A F^-1). The two matrices are (classes x features)^2, fixed in size."""
+def pool_matrices(rows, n_class, n_feat, c=1.0):
+    """Fisher matrix (with c on its diagonal, over the rows) and output-variance matrix of the pool, and the number of rows."""
     import numpy as np
 
-    n_class, C = 5, 1.0
-    p = v.prob(spark, sf).filter("member = 0").groupBy("cand").agg(F.transform(F.array_sort(F.collect_list(F.struct("cls", "p"))), lambda s: s["p"]).alias("p"))
-    x = v.table(spark, sf, "embeddings").select(F.col("vec_id").alias("cand"), F.col("embedding").cast("array<double>").alias("x"))
-    n_feat = x.agg(F.max(F.size("x"))).first()[0] or 0
-    rows = p.join(x, "cand").select("x", "p")
-    m = {"F": np.zeros((n_class * n_feat,) * 2), "A": np.zeros((n_class * n_feat,) * 2)}
-    for r in pool_moments(rows, n_class, n_feat).collect():
+    width = n_class * n_feat
+    m = {"F": np.zeros((width, width)), "A": np.zeros((width, width))}
+    for r in pool_moments(rows, n_class, n_feat).toLocalIterator():
         m[r["kind"]][r["i"]] = r["v"]
     n = rows.count()
-    f = (m["F"] + C * np.eye(n_class * n_feat)) / n
-    value = float(np.trace(m["A"] @ np.linalg.inv(f)))
-    return spark.range(1).select(F.lit(n).alias("pool"), F.round(F.lit(value), 6).alias("variance"))
+    return (m["F"] + c * np.eye(width)) / max(n, 1), m["A"], n
+
+
+def expected_variance(rows, fisher, output, n):
+    """(cand, expected) of rows(cand, x, p): the pool variance trace(A F^-1) that is expected when the candidate's label is known.
+
+    A label y adds the candidate's score g = (e_y - p) x x to the information, F + g g' / n, so by the rank-one update of the inverse
+    the variance falls by (g' F^-1 A F^-1 g) / (n + g' F^-1 g). Two matrices of fixed size are sent out once; no fit is made again.
+    """
+    import numpy as np
+
+    inv = np.linalg.inv(fisher)
+    known = rows.sparkSession.sparkContext.broadcast((inv, inv @ output @ inv, float(np.trace(output @ inv))))
+
+    def run(batches):
+        import pandas as pd
+
+        inv, mid, whole = known.value
+        for b in batches:
+            for lo in range(0, len(b), 256):
+                part = b.iloc[lo:lo + 256]
+                x, p = np.array(part["x"].tolist()), np.array(part["p"].tolist())
+                k, d = p.shape[1], x.shape[1]
+                # x' M x for every pair of classes, so that each label is a small form in (e_y - p).
+                forms = [np.einsum("nf,afbg,ng->nab", x, m.reshape(k, d, k, d), x, optimize=True) for m in (mid, inv)]
+                turn = np.eye(k)[None, :, :] - p[:, None, :]
+                gain, size = (np.einsum("nya,nab,nyb->ny", turn, q, turn) for q in forms)
+                yield pd.DataFrame({"cand": part["cand"].to_numpy(), "expected": whole - (p * gain / (n + size)).sum(axis=1)})
+
+    return rows.select("cand", "x", "p").mapInPandas(run, "cand long, expected double")
+
+
+def pool_rows(spark, sf):
+    p = v.prob(spark, sf).filter("member = 0").groupBy("cand").agg(F.transform(F.array_sort(F.collect_list(F.struct("cls", "p"))), lambda s: s["p"]).alias("p"))
+    x = v.table(spark, sf, "embeddings").select(F.col("vec_id").alias("cand"), F.col("embedding").cast("array<double>").alias("x"))
+    return share(p.join(x, "cand").select("cand", "x", "p"))
+
+
+@query("al_pool_variance")
+def al_pool_variance(spark, sf):
+    """Every candidate by its expected Fisher-information variance of the pool, the smallest first. The matrices are
+    (classes x features)^2, fixed in size."""
+    rows = pool_rows(spark, sf)
+    n_feat = rows.agg(F.max(F.size("x"))).first()[0] or 0
+    fisher, output, n = pool_matrices(rows, 5, n_feat)
+    d = share(expected_variance(rows, fisher, output, n))
+    ranked = o.ordinal(d, [], ["expected", "cand"], o.id_bucket(d, "expected"), "rank")
+    return ranked.select("cand", F.round("expected", 6).alias("expected"), "rank")
