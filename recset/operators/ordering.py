@@ -16,6 +16,12 @@ BUCKETS = 1024
 
 
 FIRST = -1  # bucket of null, which sorts before everything
+SMALL = 32 << 20  # bytes, by the optimiser's estimate, up to which all rows may be in one bucket
+
+
+def small(df: DataFrame) -> bool:
+    """Whether one task can hold all rows. The estimate never falls short of the files that are read."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL
 
 
 def sort_number(df: DataFrame, col: str, of: str | None = None) -> Column:
@@ -37,8 +43,11 @@ def id_bucket(df: DataFrame, col: str, n: int = BUCKETS, of: str | None = None)
 
     Edges are approximate quantiles of `col` in df (n numbers, which one small job brings to the driver), so buckets hold
     about equally many rows however the values are spread; they steer balance only, never the result. `of` names the
-    column to bucket when it differs from the one that gives the edges, as when a dimension table knows the values.
+    column to bucket when it differs from the one that gives the edges, as when a dimension table knows the values. A small
+    table is one bucket and needs no job.
     """
+    if of is None and small(df):
+        return F.lit(0).cast("long")
     wide = max(2, round(n**0.5))
     number = sort_number(df, col)
     cuts = F.percentile_approx(number, F.array(*[F.lit(k / wide**2) for k in range(1, wide**2)]), F.lit(10 * wide**2))

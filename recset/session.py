@@ -25,11 +25,14 @@ def build(master: str | None = None, **conf: str) -> SparkSession:
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: `spark.checkpoint.dir`, else the checkpoint folder set on the context, else
-    a folder in the warehouse, which a cluster shares as well. There is no machine-local fallback."""
+    a folder in the warehouse, which a cluster shares as well. A warehouse on the machine's own disk is refused unless
+    everything runs on that machine: elsewhere each executor would write to its own disk."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/recset-work"
+        if not sc.master.startswith("local") and (root.startswith("file:") or root.startswith("/")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     return root

@@ -88,10 +88,22 @@ def test_null_units_null_order_and_text_ids(spark):
     assert got == {"song-1": 1, "song-2": 2, "é": 3, "song-10": 4}
 
 
-def test_buckets_of_spread_out_values_are_even(spark):
+def test_buckets_of_spread_out_values_are_even(spark, monkeypatch):
+    monkeypatch.setattr(o, "SMALL", 0)
     df = spark.range(20000).selectExpr("pow(10, id % 1000 / 111.0) + id / 1e6 AS x", "concat('song-', lpad(id, 7, '0')) AS s")
     for c in ("x", "s"):
         d = df.withColumn("b", o.id_bucket(df, c))
         assert d.groupBy("b").count().agg({"count": "max"}).first()[0] <= 0.02 * 20000
         assert d.groupBy("b").agg(F.min(c).alias("lo"), F.max(c).alias("hi")).orderBy("b").select(
             (F.col("lo") > F.coalesce(F.lag("hi").over(W.orderBy("b")), F.lit("" if c == "s" else -1))).alias("ok")).filter("NOT ok").count() == 0
+
+
+def test_a_small_table_is_one_bucket(spark, tmp_path):
+    """Files below the limit need no job for edges, and positions are the same."""
+    spark.range(500).selectExpr("id % 3 AS u", "(id * 7919) % 1009 AS x").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    assert o.small(df) and not o.small(spark.createDataFrame([(1,)], "x long"))
+    one = o.ordinal(df, ["u"], ["x"], o.id_bucket(df, "x"))
+    many = o.ordinal(df, ["u"], ["x"], o.id_bucket(df, "x", of="x"))
+    rows = lambda d: sorted((r.u, r.x, r.pos) for r in d.collect())
+    assert rows(one) == rows(many) and len(rows(one)) == 500

@@ -41,3 +41,22 @@ def test_no_local_temporary_folder_in_the_library():
             if n.endswith(".py"):
                 with open(os.path.join(base, n)) as f:
                     assert "tempfile" not in f.read(), n
+
+
+def test_a_folder_of_one_machine_is_refused_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from recset.session import shared_dir
+
+    def session(master, **conf):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda path: None)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, *d: conf.get(k, *d)))
+
+    own, common = {"spark.sql.warehouse.dir": "file:/tmp/x"}, {"spark.sql.warehouse.dir": "hdfs://n/x"}
+    assert shared_dir(session("local[2]", **own)).startswith("file:/tmp/x")
+    assert shared_dir(session("yarn", **common)).startswith("hdfs://n/x")
+    assert shared_dir(session("yarn", **own, **{"spark.checkpoint.dir": "hdfs://n/y"})) == "hdfs://n/y"
+    with pytest.raises(ValueError):
+        shared_dir(session("spark://h:7077", **own))
