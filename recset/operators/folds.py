@@ -317,3 +317,53 @@ def pair_fit(rows: DataFrame, scale: dict[int, tuple[np.ndarray, np.ndarray]], k
     w, losses = descent(value, zero, rate, tol) if zero else ({}, {})
     weights = {f: (w[f] / scale[f][1] if f in w else zero[f], 0.0) for f in zero}
     return weights, losses
+
+
+LABELS = 1024  # labels that a task adds up side by side
+
+
+def label_slopes(rows: DataFrame, w: dict[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray]]:
+    """Sum of logistic losses and its gradient (intercept first) of every label in w over rows(x, labels): one job for all labels. A row
+    is positive for the labels in its array. Weights are columns of one matrix; tasks take blocks of rows and of labels."""
+    ids = np.array(sorted(w))
+    known = rows.sparkSession.sparkContext.broadcast((ids, np.array([w[i] for i in ids])))
+
+    def run(batches):
+        ids, weights = known.value
+        total = np.zeros((len(ids), weights.shape[1] + 1))
+        for b in batches:
+            x = np.column_stack([np.ones(len(b)), matrix(b["x"])])
+            n = [len(v) for v in b["labels"]]
+            owner, label = np.repeat(np.arange(len(b)), n), np.concatenate([np.asarray(v, np.int64) for v in b["labels"]] or [np.zeros(0, np.int64)])
+            at = np.minimum(np.searchsorted(ids, label), len(ids) - 1)
+            hit = ids[at] == label
+            owner, at = owner[hit], at[hit]
+            for k in range(0, len(ids), LABELS):
+                s = x @ weights[k : k + LABELS].T
+                some = (at >= k) & (at < k + LABELS)
+                y = np.zeros_like(s)
+                y[owner[some], at[some] - k] = 1.0
+                total[k : k + LABELS, 0] += (np.logaddexp(0, s) - y * s).sum(axis=0)
+                total[k : k + LABELS, 1:] += (1 / (1 + np.exp(-s)) - y).T @ x
+        for i, v in zip(ids.tolist(), total):
+            yield pd.DataFrame({"label": i, "i": np.arange(len(v)), "v": v})
+
+    found = rows.select("x", "labels").mapInPandas(run, "label long, i long, v double").groupBy("label", "i").agg(F.sum("v").alias("v"))
+    out = {i: np.zeros(len(w[i]) + 1) for i in w}
+    for r in found.toLocalIterator():
+        out[r.label][r.i] = r.v
+    known.unpersist()
+    return {i: (float(v[0]), v[1:]) for i, v in out.items()}
+
+
+def label_fit(rows: DataFrame, n_labels: int, d: int, reg: float, tol: float = 1e-4) -> tuple[dict, dict]:
+    """Weights (intercept first) and losses of one logistic model per label 0..n_labels - 1, all fitted together: mean loss plus
+    reg |w|^2 / 2, until a step lowers a label's loss by less than `tol` of its first value."""
+    rows = cut(rows.select("x", "labels"), "labels")
+    n = rows.count()
+    norm = np.concatenate([[0.0], np.full(d, reg)])
+
+    def value(w):
+        return {i: (loss / n + 0.5 * (norm * w[i] ** 2).sum(), g / n + norm * w[i]) for i, (loss, g) in label_slopes(rows, w).items()}
+
+    return descent(value, {i: np.zeros(d + 1) for i in range(n_labels)}, 1.0, tol) if n and n_labels else ({}, {})

@@ -180,3 +180,24 @@ def test_a_held_out_trajectory_changes_no_score_of_its_query(spark, monkeypatch)
     assert before and before == after
     # The other folds do see the change.
     assert d.filter("not test").count() > 0 and sorted(new) != rows
+
+
+def test_labels_together_equal_one_by_one(spark, monkeypatch):
+    """Gradients against numpy, fits against the minimum of each label alone; blocks of two labels."""
+    monkeypatch.setattr(fd, "LABELS", 2)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 4))
+    labels = [[int(k) for k in range(5) if x[i, k % 4] + 0.3 * rng.normal() > 0.4 and k != 3] for i in range(300)]
+    df = spark.createDataFrame([(x[i].tolist(), labels[i]) for i in range(300)], "x array<double>, labels array<bigint>").repartition(3)
+    w = {k: rng.normal(size=5) for k in range(5)}
+    z, y = np.column_stack([np.ones(300), x]), np.array([[float(k in own) for k in range(5)] for own in labels])
+    for k, (loss, g) in fd.label_slopes(df, w).items():
+        s = z @ w[k]
+        assert loss == pytest.approx((np.logaddexp(0, s) - y[:, k] * s).sum()) and g == pytest.approx(z.T @ (1 / (1 + np.exp(-s)) - y[:, k]))
+    fits, losses = fd.label_fit(df, 5, 4, 0.1, 1e-7)
+    for k in range(5):
+        u = np.zeros(5)
+        for _ in range(3000):
+            u -= 0.5 * (z.T @ (1 / (1 + np.exp(-z @ u)) - y[:, k]) / 300 + 0.1 * np.array([0, 1, 1, 1, 1]) * u)
+        value = np.logaddexp(0, z @ u).mean() - (y[:, k] * (z @ u)).mean() + 0.05 * (u[1:] ** 2).sum()
+        assert losses[k][-1] == pytest.approx(value, abs=1e-3) and all(b <= a for a, b in zip(losses[k], losses[k][1:]))
