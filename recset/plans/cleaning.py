@@ -193,12 +193,12 @@ def map_song_artist(spark, sf):
     return blank.filter(F.trim("artist") != "")
 
 
-@query("map_song_tracks", "SELECT n_tracks, count(*) AS songs, min(tracks) AS sample FROM (SELECT song, count(*) AS n_tracks, string_agg(track::VARCHAR, ',' ORDER BY pos) AS tracks FROM trk GROUP BY song) GROUP BY n_tracks", extra=TRACKS)
+@query("map_song_tracks", "SELECT song, n_tracks, tracks, count(*) OVER (PARTITION BY n_tracks) AS songs FROM (SELECT song, count(*) AS n_tracks, string_agg(track::VARCHAR, ',' ORDER BY pos) AS tracks FROM trk GROUP BY song)", extra=TRACKS)
 def map_song_tracks(spark, sf):
-    """Songs per number of tracks, with one whole track list as a sample."""
+    """Song to its tracks in order, and the number of songs with as many."""
     lists = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "track"))), lambda x: x["track"].cast("string")), ",")
-    n = tracks(spark, sf).groupBy("song").agg(F.count("*").alias("n_tracks"), lists.alias("t"))
-    return n.groupBy("n_tracks").agg(F.count("*").alias("songs"), F.min("t").alias("sample"))
+    n = share(tracks(spark, sf).groupBy("song").agg(F.count("*").alias("n_tracks"), lists.alias("tracks")))
+    return n.join(n.groupBy("n_tracks").agg(F.count("*").alias("songs")), "n_tracks").select("song", "n_tracks", "tracks", "songs")
 
 
 @query("first_available_track", "SELECT song, arg_min(track, pos) AS track FROM trk WHERE track % 3 <> 0 GROUP BY song", extra=TRACKS)

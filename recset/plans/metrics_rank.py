@@ -6,7 +6,7 @@ from recset.operators import metrics as m, ordering as o, rankers as rk
 from recset.plans import query
 from recset.plans.losses import CUM
 from recset.plans.profiles import _r
-from recset.plans.rankers import POP, train_entries
+from recset.plans.rankers import ART, POP, WS, rank_cagh_seed, seed_sql, train_entries
 from recset.sources import views as v
 
 RANKED = "rk AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY score DESC, item) AS rank, sum(pos) OVER (PARTITION BY unit) AS p FROM scored)"
@@ -116,16 +116,26 @@ def m_spread(spark, sf):
     return g.select("unit", _r(F.ln("z") - F.col("s") / F.col("z"), "spread"))
 
 
-NOV = "nov AS (SELECT pid, usr, avg(-log2(pop)) AS nov FROM (SELECT pid, usr, pop, row_number() OVER (PARTITION BY pid ORDER BY pop DESC, song) AS r FROM pl JOIN pop USING (song)) WHERE r <= 5 GROUP BY 1, 2)"
+# Recommended songs of the held-out lists, and the novelty of the first 5 and 10 of each.
+REC = ART + WS + ", rec AS (" + seed_sql("pop * w", "w JOIN song USING (artist) JOIN pop USING (song)") + ")"
+NOV = REC + """, nov AS (SELECT k, pid, usr, avg(-log2(pop)) AS nov FROM rec JOIN pop USING (song) JOIN (SELECT DISTINCT pid, usr FROM pl) USING (pid), (SELECT unnest([5, 10]) AS k)
+    WHERE rank <= k GROUP BY 1, 2, 3)"""
+DEPTHS = [5, 10]
 
 
-@query("m_novelty", "SELECT count(*) AS users, round(avg(u), 6) AS novelty FROM (SELECT usr, avg(nov) AS u FROM nov GROUP BY usr)", "pl", POP + ", " + NOV)
-def m_novelty(spark, sf):
-    """Mean -log2(popularity) of the five best songs per list, averaged per user and then over users."""
+def novelty(spark, sf):
+    """(pid, usr, k, nov): mean -log2(popularity) of the first k songs that are recommended for a held-out list."""
     pop = train_entries(spark, sf).groupBy("song").agg(F.count("*").alias("pop"))
-    d = v.clean_entry(spark, sf).join(pop, "song")
-    per = o.top_k(d, ["pid"], [F.desc("pop"), "song"], 5).groupBy("pid", "usr").agg(F.avg(-F.log2("pop")).alias("nov"))
-    return per.groupBy("usr").agg(F.avg("nov").alias("u")).agg(F.count("*").alias("users"), _r(F.avg("u"), "novelty"))
+    users = v.clean_entry(spark, sf).select("pid", "usr").distinct()
+    d = rank_cagh_seed(spark, sf).join(pop, "song").join(users, "pid").withColumn("k", F.explode(F.array(*[F.lit(k) for k in DEPTHS])))
+    return d.filter("rank <= k").groupBy("pid", "usr", "k").agg(F.avg(-F.log2("pop")).alias("nov"))
+
+
+@query("m_novelty", "SELECT k, count(*) AS users, round(avg(u), 6) AS novelty FROM (SELECT k, usr, avg(nov) AS u FROM nov GROUP BY 1, 2) GROUP BY k", "pl song", NOV)
+def m_novelty(spark, sf):
+    """Mean -log2(popularity) of the first k recommended songs per list, averaged per user and then over users."""
+    per = novelty(spark, sf).groupBy("k", "usr").agg(F.avg("nov").alias("u"))
+    return per.groupBy("k").agg(F.count("*").alias("users"), _r(F.avg("u"), "novelty"))
 
 
 PUSH = "lim AS (SELECT unit, max(CASE WHEN pos = 0 THEN score END) AS mn, min(CASE WHEN pos = 1 THEN score END) AS mp FROM scored GROUP BY unit HAVING sum(pos) > 0 AND sum(1 - pos) > 0)"
@@ -222,14 +232,11 @@ def m_hamming_rows(spark, sf):
     return g.select(pairs.cast("long").alias("pairs"), F.round(F.col("s") / pairs / F.col("items"), 9).alias("mean_distance"))
 
 
-@query("m_per_user", "SELECT usr, round(avg(nov), 6) AS metric, any_value(n) AS n_lists FROM nov JOIN (SELECT usr, count(DISTINCT pid) AS n FROM train GROUP BY usr) USING (usr) GROUP BY usr", "pl", POP + ", " + NOV)
+@query("m_per_user", "SELECT usr, round(avg(nov), 6) AS metric, any_value(n) AS n_lists FROM nov JOIN (SELECT usr, count(DISTINCT pid) AS n FROM train GROUP BY usr) USING (usr) WHERE k = 10 GROUP BY usr", "pl song", NOV)
 def m_per_user(spark, sf):
-    """Mean metric of a user against the number of training lists."""
-    t = train_entries(spark, sf)
-    pop = t.groupBy("song").agg(F.count("*").alias("pop"))
-    per = o.top_k(v.clean_entry(spark, sf).join(pop, "song"), ["pid"], [F.desc("pop"), "song"], 5).groupBy("pid", "usr").agg(F.avg(-F.log2("pop")).alias("nov"))
-    n = t.select("usr", "pid").distinct().groupBy("usr").agg(F.count("*").alias("n_lists"))
-    return per.groupBy("usr").agg(_r(F.avg("nov"), "metric")).join(n, "usr")
+    """Mean novelty of a user's ten recommended songs against the number of training lists."""
+    n = train_entries(spark, sf).select("usr", "pid").distinct().groupBy("usr").agg(F.count("*").alias("n_lists"))
+    return novelty(spark, sf).filter("k = 10").groupBy("usr").agg(_r(F.avg("nov"), "metric")).join(n, "usr")
 
 
 @query("m_result_pivot", """SELECT unit % 4 AS method, round(100 * avg(CASE WHEN k = 5 THEN h END), 4) AS hr_5, round(100 * avg(CASE WHEN k = 20 THEN h END), 4) AS hr_20, round(100 * avg(CASE WHEN k = 100 THEN h END), 4) AS hr_100

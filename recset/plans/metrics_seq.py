@@ -2,9 +2,9 @@
 from pyspark.sql import functions as F
 
 from recset.functions import columns as c
-from recset.operators import metrics as ms, sequence as s
+from recset.operators import metrics as ms, sequence as s, walks as wk
 from recset.plans import query
-from recset.plans.cleaning import WALK, walks
+from recset.plans.paths import EW, NEED as PATHS, VIT, setup as path_setup
 from recset.plans.profiles import _r, city_queries
 from recset.plans.rankers import DRAWS, LOSS, RANDOM, popularity_paths
 from recset.plans.sequences import city
@@ -99,14 +99,12 @@ def m_kendall_tau(spark, sf):
     return three(spark, sf).select("qid", "method", "k", "traj", _r("tau", "tau"))
 
 
-@query("m_hamming_seq", "SELECT qid, len, round(min(h::DOUBLE / len), 6) AS best, round(sum(h)::DOUBLE / sum(len), 6) AS mean FROM (SELECT qid, traj, len(any_value(y)) AS len, sum((path[i] <> y[i])::INT) AS h FROM (SELECT *, unnest(range(1, len(y) + 1)) AS i FROM pt WHERE method = 'pop') GROUP BY qid, traj) GROUP BY qid, len", NEED, PRED)
+@query("m_hamming_seq", "SELECT qid, method, len, round(min(h::DOUBLE / len), 6) AS best, round(sum(h)::DOUBLE / sum(len), 6) AS mean FROM (SELECT qid, method, k, traj, len(any_value(y)) AS len, sum((path[i] <> y[i])::INT) AS h FROM (SELECT *, unnest(range(1, len(y) + 1)) AS i FROM pt) GROUP BY qid, method, k, traj) GROUP BY qid, method, len", NEED, PRED)
 def m_hamming_seq(spark, sf):
-    """Share of differing positions: minimum and mean over the truths of a query."""
+    """Share of differing positions: minimum and mean over the truths and predictions of a query, by method."""
     diff = F.aggregate(F.zip_with("path", "y", lambda a, b: (a != b).cast("int")), F.lit(0), lambda x, z: x + z)
-    _, seq = city(spark, sf)
-    truth = s.paths(seq).select("traj", "start", "len", F.col("path").alias("y"))
-    d = truth.join(popularity_paths(spark, sf, seq).select("qid", "start", "len", "path"), ["start", "len"]).select("qid", "len", diff.alias("h"))
-    return d.groupBy("qid", "len").agg(_r(F.min(F.col("h") / F.col("len")), "best"), _r(F.sum("h") / F.sum("len"), "mean"))
+    d = evaluated(spark, sf).select("qid", "method", "len", diff.alias("h"))
+    return d.groupBy("qid", "method", "len").agg(_r(F.min(F.col("h") / F.col("len")), "best"), _r(F.sum("h") / F.sum("len"), "mean"))
 
 
 @query("m_truth_diversity", "SELECT qid, count(*) AS pairs, round(avg(h), 6) AS diversity FROM (SELECT a.qid, a.traj AS t1, b.traj AS t2, list_sum([(x[1] <> x[2])::INT FOR x IN list_zip(a.y, b.y)])::DOUBLE / len(a.y) AS h FROM (SELECT qid, traj, path AS y FROM ctraj JOIN cquery USING (start, len)) a JOIN (SELECT qid, traj, path AS y FROM ctraj JOIN cquery USING (start, len)) b ON a.qid = b.qid AND a.traj < b.traj) GROUP BY qid", "ctraj cquery")
@@ -181,11 +179,12 @@ def m_method_wins(spark, sf):
     return g.filter(wins & (F.col("len") > 2) & (F.col("t0") < F.col("t1"))).select("qid", F.round(F.col("rand_f1") - F.col("pop_f1"), 6).alias("gain"))
 
 
-@query("m_loop_share", "SELECT len, count(*) AS n, round(avg((len > d)::INT), 6) AS share FROM (SELECT traj, count(*) AS len, count(DISTINCT poi) AS d FROM walk GROUP BY traj) GROUP BY len", extra=WALK)
+@query("m_loop_share", "SELECT len, count(*) AS n, round(avg((len > len(list_distinct(path)))::INT), 6) AS share FROM (SELECT q.len, arg_min(path, (-score, path)) AS path FROM cquery q JOIN vit ON vit.start = q.start AND vit.n = q.len GROUP BY qid, q.len) GROUP BY len", PATHS, EW + VIT, recursive=True)
 def m_loop_share(spark, sf):
-    """Share of walks that repeat a POI, by length."""
-    per = walks(spark, sf).groupBy("traj", "poi").agg(F.count("*").alias("k")).groupBy("traj").agg(F.sum("k").alias("len"), F.max("k").alias("most"))
-    return per.groupBy("len").agg(F.count("*").alias("n"), _r(F.avg((F.col("most") > 1).cast("int")), "share"))
+    """Share of predicted walks (the best by score, which may repeat POI) that do repeat one, by length."""
+    q, st, store, _ = path_setup(spark, sf)
+    d = wk.each_length(st, store, wk.best_walks).withColumn("loop", (F.size(F.array_distinct("path")) < F.size("path")).cast("int"))
+    return q.join(d, ["start", "len"]).groupBy("len").agg(F.count("*").alias("n"), _r(F.avg("loop"), "share"))
 
 
 def GRAMS(n):

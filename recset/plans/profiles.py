@@ -219,16 +219,24 @@ def prune_best_trajectory(spark, sf):
 
 
 @query("traj_profile", """SELECT count(*) AS trajs, (SELECT count(DISTINCT poi) FROM cvisit) AS pois, count(DISTINCT usr) AS users,
-    (SELECT count(*) FROM cquery) AS queries, round(avg(len), 6) AS avg_len, sum((len < 5)::INT)::BIGINT AS short_t, sum((len >= 5)::INT)::BIGINT AS long_t
-    FROM ctraj""", "ctraj cquery")
+    (SELECT count(*) FROM cquery) AS queries, round(avg(len), 6) AS avg_len, sum((len < 5)::INT)::BIGINT AS short_t, sum((len >= 5)::INT)::BIGINT AS long_t,
+    (SELECT string_agg(len::VARCHAR || ':' || n, ',' ORDER BY len) FROM (SELECT len, count(*) AS n FROM ctraj GROUP BY len)) AS per_len, any_value(h.one) AS truths_1, any_value(h.few) AS truths_2_5, any_value(h.many) AS truths_6
+    FROM ctraj, (SELECT sum((n = 1)::INT)::BIGINT AS one, sum((n BETWEEN 2 AND 5)::INT)::BIGINT AS few, sum((n >= 6)::INT)::BIGINT AS many FROM (SELECT count(*) AS n FROM ctraj WHERE len >= 2 GROUP BY start, len)) h""", "ctraj cquery")
 def traj_profile(spark, sf):
+    """Sizes, trajectories per length, and queries by their number of truths (1, 2 to 5, 6 and more)."""
     vis = share(s.place(v.city_visit(spark, sf)))
     t = share(s.paths(vis).select("traj", "usr", "start", "len"))
     base = t.agg(F.count("*").alias("trajs"), _r(F.avg("len"), "avg_len"), F.sum((F.col("len") < 5).cast("long")).alias("short_t"),
                  F.sum((F.col("len") >= 5).cast("long")).alias("long_t"))
     n = lambda d: d.distinct().agg(F.count("*")).scalar()
-    return base.withColumn("pois", n(vis.select("poi"))).withColumn("users", n(vis.select("usr"))).withColumn(
-        "queries", n(t.filter("len >= 2").select("start", "len")))
+    truths = t.filter("len >= 2").groupBy("start", "len").agg(F.count("*").alias("n"))
+    bins = {"truths_1": F.col("n") == 1, "truths_2_5": F.col("n").between(2, 5), "truths_6": F.col("n") >= 6}
+    hist = truths.agg(F.struct(*[F.sum(x.cast("long")).alias(k) for k, x in bins.items()])).scalar()
+    # As many entries as there are lengths, which the number of POI bounds.
+    per = t.groupBy("len").agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.struct("len", "n"))).alias("a"))
+    per = per.select(F.array_join(F.transform("a", lambda x: F.concat_ws(":", x["len"].cast("string"), x["n"].cast("string"))), ",")).scalar()
+    out = base.withColumn("pois", n(vis.select("poi"))).withColumn("users", n(vis.select("usr"))).withColumn("queries", n(t.filter("len >= 2").select("start", "len")))
+    return out.withColumn("per_len", per).withColumn("h", hist).select("*", "h.*").drop("h")
 
 
 @query("balanced_weights", """SELECT unit, pos, count(*) AS n, round(sum(count(*)) OVER (PARTITION BY unit)::DOUBLE / (2 * count(*)), 6) AS weight
