@@ -177,7 +177,8 @@ def test_a_held_out_trajectory_changes_no_score_of_its_query(spark, monkeypatch)
 
     before, _ = seen(rows)
     after, d = seen(new)
-    assert before and before == after
+    assert before and [r[:2] for r in before] == [r[:2] for r in after]
+    assert [r[2] for r in before] == pytest.approx([r[2] for r in after], rel=1e-9)  # sums over tasks come in any order
     # The other folds do see the change.
     assert d.filter("not test").count() > 0 and sorted(new) != rows
 

@@ -177,9 +177,14 @@ def test_stream_transitions_over_batches(spark, tmp_path):
         d.select("event_id", F.timestamp_seconds("t").alias("ts"), "user_id", "event_type", "value").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     path = st.run_batches(st.read_events(spark, str(tmp_path / "in"), per_trigger=1), "t", st.transition_batches())
     got = {(x.event_id, x.src, x.dst) for x in spark.read.option("recursiveFileLookup", True).parquet(f"{path}/pairs").collect()}
-    want, last = set(), {}
+    # Pairs of the sessions that the watermark has closed.
+    want, session, end, last = [], {}, {}, {}
     for i, t, u, a, _ in rows:
         if u in last and t - last[u][0] < 8 * 3600:
-            want.add((i, last[u][1], a))
-        last[u] = (t, a)
+            want.append((i, last[u][1], a, (u, session[u])))
+        else:
+            session[u] = session.get(u, 0) + 1
+        last[u], end[u, session[u]] = (t, a), t
+    mark = max(r[1] for r in rows) - 600
+    want = {(i, a, b) for i, a, b, k in want if end[k] + 8 * 3600 <= mark}
     assert got == want
