@@ -17,7 +17,7 @@ from tests.llm import edge
 
 PIECES = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(tc.NAME))
 WORDS = Tokenizer.from_file(public_tokenizers.path(wi.NAME))
-TEXT = st.text(alphabet=st.one_of(st.sampled_from("  \n\t▁aethinr.,'ß12É<|>"), st.characters(codec="utf-8")), max_size=60)
+TEXT = st.text(alphabet=st.one_of(st.sampled_from("  \n\t▁aethinr.,'ß12ÉÞ×÷ÿÀ<|>"), st.characters(codec="utf-8")), max_size=60)
 
 
 def word_ids(t):
