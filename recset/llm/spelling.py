@@ -42,6 +42,7 @@ CHANGED = 199  # a run changes where this divides its hash
 SHALLOW = 8  # letters of a node that is its own number
 HELD = 400_000  # distinct words that a task adds up before it hands them on
 PAIRS = 200_000  # node pairs in a batch
+WORDS = 20_000  # words that a task numbers the nodes of
 # The alphabet is a to z and U+00C0 to U+00FF, in the order of its code points; letter 0 means none.
 LETTERS = np.zeros(256, np.int64)
 LETTERS[[*range(0x61, 0x7B), *range(0xC0, 0x100)]] = np.arange(1, 91)
@@ -175,7 +176,7 @@ def shallow_nodes(own: np.ndarray) -> list[int]:
     return out
 
 
-def with_front(words: DataFrame) -> DataFrame:
+def with_front(words: DataFrame, parts: int) -> DataFrame:
     """words(word, wid, n) with `front`: the deep nodes of the forward trie that each word shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +186,7 @@ def with_front(words: DataFrame) -> DataFrame:
 
         yield from _batches(deep_nodes(rows(), TaskContext.get().partitionId()), "front")
 
-    dealt = words.select("word", "wid", "n").repartition(F.substring("word", 1, SHALLOW + 1)).sortWithinPartitions("word")
+    dealt = words.select("word", "wid", "n").repartition(parts, F.substring("word", 1, SHALLOW + 1)).sortWithinPartitions("word")
     return dealt.mapInArrow(run, "word string, wid long, n long, front array<long>")
 
 
@@ -208,7 +209,7 @@ def _batches(rows: Iterator[tuple[tuple, np.ndarray]], name: str) -> Iterator[pa
         yield out()
 
 
-def node_pairs(words: DataFrame) -> DataFrame:
+def node_pairs(words: DataFrame, parts: int) -> DataFrame:
     """(p, s, kind, wid, n) of with_front(words): kind 0 is a cut, 1 a word without a letter, 2 the same at a place that counts
     for deletions too (the last one of a run of equal letters)."""
 
@@ -237,7 +238,7 @@ def node_pairs(words: DataFrame) -> DataFrame:
             yield _pair_batch(held)
 
     turned = F.reverse("word")
-    dealt = words.repartition(F.substring(turned, 1, SHALLOW + 1)).sortWithinPartitions(turned)
+    dealt = words.repartition(parts, F.substring(turned, 1, SHALLOW + 1)).sortWithinPartitions(turned)
     return dealt.mapInArrow(run, "p long, s long, kind byte, wid long, n long")
 
 
@@ -253,7 +254,8 @@ def neighbours(words: DataFrame) -> DataFrame:
     """(wid, n_near, near_n, near) of words(word, wid, n) with near words: their number, and count and wid of the most frequent one
     (ties: the smallest wid). wid grows with the word."""
     member = F.struct((-F.col("n")).alias("m"), "wid", "kind")
-    groups = node_pairs(with_front(words)).groupBy("p", "s").agg(F.sort_array(F.collect_list(member)).alias("all")).filter(F.size("all") > 1)
+    parts = max(1, -(-words.count() // WORDS))
+    groups = node_pairs(with_front(words, parts), parts).groupBy("p", "s").agg(F.sort_array(F.collect_list(member)).alias("all")).filter(F.size("all") > 1)
     # Members are sorted by falling count. Words without a letter are near each other; the cut word is near those of kind 2.
     groups = groups.select(
         F.filter("all", lambda x: x.kind > 0).alias("skip"), F.filter("all", lambda x: x.kind == 2).alias("end"), F.filter("all", lambda x: x.kind == 0).alias("cut"))
