@@ -5,7 +5,7 @@ from recset.operators import paths as pt, sequence as s, walks as wk
 from recset.plans import query
 from recset.plans.profiles import _r, city_queries
 from recset.plans.rankers import text
-from recset.plans.sequences import CLASS_NAME, FACTORED_SQL, KINDS, city, class_pairs, factored, five_values, matrices, vec
+from recset.plans.sequences import FACTORED_SQL, KINDS, city, class_pairs, factored, five_values, matrices, vec
 from recset.session import share
 from recset.sources import views as v
 
@@ -36,17 +36,17 @@ def setup(spark, sf):
     return q, wk.starts_with_classes(q, vecs, KINDS), store, longest
 
 
-@query("path_combine", f"""SELECT DISTINCT {CLASS_NAME('a')} AS src_class, dst, round(nw, 6) AS node, round(w, 6) AS edge, m AS weight FROM ew JOIN vec a ON a.poi = src""", NEED, EW)
+@query("path_combine", "SELECT src, dst, round(nw, 6) AS node, round(w, 6) AS edge, m AS weight FROM ew", NEED, EW)
 def path_combine(spark, sf):
-    """Edge weights: alpha * log10 softmax of the node score + (1 - alpha) * log10 transition, for every class of POI to every POI. A
-    POI's own row is that of its class; only the step to itself is none."""
+    """Edge weights of every ordered pair of POI: alpha * log10 softmax of the node score + (1 - alpha) * log10 transition. Both
+    parts come from classes and POI; the pairs are joined from them only here, where they are the result."""
     _, seq = city(spark, sf)
     _, vecs, tm = matrices(spark, sf, seq)
-    g = class_pairs(vecs, tm).filter(~(F.col("same") & (F.col("a_size") == 1)))
-    name = lambda pre: F.concat_ws("|", *[F.col(pre + k).cast("string") for k in KINDS])
-    d = vecs.select("poi", *[F.col(k).alias(f"b_{k}") for k in KINDS]).join(node_weights(seq), "poi").join(g, [f"b_{k}" for k in KINDS])
+    side = lambda pre, key: vecs.select(F.col("poi").alias(key), *[F.col(k).alias(pre + k) for k in KINDS])
+    to = side("b_", "dst").join(node_weights(seq).withColumnRenamed("poi", "dst"), "dst")
+    d = side("a_", "src").join(class_pairs(vecs, tm), [f"a_{k}" for k in KINDS]).join(to, [f"b_{k}" for k in KINDS]).filter("src <> dst")
     weight = F.col("weight") + F.round((1 - ALPHA) * F.col("w") * wk.MICRO).cast("long")
-    return d.select(name("a_").alias("src_class"), F.col("poi").alias("dst"), _r("nw", "node"), _r("w", "edge"), weight.alias("weight"))
+    return d.select("src", "dst", _r("nw", "node"), _r("w", "edge"), weight.alias("weight"))
 
 
 VIT = """, vit AS (SELECT start, start AS poi, 1 AS n, 0::BIGINT AS score, [start] AS path FROM (SELECT DISTINCT start FROM cquery) UNION ALL

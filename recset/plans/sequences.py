@@ -236,10 +236,6 @@ def factored(spark, sf, seq):
     return e.join(g.select(*keys, "w"), keys).select("src", "dst", F.when(F.col("src") == F.col("dst"), c.LOG_ZERO).otherwise(F.col("w")).alias("w"))
 
 
-def CLASS_NAME(t):
-    return "concat_ws('|', " + ", ".join(f"{t}.{k}" for k in KINDS) + ")"
-
-
 FACTORED_SQL = FIVE_SQL + ", " + VEC_SQL + """, vn AS (SELECT *, count(*) OVER (PARTITION BY cat, pop, visit, duration, neighbor) AS size FROM vec),
     allp AS (SELECT a.poi AS src, b.poi AS dst, CASE WHEN a.poi = b.poi THEN 0 WHEN a.cat = b.cat AND a.pop = b.pop AND a.visit = b.visit AND a.duration = b.duration AND a.neighbor = b.neighbor
       THEN """ + " * ".join(f"tm_{k}.p" for k in FIVE) + " / (b.size - 1) ELSE " + " * ".join(f"tm_{k}.p" for k in FIVE) + """ / b.size END AS val

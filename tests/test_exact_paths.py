@@ -16,3 +16,10 @@ def test_no_poi_pairs(spark):
     """Nothing in the plan joins POI with POI: classes meet classes, and POI their own class."""
     plan = entry.queries()["path_beam_topk"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "cross" not in plan.lower() and "src" not in plan
+
+
+def test_combine_has_every_pair(spark):
+    """A weight for each ordered pair of two POI, not one for a class and a POI."""
+    rows = entry.queries()["path_combine"](spark, SF).collect()
+    poi = {r.dst for r in rows}
+    assert len(poi) > 2 and sorted((r.src, r.dst) for r in rows) == sorted((a, b) for a in poi for b in poi if a != b)
