@@ -55,6 +55,18 @@ def share(df: DataFrame) -> DataFrame:
     return cut(df, "share")
 
 
+def parts(df: DataFrame, size: int = 1 << 20) -> int:
+    """How many partitions hold `size` bytes of df each, by the optimiser's estimate from the files (small, as they are
+    compressed); no fewer than a shuffle has."""
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(-(-estimate // size), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """df in n partitions by `keys`; where a shuffle has as many anyway, Spark deals as it likes."""
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def release(spark: SparkSession) -> None:
     """Drop everything that queries of this session have cached."""
     spark.catalog.clearCache()
