@@ -204,6 +204,12 @@ def blocks(rows: DataFrame, key: str, size: int, **cols) -> DataFrame:
     return rows.groupBy(k.alias("_k")).agg(*[F.collect_list(x).alias(n) for n, x in cols.items()]).drop("_k")
 
 
+def dealt_join(rows: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """Join with a table of vectors, never by broadcast: vectors that are equal or zero take next to nothing in a file, so Spark's
+    size check would take a table of any number of rows to the driver."""
+    return rows.join(vectors.hint("merge"), key)
+
+
 def vector_sums(rows: DataFrame, key: str, vec: str, d: int) -> DataFrame:
     return rows.groupBy(key).agg(F.array(*[F.sum(F.get(vec, i)) for i in range(d)]).alias(vec))
 
@@ -241,13 +247,13 @@ def block_gradients(song_blocks: DataFrame, pos: DataFrame, rows: DataFrame, d:
             yield pd.DataFrame({"pid": pids, "own": list(v)})
 
     lists = blocks(rows, "pid", LISTS, both=F.struct("pid", "t")).select(F.col("both.pid").alias("pids"), F.col("both.t").alias("ts"))
-    total = vector_sums(song_blocks.crossJoin(lists).mapInPandas(every, "pid long, all array<double>"), "pid", "all", d + 1)
-    mine = vector_sums(pos.join(rows.select("pid", "t"), "pid").select("pid", "x", "t").mapInPandas(own, "pid long, own array<double>"), "pid", "own", 2 * d + 2)
+    total = vector_sums(song_blocks.hint("shuffle_replicate_nl").crossJoin(lists).mapInPandas(every, "pid long, all array<double>"), "pid", "all", d + 1)
+    mine = vector_sums(dealt_join(pos, rows.select("pid", "t"), "pid").select("pid", "x", "t").mapInPandas(own, "pid long, own array<double>"), "pid", "own", 2 * d + 2)
     away = F.lit(n_songs) - F.col("n")
     # Per slot (0 is the sum of weights): mean over the songs outside the list, and over those inside.
     out = F.zip_with("all", F.slice("own", d + 2, d + 1), lambda x, y: F.when(away > 0, (x - y) / away).otherwise(F.lit(0.0)))
     inside = F.transform(F.slice("own", 1, d + 1), lambda x: x / F.col("n"))
-    r = rows.join(total, "pid").join(mine, "pid").withColumn("out", out).withColumn("in", inside)
+    r = dealt_join(dealt_join(rows, total, "pid"), mine, "pid").withColumn("out", out).withColumn("in", inside)
     g = F.zip_with(F.slice("out", 2, d), F.slice("in", 2, d), lambda x, y: (x - y) / n_lists)
     return r.select("pid", "usr", "w", g.alias("g"), ((F.get("in", 0) / p + F.get("out", 0)) / n_lists).alias("risk"))
 
@@ -262,7 +268,7 @@ def mtc_fit(songs: DataFrame, entries: DataFrame, lists: DataFrame, d: int, p: f
 
     n_songs = songs.count()
     song_blocks = cut(blocks(songs, "song", SONGS, x=F.col("x")), "mtc")
-    entries = cut(entries.join(songs, "song").select("pid", "x"), "mtc")
+    entries = cut(dealt_join(entries, songs, "song").select("pid", "x"), "mtc")
     zero = F.array(*[F.lit(0.0)] * d)
     pos = cut(entries.groupBy("pid").agg(F.count("*").alias("n")).join(lists, "pid"), "mtc")
     n_lists = pos.count()
@@ -272,9 +278,9 @@ def mtc_fit(songs: DataFrame, entries: DataFrame, lists: DataFrame, d: int, p: f
     add = lambda a, b: F.zip_with(a, b, lambda q, y: q + y)
     for _ in range(steps):
         mu_col = F.array(*[F.lit(float(m)) for m in mu])
-        r = pos.join(state, "pid").join(v, "usr").select("pid", "usr", "w", add(add(F.col("w"), F.col("v")), mu_col).alias("t"), "n")
+        r = dealt_join(dealt_join(pos, state, "pid"), v, "usr").select("pid", "usr", "w", add(add(F.col("w"), F.col("v")), mu_col).alias("t"), "n")
         r = cut(block_gradients(song_blocks, entries, cut(r, "mtc"), d, p, n_songs, n_lists), "mtc")
-        gv = cut(r.groupBy("usr").agg(F.array(*[F.sum(F.get("g", i)) for i in range(d)]).alias("gv")).join(v, "usr"), "mtc")
+        gv = cut(dealt_join(vector_sums(r, "usr", "g", d).withColumnRenamed("g", "gv"), v, "usr"), "mtc")
         tot = gv.agg(*[F.sum(F.get("gv", i)).alias(f"g{i}") for i in range(d)], F.sum(c.dot(F.col("v"), F.col("v"))).alias("vv")).first()
         part = r.agg(F.sum("risk").alias("risk"), F.sum(F.aggregate("w", F.lit(0.0), lambda a, q: a + F.abs(q))).alias("l1")).first()
         losses.append(part["risk"] + 0.5 * c1 * tot["vv"] + c2 * (part["l1"] + float(np.abs(mu).sum())))

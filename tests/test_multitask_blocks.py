@@ -27,3 +27,14 @@ def test_block_gradients_equal_matrix(spark, monkeypatch):
 
 def test_catalogue_has_no_cap():
     assert not hasattr(md, "MOST_SONGS")
+
+
+def test_vectors_are_not_broadcast(spark):
+    """Zero vectors take no room in a file, so estimates say little: no plan of a step takes a table of vectors to the driver."""
+    zero = F.array(*[F.lit(0.0)] * 3)
+    rows = spark.range(200).select(F.col("id").alias("pid"), F.lit(0).cast("long").alias("usr"), F.lit(1).cast("long").alias("n"), zero.alias("w"), zero.alias("t"))
+    songs = spark.range(40).select(F.col("id").alias("song"), zero.alias("x"))
+    pos = spark.range(200).select(F.col("id").alias("pid"), zero.alias("x"))
+    plan = md.block_gradients(md.blocks(songs, "song", 9, x=F.col("x")), pos, rows, 3, 2.0, 40, 200)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "CartesianProduct" in plan
+    assert "Broadcast" not in md.dealt_join(rows, songs.withColumnRenamed("song", "pid"), "pid")._jdf.queryExecution().executedPlan().toString()
