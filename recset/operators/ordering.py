@@ -10,7 +10,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from recset.session import share
+from recset.session import dealt, share
 
 BUCKETS = 1024
 
@@ -86,11 +86,14 @@ def join_same(rows: DataFrame, other: DataFrame, keys: list[str], how: str = "in
     return rows.join(other, on, how).drop(*names.values())
 
 
-def running(df: DataFrame, unit: list[str], order: list, bucket: Column, sums: dict[str, Column]) -> DataFrame:
+def running(df: DataFrame, unit: list[str], order: list, bucket: Column, sums: dict[str, Column], n: int = 0) -> DataFrame:
     """Inclusive running sums per unit in the given order. `bucket` must be monotone in the order; a null unit is a unit,
-    and a null order value has its place where the order puts it."""
+    and a null order value has its place where the order puts it. `n` partitions are dealt out where a shuffle has fewer; units
+    and buckets must not be null then."""
     names = list(sums)
     rows = df.withColumn("_b", bucket)
+    if more := n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        rows = dealt(rows, n, *unit, "_b")
     for i, c in enumerate(sums.values()):
         rows = rows.withColumn(f"_x{i}", c)
     key = [*unit, "_b"]
@@ -100,15 +103,15 @@ def running(df: DataFrame, unit: list[str], order: list, bucket: Column, sums: d
         *key, *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_o{i}") for i in range(len(names))]
     )
     inside = W.partitionBy(*key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    joined = join_same(rows, offsets, key)
-    for i, n in enumerate(names):
-        joined = joined.withColumn(n, F.col(f"_o{i}") + F.sum(f"_x{i}").over(inside))
+    joined = rows.join(dealt(offsets, n, *key), key) if more else join_same(rows, offsets, key)
+    for i, name in enumerate(names):
+        joined = joined.withColumn(name, F.col(f"_o{i}") + F.sum(f"_x{i}").over(inside))
     return joined.drop("_b", *[f"_{p}{i}" for p in "xo" for i in range(len(names))])
 
 
-def ordinal(df: DataFrame, unit: list[str], order: list, bucket: Column, out: str = "pos") -> DataFrame:
+def ordinal(df: DataFrame, unit: list[str], order: list, bucket: Column, out: str = "pos", n: int = 0) -> DataFrame:
     """Exact 1-based position of every row within its unit."""
-    return running(df, unit, order, bucket, {out: F.lit(1).cast("long")})
+    return running(df, unit, order, bucket, {out: F.lit(1).cast("long")}, n)
 
 
 def hash_ordinal(df: DataFrame, unit: list[str], ids: list[str], seed: str, out: str = "pos") -> DataFrame:

@@ -8,7 +8,7 @@ from recset.operators import ordering as o, sequence as s, splits as sp
 from recset.plans import SQL, query
 from recset.plans.profiles import _r, city_queries
 from recset.plans.sequences import city
-from recset.session import share
+from recset.session import dealt, parts, share
 from recset.sources import views as v
 
 
@@ -225,12 +225,17 @@ def lowest_missing(e, ratio, songs):
     first (ratio + 1) * n song numbers and the members are taken away.
     """
     e = share(e.select("pid", "song"))
-    n = e.groupBy("pid").agg(F.count("*").alias("n"))
     total = songs.agg(F.count("*")).scalar()
-    c = o.numbers(n, F.least((ratio + 1) * F.col("n"), total), "num")
-    numbered = o.ordinal(songs, [], ["song"], o.id_bucket(songs, "song"), "num")
-    c = c.join(numbered, "num").join(e.select("pid", "song"), ["pid", "song"], "left_anti")
-    c = o.ordinal(c, ["pid"], ["song"], F.floor(F.col("num") / 4096), "r")
+    # The low numbers are asked for by every list, so a number has its row in each part that lists ask it from.
+    k = parts(e, (1 << 20) // (ratio + 1))
+    n = dealt(e, k, "pid").groupBy("pid").agg(F.count("*").alias("n"))
+    c = o.numbers(n, F.least((ratio + 1) * F.col("n"), total), "num").withColumn("part", F.pmod(F.xxhash64("pid"), F.lit(k)))
+    numbered = o.ordinal(songs, [], ["song"], o.id_bucket(songs, "song"), "num").join(c.select("num", "part").distinct(), "num")
+    c = dealt(c, k, "num", "part").join(dealt(numbered, k, "num", "part"), ["num", "part"]).drop("part")
+    c = dealt(c, k, "pid", "song").join(dealt(e, k, "pid", "song"), ["pid", "song"], "left_anti")
+    if k > int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        c = share(c)  # read once for the offsets and once for the rows
+    c = o.ordinal(c, ["pid"], ["song"], F.floor(F.col("num") / 4096), "r", k)
     return c.filter(F.col("r") <= ratio * F.col("n")).select("pid", "song")
 
 

@@ -41,3 +41,22 @@ def test_parts_grow(spark, tmp_path):
     t = spark.read.parquet(f"{tmp_path}/t")
     assert session.parts(t) == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert session.parts(t, 1 << 15) >= 40
+
+
+def test_negatives_in_many_parts(spark, monkeypatch):
+    """The lowest missing songs, also where lists and numbers are dealt into more partitions than a shuffle has."""
+    from recset.plans import splits
+
+    rng = random.Random(8)
+    entries = sorted({(p, rng.randrange(60)) for p in range(30) for _ in range(rng.choice([1, 5, 25]))})
+    songs = sorted({rng.randrange(80) for _ in range(90)})
+    e, s = spark.createDataFrame(entries, "pid long, song long"), spark.createDataFrame([(x,) for x in songs], "song long")
+    want = set()
+    for p in range(30):
+        own = {x for q, x in entries if q == p}
+        want |= {(p, x) for x in [x for x in songs if x not in own][: 2 * len(own)]}
+    for n in (1, 32):
+        monkeypatch.setattr(splits, "parts", lambda df, size: n)
+        got = splits.lowest_missing(e, 2, s)
+        assert sorted((r.pid, r.song) for r in got.collect()) == sorted(want)
+        assert n == 1 or got.rdd.getNumPartitions() == n
