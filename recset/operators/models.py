@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import LinearRegression
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from recset.functions import columns as c
 from recset.operators import ordering as o
+from recset.operators.word_vectors import skip_gram
 from recset.session import cut
 
 # Fixed values of the implicit-feedback weight 1 + alpha * ln(1 + r / eps).
@@ -23,10 +23,8 @@ def kmeans(points: DataFrame, cols: list[str], k: int = 5, seed: int = 1) -> Dat
 
 
 def embeddings(sentences: DataFrame, words: str, size: int) -> DataFrame:
-    """Word vectors over item sequences (window 10, 10 passes), trained in as many partitions as a shuffle has."""
-    parts = int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    m = Word2Vec(numPartitions=parts, vectorSize=size, windowSize=10, maxIter=10, minCount=1, seed=0, inputCol=words, outputCol="v").fit(sentences)
-    return m.getVectors().select("word", vector_to_array("vector").alias("vec"))
+    """Word vectors over item sequences (window 10, 10 passes)."""
+    return skip_gram(sentences, words, size, 10, 10)
 
 
 def wmf(cells: DataFrame, user: str, item: str, r: str, rank: int, sweeps: int):

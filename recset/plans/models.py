@@ -29,12 +29,12 @@ def corpus(spark, sf, item):
 
 @query("artist_embeddings")
 def artist_embeddings(spark, sf):
-    return md.embeddings(share(corpus(spark, sf, "artist")), "words", 30).select(F.col("word").alias("artist"), "vec")
+    return md.embeddings(corpus(spark, sf, "artist"), "words", 30).select(F.col("word").alias("artist"), "vec")
 
 
 @query("song_embeddings")
 def song_embeddings(spark, sf):
-    return md.embeddings(share(corpus(spark, sf, "song")), "words", 30).select(F.col("word").alias("song"), "vec")
+    return md.embeddings(corpus(spark, sf, "song"), "words", 30).select(F.col("word").alias("song"), "vec")
 
 
 def user_song(spark, sf):

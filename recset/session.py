@@ -49,6 +49,14 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table of `cut` that nothing reads any more."""
+    sc = df.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def share(df: DataFrame) -> DataFrame:
     """What several branches of a query read, computed once. It is written like `cut`: a cached frame would keep the whole
     plan below it, and plans that share inputs on several levels then grow with every branch."""
