@@ -103,10 +103,11 @@ def split_cold_playlists(spark, sf):
 @query("user_removable", "SELECT DISTINCT usr FROM pl WHERE usr NOT IN (SELECT usr FROM (SELECT usr, song, count(*) AS n, sum(count(*)) OVER (PARTITION BY song) AS t FROM pl GROUP BY 1, 2) WHERE n = t)", "pl")
 def user_removable(spark, sf):
     """Users whose songs all occur with somebody else too."""
-    own = v.clean_entry(spark, sf).groupBy("usr", "song").agg(F.count("*").alias("n"))
-    total = own.groupBy("song").agg(F.sum("n").alias("t"))
-    sole = own.join(total, "song").filter("n = t").select("usr").distinct()
-    return own.select("usr").distinct().join(sole, "usr", "left_anti")
+    e = v.clean_entry(spark, sf)
+    # One row per song is all that a shuffle keeps: a song is somebody's own when its least and its greatest user are the same.
+    ends = e.filter("song is not null").groupBy("song").agg(F.min("usr").alias("usr"), F.max("usr").alias("last"), F.count("usr").alias("known"), F.count("*").alias("n"))
+    sole = ends.filter("usr = last and known = n").select("usr").distinct()
+    return e.select("usr").distinct().join(sole, "usr", "left_anti")
 
 
 @query("split_cold_users", """SELECT usr, CASE WHEN rn <= floor(0.3::DOUBLE * t) THEN 'test' ELSE 'train' END AS split FROM (SELECT DISTINCT usr FROM pl) LEFT JOIN (

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Fixed settings: AQE splits skewed join partitions, also where that costs one more shuffle.
 DEFAULTS = {
@@ -75,6 +75,21 @@ def dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:
     return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
+SHARES = 8  # how many tasks a key of very many rows is spread over
+
+
+def dealt_join(rows: DataFrame, lookup: DataFrame, key: str, by: str, n: int, how: str = "inner") -> DataFrame:
+    """rows joined with a table that holds each key once. Where n is more than a shuffle has, both sides are dealt into n
+    partitions by key and one of SHARES shares of `by`, so that a task's rows grow neither with the table nor with one key;
+    `lookup` has a row for each share then."""
+    if n <= int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return rows.join(lookup, key, how)
+    rows = rows.withColumn("_share", F.pmod(F.xxhash64(by), F.lit(SHARES)))
+    lookup = lookup.withColumn("_share", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SHARES)])))
+    both = [key, "_share"]
+    return rows.repartition(n, *both).join(lookup.repartition(n, *both), both, how).drop("_share")
+
+
 def release(spark: SparkSession) -> None:
     """Drop everything that queries of this session have cached."""
     spark.catalog.clearCache()

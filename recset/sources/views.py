@@ -58,13 +58,22 @@ def city_poi(spark, sf) -> DataFrame:
     )
 
 
-def raw_entry(spark, sf) -> DataFrame:
-    """Lines with the user of their list, dealt by list into partitions whose number grows with the table."""
-    li = table(spark, sf, "lineitem").select(
+def lines(spark, sf) -> DataFrame:
+    return table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("pid"), F.col("l_linenumber").cast("long").alias("pos"), F.col("l_partkey").alias("song")
     )
+
+
+def entry_parts(spark, sf) -> int:
+    """How many partitions the entries ask for."""
+    return parts(lines(spark, sf))
+
+
+def raw_entry(spark, sf) -> DataFrame:
+    """Lines with the user of their list, dealt by list into partitions whose number grows with the table."""
+    li = lines(spark, sf)
     od = table(spark, sf, "orders").select(F.col("o_orderkey").alias("pid"), F.col("o_custkey").alias("usr"))
-    n = parts(li)
+    n = entry_parts(spark, sf)
     return dealt(li, n, "pid").join(dealt(od, n, "pid"), "pid")
 
 

@@ -1,13 +1,14 @@
 """The entry views: one pass over the lines, in as many partitions as the table asks for."""
 import random
+import re
 
 from recset import session
 from recset.sources import views as v
 
 
-def tables(spark, tmp_path):
+def tables(spark, tmp_path, songs=9):
     rng = random.Random(4)
-    lines = [(rng.choice([None, *range(40)]), rng.choice([None, *range(9)]), rng.choice([None, 1, 2, 3])) for _ in range(400)]
+    lines = [(rng.choice([None, *range(40)]), rng.choice([None, *range(songs)]), rng.choice([None, 1, 2, 3])) for _ in range(400)]
     users = [(k, k % 7 if k % 5 else None) for k in range(38)] + [(3, 99), (None, 1)]
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame(users, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
@@ -60,3 +61,21 @@ def test_negatives_in_many_parts(spark, monkeypatch):
         got = splits.lowest_missing(e, 2, s)
         assert sorted((r.pid, r.song) for r in got.collect()) == sorted(want)
         assert n == 1 or got.rdd.getNumPartitions() == n
+
+
+def test_user_removable(spark, tmp_path, monkeypatch):
+    """Users without a song of their own; no step keeps a row for each user and song."""
+    from recset.plans import splits
+
+    tables(spark, tmp_path, 400)
+    for n in (1, 64):
+        monkeypatch.setattr(v, "parts", lambda df: n)
+        rows = [(r.pid, r.usr, r.song) for r in v.clean_entry(spark, str(tmp_path)).collect()]
+        holders = {}
+        for _, u, s in rows:
+            holders.setdefault(s, set()).add(u)
+        own = {next(iter(us)) for s, us in holders.items() if s is not None and len(us) == 1} - {None}
+        assert own and own < {u for _, u, _ in rows}
+        got = splits.user_removable(spark, str(tmp_path))
+        assert sorted(str(r.usr) for r in got.collect()) == sorted(str(u) for u in {u for _, u, _ in rows} - own)
+        assert not re.search(r"Aggregate \[usr#\w+, song#\w+\]", got._jdf.queryExecution().optimizedPlan().toString())
