@@ -119,9 +119,9 @@ def split_cold_users(spark, sf):
 
     The last holder of every song stays; all other users may go, in any number, without losing a song.
     """
-    pairs = v.clean_entry(spark, sf).select("usr", "song").distinct()
+    pairs = v.clean_entry(spark, sf).select("usr", "song")
     users = pairs.select("usr").distinct()
-    free = users.join(sp.last_holders(pairs, "usr", "song", "cu"), "usr", "left_anti")
+    free = users.join(sp.last_holders(pairs, "usr", "song", "cu", v.entry_parts(spark, sf)), "usr", "left_anti")
     rn = o.hash_ordinal(free, [], ["usr"], "cu", "rn")
     limit = F.floor(F.lit(0.3) * users.agg(F.count("*")).scalar())
     return sp.by_position(users.join(rn, "usr", "left"), "rn", [("test", limit)], "train").select("usr", "split")

@@ -79,3 +79,23 @@ def test_user_removable(spark, tmp_path, monkeypatch):
         got = splits.user_removable(spark, str(tmp_path))
         assert sorted(str(r.usr) for r in got.collect()) == sorted(str(u) for u in {u for _, u, _ in rows} - own)
         assert not re.search(r"Aggregate \[usr#\w+, song#\w+\]", got._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_last_holders_in_many_parts(spark, tmp_path):
+    """The last user of each song in hash order, null users and songs included, also where rows are dealt into shares."""
+    from hashlib import md5
+
+    from recset.operators import splits as sp
+
+    rng = random.Random(3)
+    pairs = [(rng.choice([None, *range(30)]), rng.choice([None, 1, 1, 1, *range(60)])) for _ in range(500)]
+    last = {}
+    for u, s in pairs:
+        key = (md5((f"{u}|" if u is not None else "").encode() + b"cu").hexdigest(), u if u is not None else -1)
+        last[s] = max(last.get(s, ("", -1)), key)
+    want = {u if u != -1 else None for _, u in last.values()}
+    d = spark.createDataFrame(pairs, "usr long, song long")
+    for n in (0, 32):
+        got = sp.last_holders(d, "usr", "song", "cu", n)
+        assert sorted(str(r.usr) for r in got.collect()) == sorted(str(u) for u in want)
+        assert n == 0 or re.search(r"hashpartitioning\(song#\w+, _share#\w+, 32\)", got._jdf.queryExecution().executedPlan().toString())
