@@ -8,7 +8,7 @@ from recset.operators import ordering as o, sequence as s, splits as sp
 from recset.plans import SQL, query
 from recset.plans.profiles import _r, city_queries
 from recset.plans.sequences import city
-from recset.session import dealt, parts, share
+from recset.session import dealt, dealt_join, parts, share
 from recset.sources import views as v
 
 
@@ -67,15 +67,15 @@ def split_stratified_popularity(spark, sf):
 CAND = "cand AS (SELECT pid, any_value(usr) AS usr, count(*) AS n FROM (SELECT pid, usr, count(*) OVER (PARTITION BY song) AS pop FROM pl) GROUP BY pid HAVING min(pop) >= 10)"
 
 
-def candidates(e, least=10):
-    """Lists whose songs all have at least `least` occurrences."""
+def candidates(e, least=10, n=0):
+    """Lists whose songs all have at least `least` occurrences. `n` partitions are dealt out where a shuffle has fewer."""
     pop = e.groupBy("song").agg(F.count("*").alias("pop"))
-    return e.join(pop, "song").groupBy("pid", "usr").agg(F.min("pop").alias("lo"), F.count("*").alias("n")).filter(F.col("lo") >= least).select("pid", "usr", "n")
+    return dealt_join(e.select("pid", "usr", "song"), pop, "song", "pid", n).groupBy("pid", "usr").agg(F.min("pop").alias("lo"), F.count("*").alias("n")).filter(F.col("lo") >= least).select("pid", "usr", "n")
 
 
 @query("split_candidates", "SELECT pid, usr, n FROM cand", "pl", CAND)
 def split_candidates(spark, sf):
-    return candidates(v.clean_entry(spark, sf))
+    return candidates(v.clean_entry(spark, sf), n=v.entry_parts(spark, sf))
 
 
 @query("split_augment", """SELECT pid, CASE WHEN rn IS NULL THEN 'train' WHEN rn <= floor(0.2::DOUBLE * t) THEN 'test' WHEN rn <= floor(0.25::DOUBLE * t) THEN 'dev' ELSE 'train' END AS split FROM (SELECT DISTINCT pid FROM pl)
@@ -83,7 +83,7 @@ def split_candidates(spark, sf):
 def split_augment(spark, sf):
     """20 % of the candidates to test and 5 % to dev in hash order; everything else is training."""
     e = v.clean_entry(spark, sf)
-    c = candidates(e)
+    c = candidates(e, n=v.entry_parts(spark, sf))
     total = c.agg(F.count("*")).scalar()
     rn = o.hash_ordinal(c, [], ["pid"], "aug", "rn").select("pid", "rn")
     j = e.select("pid").distinct().join(rn, "pid", "left")
@@ -96,7 +96,7 @@ def split_cold_playlists(spark, sf):
     """Per user with at least two lists: floor(0.2 n) candidate lists to test, or all candidates when fewer."""
     e = v.clean_entry(spark, sf)
     n = e.select("usr", "pid").distinct().groupBy("usr").agg(F.count("*").alias("total")).filter("total >= 2")
-    c = o.hash_ordinal(candidates(e).select("pid", "usr"), ["usr"], ["pid"], "cold", "rn")
+    c = o.hash_ordinal(candidates(e, n=v.entry_parts(spark, sf)).select("pid", "usr"), ["usr"], ["pid"], "cold", "rn")
     return c.join(n, "usr").filter(F.col("rn") <= F.floor(F.lit(0.2) * F.col("total"))).select("pid", "usr")
 
 

@@ -99,3 +99,26 @@ def test_last_holders_in_many_parts(spark, tmp_path):
         got = sp.last_holders(d, "usr", "song", "cu", n)
         assert sorted(str(r.usr) for r in got.collect()) == sorted(str(u) for u in want)
         assert n == 0 or re.search(r"hashpartitioning\(song#\w+, _share#\w+, 32\)", got._jdf.queryExecution().executedPlan().toString())
+
+
+def test_candidates_in_many_parts(spark):
+    """Lists whose songs all occur often enough, also where a song's rows are dealt into shares."""
+    from collections import Counter
+
+    from recset.plans import splits
+
+    rng = random.Random(5)
+    rows = [(p, p % 5 or None, rng.choice([None, *range(14)] if p % 7 == 0 else [1, 2, 3, 4, *range(20)])) for p in range(80) for _ in range(4)]
+    pop = Counter(s for _, _, s in rows)
+    lists = {}
+    for p, u, s in rows:
+        if s is not None:
+            lists.setdefault((p, u), []).append(pop[s])
+    want = {(p, u, len(ns)) for (p, u), ns in lists.items() if min(ns) >= 14}
+    assert 0 < len(want) < 80
+    e = spark.createDataFrame(rows, "pid long, usr long, song long")
+    for n in (0, 32):
+        got = splits.candidates(e, 14, n)
+        out = [(r.pid, r.usr, r.n) for r in got.collect()]
+        assert len(out) == len(want) and set(out) == want
+        assert n == 0 or len(set(re.findall(r"hashpartitioning\(song#\w+, _share#\w+, 32\)", got._jdf.queryExecution().executedPlan().toString()))) == 2
