@@ -8,7 +8,7 @@ from recset.plans.cleaning import TAGS, tags
 from recset.plans.features import NODE_FROM, ZGRID, node_table
 from recset.plans.profiles import _r
 from recset.plans.splits import NEG, lowest_missing
-from recset.session import share, fresh_path
+from recset.session import dealt, fresh_path, share
 from recset.sources import readers as rd, sinks as sk, views as v
 
 
@@ -166,6 +166,12 @@ def check_equal(spark, sf):
     b = spark.read.parquet(path)
     keys = ["pid", "usr", "song", "pos"]
     n = lambda d: d.agg(F.count("*")).scalar()
-    diff = a.select(*keys, F.col("x").alias("xa")).join(b.select(*keys, F.col("x").alias("xb")), keys).filter("abs(xa - xb) > 1e-6")
-    return spark.range(1).select(n(a).alias("rows_a"), n(b).alias("rows_b"), n(a.select(*keys).exceptAll(b.select(*keys))).alias("only_a"),
-                                 n(b.select(*keys).exceptAll(a.select(*keys))).alias("only_b"), n(diff).alias("far_apart"))
+    k = v.entry_parts(spark, sf)
+    # Multiset difference both ways in one pass: how much oftener a row is in the first set than in the second.
+    side = lambda d, by: d.select(*keys, F.lit(by).cast("long").alias("by"))
+    more = dealt(side(a, 1).unionByName(side(b, -1)), k, *keys).groupBy(*keys).agg(F.sum("by").alias("by"))
+    only = lambda by: more.agg(F.coalesce(F.sum(F.greatest(by, F.lit(0).cast("long"))), F.lit(0).cast("long"))).scalar()
+    feature = lambda d, name: dealt(d.select(*keys, F.col("x").alias(name)), k, *keys)
+    diff = feature(a, "xa").join(feature(b, "xb"), keys).filter("abs(xa - xb) > 1e-6")
+    return spark.range(1).select(n(a).alias("rows_a"), n(b).alias("rows_b"), only(F.col("by")).alias("only_a"), only(-F.col("by")).alias("only_b"),
+                                 n(diff).alias("far_apart"))

@@ -122,3 +122,22 @@ def test_candidates_in_many_parts(spark):
         out = [(r.pid, r.usr, r.n) for r in got.collect()]
         assert len(out) == len(want) and set(out) == want
         assert n == 0 or len(set(re.findall(r"hashpartitioning\(song#\w+, _share#\w+, 32\)", got._jdf.queryExecution().executedPlan().toString()))) == 2
+
+
+def test_check_equal_in_many_parts(spark, tmp_path, monkeypatch):
+    """Multiset difference and moved features, nulls included, also where rows are dealt into more partitions."""
+    from collections import Counter
+
+    from recset.plans import sources
+
+    tables(spark, tmp_path, 400)
+    for n in (1, 64):
+        monkeypatch.setattr(v, "parts", lambda df: n)
+        a = [(r.pid, r.usr, r.song, r.pos) for r in v.clean_entry(spark, str(tmp_path)).collect()]
+        kept = [r for r in a if r[2] is not None and r[2] % 13]
+        b = kept + [(-r[0], *r[1:]) for r in a if r[2] is not None and r[2] % 19 == 0]
+        far = [r for r in kept if r[2] % 17 == 0 and None not in r]
+        ca, cb = Counter(a), Counter(b)
+        got = sources.check_equal(spark, str(tmp_path))
+        assert tuple(got.first()) == (len(a), len(b), sum((ca - cb).values()), sum((cb - ca).values()), len(far))
+        assert far and (n == 1 or re.search(r"RepartitionByExpression \[pid#\w+, usr#\w+, song#\w+, pos#\w+\], 64", got._jdf.queryExecution().analyzed().toString()))
