@@ -9,9 +9,9 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from recset.functions import columns as c
-from recset.operators import ordering as o
+from recset.operators import multitask as mt, ordering as o
 from recset.operators.word_vectors import skip_gram
-from recset.session import cut
+from recset.session import cut, discard
 
 # Fixed values of the implicit-feedback weight 1 + alpha * ln(1 + r / eps).
 WMF_ALPHA, WMF_EPS = 40.0, 1e-8
@@ -162,6 +162,7 @@ def hinge_rank_solve(rows: DataFrame, d: int, rate: float, reg: float, tol: floa
 
 
 SONGS, LISTS = 2048, 1024  # of a block; a task holds the scores of one pair of blocks
+PART = 1 << 25  # bytes of vectors that a task packs into slices, about
 
 
 def list_gradients(spark, rows: DataFrame, x, d: int, p: float, n_lists: int) -> DataFrame:
@@ -212,12 +213,9 @@ def vector_sums(rows: DataFrame, key: str, vec: str, d: int) -> DataFrame:
     return rows.groupBy(key).agg(F.array(*[F.sum(F.get(vec, i)) for i in range(d)]).alias(vec))
 
 
-def block_gradients(song_blocks: DataFrame, pos: DataFrame, rows: DataFrame, d: int, p: float, n_songs: int, n_lists: int) -> DataFrame:
-    """rows(pid, usr, n, w, t) -> (pid, usr, w, g, risk) like `list_gradients`, with songs and lists both distributed.
-
-    song_blocks(x: array of vectors), every song in one block; pos(pid, x), the songs of the lists; n songs are in a list.
-    Each task takes pairs of a block of songs and a block of lists and sums exp-scores and their gradient for each list.
-    """
+def block_totals(song_blocks: DataFrame, rows: DataFrame, d: int) -> DataFrame:
+    """(pid, all) of rows(pid, t): the sums of exp-scores and of their gradient over every song, by pairs of blocks. Lists of a block
+    with equal weights are scored once."""
 
     def every(batches):
         import numpy as np
@@ -225,9 +223,20 @@ def block_gradients(song_blocks: DataFrame, pos: DataFrame, rows: DataFrame, d:
 
         for b in batches:
             for x, pids, t in zip(b["x"], b["pids"], b["ts"]):
-                x, t = np.array(x.tolist()), np.array(t.tolist())
+                x, (t, at) = np.array(x.tolist()), np.unique(np.array(t.tolist()), axis=0, return_inverse=True)
                 e = np.exp(x @ t.T)
-                yield pd.DataFrame({"pid": pids, "all": list(np.column_stack([e.sum(0), e.T @ x]))})
+                yield pd.DataFrame({"pid": pids, "all": list(np.column_stack([e.sum(0), e.T @ x])[at.ravel()])})
+
+    lists = blocks(rows, "pid", LISTS, both=F.struct("pid", "t")).select(F.col("both.pid").alias("pids"), F.col("both.t").alias("ts"))
+    return vector_sums(song_blocks.hint("shuffle_replicate_nl").crossJoin(lists).mapInPandas(every, "pid long, all array<double>"), "pid", "all", d + 1)
+
+
+def block_gradients(song_blocks: DataFrame, pos: DataFrame, rows: DataFrame, d: int, p: float, n_songs: int, n_lists: int, total: DataFrame | None = None) -> DataFrame:
+    """rows(pid, usr, n, w, t) -> (pid, usr, w, g, risk) like `list_gradients`, with songs and lists both distributed.
+
+    song_blocks(x: array of vectors), every song in one block; pos(pid, x), the songs of the lists; n songs are in a list.
+    total(pid, all) are the sums over every song, where they are known.
+    """
 
     def own(batches):
         import numpy as np
@@ -244,8 +253,7 @@ def block_gradients(song_blocks: DataFrame, pos: DataFrame, rows: DataFrame, d:
             np.add.at(v, at, np.hstack([a, a * x, e, e * x]))
             yield pd.DataFrame({"pid": pids, "own": list(v)})
 
-    lists = blocks(rows, "pid", LISTS, both=F.struct("pid", "t")).select(F.col("both.pid").alias("pids"), F.col("both.t").alias("ts"))
-    total = vector_sums(song_blocks.hint("shuffle_replicate_nl").crossJoin(lists).mapInPandas(every, "pid long, all array<double>"), "pid", "all", d + 1)
+    total = block_totals(song_blocks, rows, d) if total is None else total
     mine = vector_sums(dealt_join(pos, rows.select("pid", "t"), "pid").select("pid", "x", "t").mapInPandas(own, "pid long, own array<double>"), "pid", "own", 2 * d + 2)
     away = F.lit(n_songs) - F.col("n")
     # Per slot (0 is the sum of weights): mean over the songs outside the list, and over those inside.
@@ -256,35 +264,84 @@ def block_gradients(song_blocks: DataFrame, pos: DataFrame, rows: DataFrame, d:
     return r.select("pid", "usr", "w", g.alias("g"), ((F.get("in", 0) / p + F.get("out", 0)) / n_lists).alias("risk"))
 
 
+def loose_step(song_blocks, table: dict, mu, m, terms: int, radius: float, p: float, n_songs: int, n_lists: int, rate: float, c1: float, c2: float):
+    """A step for lists whose weights are rows: table has entries(pid, x), lists(pid, usr, n, w) and users(usr, v). Returns the table
+    after it and the sums of `multitask.step`."""
+    import numpy as np
+
+    d = len(mu)
+    add = lambda a, b: F.zip_with(a, b, lambda q, y: q + y)
+    norm = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda q, y: q + y * y))
+    delta = add(F.col("w"), F.col("v"))
+    r = dealt_join(table["lists"], table["users"], "usr").select("pid", "usr", "w", "n", add(delta, F.array(*[F.lit(float(x)) for x in mu])).alias("t"), (F.lit(radius) * norm(delta)).alias("far"))
+    r = cut(r, "mtc")
+    near = F.coalesce(~F.isnan("far") & (F.col("far") <= mt.reach(terms)), F.lit(False))
+    total = mt.series_totals(r.filter(near), mu, m, terms, radius).unionByName(block_totals(song_blocks, r.filter(~near), d))
+    g = cut(block_gradients(song_blocks, table["entries"], r, d, p, n_songs, n_lists, total), "mtc")
+    gv = cut(dealt_join(vector_sums(g, "usr", "g", d).withColumnRenamed("g", "gv"), table["users"], "usr"), "mtc")
+    tot = gv.agg(*[F.sum(F.get("gv", i)).alias(f"g{i}") for i in range(d)], F.sum(c.dot(F.col("v"), F.col("v"))).alias("vv")).first()
+    part = g.agg(F.sum("risk").alias("risk"), F.sum(F.aggregate("w", F.lit(0.0), lambda a, q: a + F.abs(q))).alias("l1")).first()
+    shrink = lambda q: F.signum(q) * F.greatest(F.abs(q) - F.lit(rate * c2), F.lit(0.0))
+    w = g.select("pid", F.zip_with("w", "g", lambda q, y: shrink(q - rate * y)).alias("w"))
+    lists = cut(dealt_join(table["lists"].drop("w"), w, "pid"), "mtc")
+    users = cut(gv.select("usr", F.zip_with("v", "gv", lambda q, y: q - rate * (y + c1 * q)).alias("v")), "mtc")
+    return {"entries": table["entries"], "lists": lists, "users": users}, np.array([*[tot[f"g{i}"] for i in range(d)], tot["vv"], part["risk"], part["l1"]])
+
+
 def mtc_fit(songs: DataFrame, entries: DataFrame, lists: DataFrame, d: int, p: float, c1: float, c2: float, steps: int, rate: float):
     """Multitask fit: score = x . (w_list + v_user + mu) on the bottom-push risk, proximal gradient steps.
 
     Objective: mean over lists of sum_pos exp(-p s)/(p n+) + sum_neg exp(s)/n-, plus c1 |v|^2 / 2 and c2 |(w, mu)|_1.
-    songs (song, x); entries (pid, song), distinct; lists (pid, usr). Songs, lists and their weights stay distributed.
+    songs (song, x); entries (pid, song), distinct; lists (pid, usr). Songs, lists and their weights stay distributed. Lists lie in
+    slices (see `multitask`); those of users of more songs than a slice holds, and those whose weights leave the reach of the series,
+    are rows and meet every song in pairs of blocks. A pid of several users is one list of each of them.
     """
     import numpy as np
 
-    n_songs = songs.count()
-    song_blocks = cut(blocks(songs, "song", SONGS, x=F.col("x")), "mtc")
-    entries = cut(dealt_join(entries, songs, "song").select("pid", "x"), "mtc")
+    songs = cut(songs.withColumn("sid", F.monotonically_increasing_id()), "mtc")
+    stats = songs.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, q: a + q * q))).alias("radius")).first()
+    n_songs, radius = stats["n"], float(stats["radius"] or 0.0)
+    vecs = songs.select("sid", "x")
+    songs = cut(songs.repartition("sid"), "mtc")
+    song_blocks = cut(blocks(vecs, "sid", SONGS, x=F.col("x")), "mtc")
+    entries = cut(dealt_join(entries, songs.select("song", "sid"), "song").select("pid", "sid"), "mtc")
+    pos = entries.groupBy("pid").agg(F.count("*").alias("n")).join(lists, "pid").select(F.monotonically_increasing_id().alias("id"), "pid", "usr", "n")
+    pos = cut(pos, "mtc")
+    terms = mt.degree(d)
+    size = max(1, mt.SLICE // max(d, 1))
+    whole = pos.groupBy("usr").agg(F.sum("n").alias("k")).filter(f"k <= {size}").select("usr")
+    some = cut(pos.join(whole, "usr"), "mtc")
+    rest = cut(pos.join(whole, "usr", "left_anti").filter("usr is not null"), "mtc")
+    count = pos.agg(F.count("*").alias("lists"), F.sum("n").alias("songs")).first()
+    n_lists, n = count["lists"], max(-(-(count["songs"] or 0) * d * 8 // PART), int(songs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    of = lambda rows: dealt_join(dealt_join(entries, rows.select("pid", "id", "usr"), "pid").select("id", "usr", "sid"), vecs, "sid").select("usr", F.col("id").alias("pid"), "x")
     zero = F.array(*[F.lit(0.0)] * d)
-    pos = cut(entries.groupBy("pid").agg(F.count("*").alias("n")).join(lists, "pid"), "mtc")
-    n_lists = pos.count()
-    state = pos.select("pid", zero.alias("w"))
-    v = pos.select("usr").distinct().select("usr", zero.alias("v"))
+    state = cut(mt.slices(of(some), d, n), "mtc")
+    as_rows = lambda f, *tables: {k: cut(f(*[t[k] for t in tables]), "mtc") for k in ("entries", "lists", "users")}
+    loose = None
+    if rest.limit(1).count():
+        loose = as_rows(lambda x: x, {"entries": of(rest).select("pid", "x"), "lists": rest.select(F.col("id").alias("pid"), "usr", "n", zero.alias("w")), "users": rest.select("usr").distinct().select("usr", zero.alias("v"))})
     mu, losses = np.zeros(d), []
-    add = lambda a, b: F.zip_with(a, b, lambda q, y: q + y)
     for _ in range(steps):
-        mu_col = F.array(*[F.lit(float(m)) for m in mu])
-        r = dealt_join(dealt_join(pos, state, "pid"), v, "usr").select("pid", "usr", "w", add(add(F.col("w"), F.col("v")), mu_col).alias("t"), "n")
-        r = cut(block_gradients(song_blocks, entries, cut(r, "mtc"), d, p, n_songs, n_lists), "mtc")
-        gv = cut(dealt_join(vector_sums(r, "usr", "g", d).withColumnRenamed("g", "gv"), v, "usr"), "mtc")
-        tot = gv.agg(*[F.sum(F.get("gv", i)).alias(f"g{i}") for i in range(d)], F.sum(c.dot(F.col("v"), F.col("v"))).alias("vv")).first()
-        part = r.agg(F.sum("risk").alias("risk"), F.sum(F.aggregate("w", F.lit(0.0), lambda a, q: a + F.abs(q))).alias("l1")).first()
-        losses.append(part["risk"] + 0.5 * c1 * tot["vv"] + c2 * (part["l1"] + float(np.abs(mu).sum())))
-        shrink = lambda q: F.signum(q) * F.greatest(F.abs(q) - F.lit(rate * c2), F.lit(0.0))
-        state = r.select("pid", F.zip_with("w", "g", lambda q, y: shrink(q - rate * y)).alias("w"))
-        v = gv.select("usr", F.zip_with("v", "gv", lambda q, y: q - rate * (y + c1 * q)).alias("v"))
-        g = np.array([tot[f"g{i}"] for i in range(d)])
-        mu = np.sign(mu - rate * g) * np.maximum(np.abs(mu - rate * g) - rate * c2, 0)
-    return state, v, mu, losses
+        m = mt.moments(songs, mu, terms)
+        old, state = state, cut(mt.step(state, mu, m, terms, radius, p, n_songs, n_lists, rate, c1, c2), "mtc")
+        discard(old)
+        sums = state.agg(*[F.coalesce(F.sum(F.get("sums", i)), F.lit(0.0)) for i in range(d + 3)], F.max("far")).first()
+        sums, far = np.array(sums[:-1]), sums[-1] or 0.0
+        if loose:
+            loose, more = loose_step(song_blocks, loose, mu, m, terms, radius, p, n_songs, n_lists, rate, c1, c2)
+            sums += more
+        vv, risk, l1 = sums[d:]
+        losses.append(float(risk + 0.5 * c1 * vv + c2 * (l1 + np.abs(mu).sum())))
+        mu = mu - rate * sums[:d]
+        mu = np.sign(mu) * np.maximum(np.abs(mu) - rate * c2, 0)
+        if far > mt.reach(terms):
+            left = mt.unpacked(state.filter(F.col("far") > mt.reach(terms)), d)
+            left = dict(zip(("lists", "users", "entries"), left))
+            loose = as_rows(lambda x, y: x.unionByName(y), left, loose) if loose else as_rows(lambda x: x, left)
+            old, state = state, cut(state.filter(F.col("far") <= mt.reach(terms)), "mtc")
+            discard(old)
+    ids, users, _ = mt.unpacked(state, d)
+    if loose:
+        ids, users = ids.unionByName(loose["lists"]), users.unionByName(loose["users"])
+    return dealt_join(ids.select(F.col("pid").alias("id"), "w"), pos.select("id", "pid"), "id").select("pid", "w"), users, mu, losses
