@@ -5,8 +5,11 @@ table, so neither pairs nor whole units are brought together.
 """
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from recset.operators import ordering as o
@@ -102,3 +105,74 @@ def path_agreement(path: Column | str, truth: Column | str, m: Column | str) ->
         return pd.DataFrame(agreement(path, truth, m.to_numpy(np.int64)), columns=["f1", "pf1", "tau"])
 
     return F.pandas_udf(run, "f1 double, pf1 double, tau double")(path, truth, m)
+
+
+TRUTHS = 1 << 17  # that a task sorts by query at a time
+
+
+def truths_by_query(truth: DataFrame) -> DataFrame:
+    """truth(traj, start, len, y) with len items in y -> (start, len, trajs, y, known): truths of one query in a row, as a matrix of 64-bit
+    items and one of bytes that are 0 for nulls. Truths without a start are left out."""
+    kind = truth.schema["traj"].dataType.simpleString()
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        start, n, y = t["start"].to_numpy(), t["len"].to_numpy(), t["y"].combine_chunks()
+        first, items = y.offsets.to_numpy(), y.values
+        known, items = items.is_valid().to_numpy(zero_copy_only=False), items.fill_null(0).to_numpy()
+        by = np.lexsort((start, n))
+        heads = np.flatnonzero(np.append(True, (start[by][1:] != start[by][:-1]) | (n[by][1:] != n[by][:-1])))
+        at = [first[of][:, None] + np.arange(n[of[0]]) for of in np.split(by, heads[1:])]
+        trajs = pa.ListArray.from_arrays(pa.array(np.append(heads, len(by)).astype(np.int32)), t["traj"].combine_chunks().take(pa.array(by)))
+        cells = [pa.array([m[k].tobytes() for k in at], pa.binary()) for m in (items, known)]
+        return pa.RecordBatch.from_arrays([pa.array(start[by][heads]), pa.array(n[by][heads]), trajs, *cells], ["start", "len", "trajs", "y", "known"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= TRUTHS:
+                yield packed(held)
+                held, size = [], 0
+        if size:
+            yield packed(held)
+
+    return truth.select("traj", "start", "len", "y").filter("start is not null").mapInArrow(run, f"start long, len long, trajs array<{kind}>, y binary, known binary")
+
+
+def pair_hits(path: np.ndarray, y: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """How many distinct ordered pairs (earlier, later) of the path each row of y has. A row has no item twice, so two of its items are a
+    pair of the path if the first place of one lies before the last place of the other."""
+    items, first = np.unique(path, return_index=True)
+    last = len(path) - 1 - np.unique(path[::-1], return_index=True)[1]
+    k = np.minimum(np.searchsorted(items, y), len(items) - 1)
+    found = known & (items[k] == y)
+    first, last = np.where(found, first[k], len(path)), np.where(found, last[k], -1)
+    out = np.zeros(len(y), np.int64)
+    for i in range(y.shape[1] - 1):
+        out += (first[:, i, None] < last[:, i + 1:]).sum(1)
+    return out
+
+
+def pair_values(truth: DataFrame, pred: DataFrame, value: Callable[[Column, Column, Column], Column], name: str) -> DataFrame:
+    """(qid, method, k, traj, name) for every truth(traj, start, len, y) and every pred(qid, start, len, method, k, path) of its query:
+    value of the pairs that both share, the pairs of the truth and those of the path, taken once for each number of shared pairs."""
+    n = lambda k: k * (k - 1) / 2
+    by_hits = F.transform(F.sequence(F.lit(0).cast("long"), n(F.col("len")).cast("long")), lambda h: value(h, n(F.col("len")), n(F.size("path"))))
+    preds = pred.groupBy("qid", "start", "len").agg(F.collect_list(F.struct("method", "k", "path", by_hits.alias("value"))).alias("preds"))
+    kind = truth.schema["traj"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                qid, preds, m = (batch.column(c)[r].as_py() for c in ("qid", "preds", "len"))
+                y, known = (np.frombuffer(batch.column(c)[r].as_buffer(), t).reshape(-1, m) for c, t in (("y", np.int64), ("known", bool)))
+                rows, every = len(y), np.repeat(np.arange(len(preds)), len(y))
+                values = [np.array(p["value"])[pair_hits(np.array(p["path"], np.int64), y, known)] for p in preds]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(rows * len(preds), qid)), pa.array([p["method"] for p in preds]).take(pa.array(every)), pa.array(np.array([p["k"] for p in preds], np.int32)[every]),
+                     pa.concat_arrays([batch.column("trajs")[r].values] * len(preds)), pa.array(np.concatenate(values))], ["qid", "method", "k", "traj", name])
+
+    met = truths_by_query(truth).join(preds, ["start", "len"]).select("qid", "len", "trajs", "y", "known", "preds")
+    return met.mapInArrow(run, f"qid long, method string, k int, traj {kind}, {name} double")

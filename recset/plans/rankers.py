@@ -1,5 +1,5 @@
 """Rankers and scorers."""
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from recset.functions import columns as c
 from recset.operators import features as ft, ordering as o, rankers as rk, sequence as s
@@ -7,7 +7,7 @@ from recset.plans import query
 from recset.plans.cleaning import seeds
 from recset.plans.features import ATTR, NODE_FROM, ZGRID, attributes, node_table, song_vec
 from recset.plans.profiles import _r, city_queries
-from recset.plans.sequences import DIST, EDGES, city
+from recset.plans.sequences import DIST, EDGES
 from recset.session import share
 from recset.sources import views as v
 
@@ -199,16 +199,31 @@ def rank_poi_popularity(spark, sf):
     return popularity_paths(spark, sf).select("qid", text(F.col("path")).alias("path"))
 
 
-def popularity_paths(spark, sf, seq=None):
-    seq = seq if seq is not None else city(spark, sf)[1]
-    t = share(s.paths(seq).select("traj", "start", "len"))
-    q = share(city_queries(t))
-    own = seq.join(t, "traj").groupBy("start", "len", "poi", "usr").agg(F.count("*").alias("k"))
-    all_ = own.groupBy("poi", "usr").agg(F.sum("k").alias("k"))
-    lost = own.join(all_, ["poi", "usr", "k"]).groupBy("start", "len", "poi").agg(F.count("*").alias("lost"))
+def city_paths(spark, sf):
+    """The paths of the city's trajectories, written once."""
+    return share(spans(s.paths(v.city_stops(spark, sf).withColumnRenamed("start_ts", "ord"))))
+
+
+def spans(p):
+    """Add the range of start (s0, s1) and length (l0, l1) over the users of a trajectory and whether it has a path without a start."""
+    w = W.partitionBy("traj")
+    return p.select("*", F.min("start").over(w).alias("s0"), F.max("start").over(w).alias("s1"), F.min("len").over(w).alias("l0"), F.max("len").over(w).alias("l1"),
+                    F.max(F.col("start").isNull()).over(w).alias("none"))
+
+
+def popularity_paths(spark, sf, p=None):
+    """Start and the most popular other POI of each query, from `city_paths`. A user whose visits of a POI all lie in trajectories of one
+    query is lost to the POI there."""
+    p = p if p is not None else city_paths(spark, sf)
+    q = share(city_queries(p.select("start", "len")))
+    of = p.select("usr", F.explode("path").alias("poi"), "s0", "s1", "l0", "l1", "none").groupBy("poi", "usr").agg(
+        F.min("s0").alias("s0"), F.max("s1").alias("s1"), F.min("l0").alias("l0"), F.max("l1").alias("l1"), F.max("none").alias("none"))
+    one = F.expr("not none and s0 = s1 and l0 = l1 and poi is not null and usr is not null")
+    users = share(of.groupBy("poi", F.when(one, F.col("s0")).alias("start"), F.when(one, F.col("l0")).alias("len")).agg(F.count("*").alias("n")))
+    lost = users.filter("len is not null").select("start", "len", "poi", F.col("n").alias("lost"))
     # both maps are as long as the city has POI
     per_query = lost.groupBy("start", "len").agg(F.map_from_entries(F.collect_list(F.struct("poi", "lost"))).alias("lost"))
-    pop = all_.groupBy("poi").agg(F.count("*").alias("pop")).agg(F.array_sort(F.collect_list(F.struct("poi", "pop")))).scalar()
+    pop = users.groupBy("poi").agg(F.sum("n").alias("pop")).agg(F.array_sort(F.collect_list(F.struct("poi", "pop")))).scalar()
     d = q.join(per_query, ["start", "len"], "left").withColumn("pop", pop)
     left = F.transform("pop", lambda x: F.struct((F.coalesce(F.try_element_at(F.col("lost"), x["poi"]), F.lit(0)) - x["pop"]).alias("k"), x["poi"].alias("poi")))
     order = F.filter(F.transform(F.array_sort(left), lambda x: x["poi"]), lambda p: p != F.col("start"))

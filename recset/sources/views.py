@@ -48,6 +48,16 @@ def city_visit(spark, sf) -> DataFrame:
     )
 
 
+def city_stops(spark, sf) -> DataFrame:
+    """What orders a trajectory of the city: (usr, traj, poi, start_ts) of `city_visit`, with one shuffle of the lines, by trajectory."""
+    sup = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("poi"))
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("traj"), "l_suppkey", F.col("l_linenumber").cast("long").alias("at"))
+    od = table(spark, sf, "orders").select(F.col("o_orderkey").alias("traj"), F.col("o_custkey").alias("usr"))
+    n = entry_parts(spark, sf)
+    li = li.join(sup, F.col("l_suppkey") == F.col("s_suppkey")).select("traj", "poi", "at")
+    return dealt(li, n, "traj").join(dealt(od, n, "traj"), "traj").groupBy("usr", "traj", "poi").agg(F.min("at").alias("start_ts"))
+
+
 def city_poi(spark, sf) -> DataFrame:
     n, r = table(spark, sf, "nation"), table(spark, sf, "region")
     return n.join(r, n.n_regionkey == r.r_regionkey).select(
