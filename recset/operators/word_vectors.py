@@ -107,12 +107,18 @@ def first_vectors(vocab: DataFrame, d: int) -> DataFrame:
 
 
 def moved(vecs: np.ndarray, at: np.ndarray, grad: np.ndarray, weight: np.ndarray, rate: float) -> None:
-    """Move each vector by its summed gradient; rows of more weight than MOST count as MOST."""
+    """Move each vector by its summed gradient; rows of more weight than MOST count as MOST. Only rows of repeated vectors are summed."""
     by = np.argsort(at, kind="stable")
     at = at[by]
     heads = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    total = np.add.reduceat(weight[by], heads)
-    vecs[at[heads]] -= rate * np.add.reduceat(grad[by], heads) / np.maximum(1, total / MOST)[:, None]
+    k = np.diff(np.append(heads, len(at)))
+    one = k == 1
+    alone, several = by[heads[one]], by[np.repeat(~one, k)]
+    vecs[at[heads[one]]] -= grad[alone] * (rate / np.maximum(1, weight[alone] / MOST)).astype(np.float32)[:, None]
+    if len(several):
+        first = np.cumsum(k[~one]) - k[~one]
+        total = np.add.reduceat(weight[several], first)
+        vecs[at[heads[~one]]] -= rate * np.add.reduceat(grad[several], first) / np.maximum(1, total / MOST)[:, None]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -124,17 +130,23 @@ def train(x: np.ndarray, y: np.ndarray, noise: np.ndarray, a: np.ndarray, b: np.
     size = min(BATCH, max(64, MOST * min(len(x), len(y))))
     for lo in range(0, len(a), size):
         c, o = a[lo:lo + size], b[lo:lo + size]
-        z = np.minimum(np.searchsorted(noise, rng.random(DRAWN), "right"), len(noise) - 1)
-        xc, yo, yz = x[c], y[o], y[z]
+        z = np.minimum(np.searchsorted(noise, rng.random(DRAWN), "right"), len(noise) - 1).astype(np.int32)
+        xc, yo, yz = x.take(c, 0), y.take(o, 0), y.take(z, 0)
         hit = (sigmoid(np.einsum("nd,nd->n", xc, yo)) - 1).astype(np.float32)[:, None]
-        miss = (sigmoid(xc @ yz.T) * (z != o[:, None]) * (NOISE / DRAWN)).astype(np.float32)
+        miss = xc @ -yz.T
+        with np.errstate(over="ignore"):  # a share of nothing then
+            np.exp(miss, out=miss)
+        miss += 1
+        np.divide(np.float32(NOISE / DRAWN), miss, out=miss)
+        miss[z == o[:, None]] = 0
         one = np.ones(len(c), np.float32)
         moved(x, c, hit * yo + miss @ yz, one, rate)
         moved(y, np.append(o, z), np.vstack([hit * xc, miss.T @ xc]), np.append(one, np.full(DRAWN, len(c) * NOISE / DRAWN, np.float32)), rate)
 
 
 def stratum(state: DataFrame, chunks: DataFrame, s: int, blocks: int, tasks: int, d: int, window: int, seed: int, rate: float) -> DataFrame:
-    """The vectors after the pairs of stratum s, whose cells are dealt to `tasks` tasks each."""
+    """The vectors after the pairs of stratum s, whose cells are dealt to `tasks` tasks each. One task of a cell has its vectors at once;
+    the changes of several are brought together."""
     each = F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("r")
     none = F.lit(None).cast("binary")
     i = F.when(F.col("kind") == 0, F.col("block")).otherwise(F.pmod(F.col("block") - s, F.lit(blocks))).cast("int")
@@ -143,6 +155,9 @@ def stratum(state: DataFrame, chunks: DataFrame, s: int, blocks: int, tasks: int
 
     def rows(key, x, y, old, hit, noise):
         block = [key[0], (key[0] + s) % blocks]
+        if tasks == 1:
+            cols = [pa.array([0, 1], pa.int32()), pa.array(block, pa.int32()), pa.array([x.tobytes(), y.tobytes()], pa.binary()), pa.array([b"", noise.tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, ["kind", "block", "vecs", "noise"])
         base = [v.tobytes() if key[1] == 0 else b"" for v in old]
         cols = [pa.array([0, 1], pa.int32()), pa.array(block, pa.int32()), *[pa.array(c, pa.binary()) for c in (base, [(x - old[0]).tobytes(), (y - old[1]).tobytes()], [h.tobytes() for h in hit], [b"", noise.tobytes() if key[1] == 0 else b""])]]
         return pa.RecordBatch.from_arrays(cols, ["kind", "block", "vecs", "change", "hit", "noise"])
@@ -190,6 +205,8 @@ def stratum(state: DataFrame, chunks: DataFrame, s: int, blocks: int, tasks: int
 
     n = 2 * blocks * tasks  # by hash, so some get none
     met = vectors.unionByName(pairs).repartition(n, "i", "r").sortWithinPartitions("i", "r", "kind", "no")
+    if tasks == 1:
+        return met.mapInArrow(run, "kind int, block int, vecs binary, noise binary")
     changes = met.mapInArrow(run, "kind int, block int, vecs binary, change binary, hit binary, noise binary")
     return changes.repartition(4 * blocks, "kind", "block").sortWithinPartitions("kind", "block").mapInArrow(merge, "kind int, block int, vecs binary, noise binary")
 

@@ -64,3 +64,29 @@ def test_vectors_do_not_go_through_the_driver(spark):
     docs = spark.range(3000).select(F.array(F.col("id").cast("string"), (F.col("id") + 1).cast("string")).alias("words"))
     assert md.embeddings(docs, "words", 3).count() == 3001
     assert not hasattr(md, "Word2Vec")
+
+
+def test_vectors_move_by_their_summed_gradient():
+    """Repeated and single vectors alike; more weight than MOST counts as MOST."""
+    rng = np.random.default_rng(3)
+    vecs, grad = rng.normal(size=(50, 4)).astype(np.float32), rng.normal(size=(120, 4)).astype(np.float32)
+    at, weight = np.append(rng.integers(0, 45, 119), 49), rng.choice([1, 9, 40], 120).astype(np.float32)
+    want = vecs.astype(float)
+    for k in np.unique(at):
+        of = at == k
+        want[k] -= 0.1 * grad[of].sum(axis=0) / max(1, weight[of].sum() / wv.MOST)
+    wv.moved(vecs, at, grad, weight, 0.1)
+    assert vecs == pytest.approx(want, abs=1e-5)
+
+
+def test_cells_of_one_task_are_not_dealt_again(spark, monkeypatch):
+    """A cell's only task has the vectors of its blocks, so a stratum is one shuffle; several tasks take a second one."""
+    monkeypatch.setattr(wv, "WORDS", 6)
+    docs = cut(spark.createDataFrame(topics(8, 50), "words array<string>"))
+    vocab, blocks = wv.vocabulary(docs, "words")
+    chunks = wv.pair_chunks(docs, "words", vocab, blocks, 10)
+    for tasks in (1, 2):
+        out = wv.stratum(wv.first_vectors(vocab, 5), chunks.filter("stratum = 1"), 1, blocks, tasks, 5, 10, 0, 0.025)
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == tasks
+        got = {(r.kind, r.block): len(r.vecs) for r in out.collect()}
+        assert len(got) == 2 * blocks and got == {(r.kind, r.block): len(r.vecs) for r in wv.first_vectors(vocab, 5).collect()}
