@@ -114,7 +114,7 @@ def moved(vecs: np.ndarray, at: np.ndarray, grad: np.ndarray, weight: np.ndarray
     k = np.diff(np.append(heads, len(at)))
     one = k == 1
     alone, several = by[heads[one]], by[np.repeat(~one, k)]
-    vecs[at[heads[one]]] -= grad[alone] * (rate / np.maximum(1, weight[alone] / MOST)).astype(np.float32)[:, None]
+    vecs[at[heads[one]]] -= rate * grad[alone] / np.maximum(1, weight[alone] / MOST)[:, None]
     if len(several):
         first = np.cumsum(k[~one]) - k[~one]
         total = np.add.reduceat(weight[several], first)
@@ -134,10 +134,10 @@ def train(x: np.ndarray, y: np.ndarray, noise: np.ndarray, a: np.ndarray, b: np.
         xc, yo, yz = x.take(c, 0), y.take(o, 0), y.take(z, 0)
         hit = (sigmoid(np.einsum("nd,nd->n", xc, yo)) - 1).astype(np.float32)[:, None]
         miss = xc @ -yz.T
-        with np.errstate(over="ignore"):  # a share of nothing then
-            np.exp(miss, out=miss)
+        np.exp(np.clip(miss, -30, 30, out=miss), out=miss)
         miss += 1
-        np.divide(np.float32(NOISE / DRAWN), miss, out=miss)
+        np.reciprocal(miss, out=miss)
+        miss *= NOISE / DRAWN
         miss[z == o[:, None]] = 0
         one = np.ones(len(c), np.float32)
         moved(x, c, hit * yo + miss @ yz, one, rate)
@@ -156,7 +156,8 @@ def stratum(state: DataFrame, chunks: DataFrame, s: int, blocks: int, tasks: int
     def rows(key, x, y, old, hit, noise):
         block = [key[0], (key[0] + s) % blocks]
         if tasks == 1:
-            cols = [pa.array([0, 1], pa.int32()), pa.array(block, pa.int32()), pa.array([x.tobytes(), y.tobytes()], pa.binary()), pa.array([b"", noise.tobytes()], pa.binary())]
+            new = [(v.astype(np.float64) + (to - v)).astype(np.float32).tobytes() for v, to in zip(old, (x, y))]  # as changes of several tasks are added
+            cols = [pa.array([0, 1], pa.int32()), pa.array(block, pa.int32()), pa.array(new, pa.binary()), pa.array([b"", noise.tobytes()], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, ["kind", "block", "vecs", "noise"])
         base = [v.tobytes() if key[1] == 0 else b"" for v in old]
         cols = [pa.array([0, 1], pa.int32()), pa.array(block, pa.int32()), *[pa.array(c, pa.binary()) for c in (base, [(x - old[0]).tobytes(), (y - old[1]).tobytes()], [h.tobytes() for h in hit], [b"", noise.tobytes() if key[1] == 0 else b""])]]
